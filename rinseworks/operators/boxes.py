@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import ref, strip
@@ -66,7 +67,7 @@ def word_boxes_to_blocks(
     return extract_patterns(out, "text") if patterns else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _expected_header(names: pd.Series) -> pd.Series:
     def closest(name: str) -> str:
         near = difflib.get_close_matches(name, K.ORDER_COLUMNS, n=1, cutoff=0.6)

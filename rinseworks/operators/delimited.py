@@ -16,6 +16,24 @@ def _fields(line: Column, delimiter: str) -> Column:
     return F.transform(parts, lambda p: F.regexp_replace(p, '^"(.*)"$', "$1"))
 
 
+def _attempt(lines: Column, delimiter: str) -> Column:
+    """Header and records under a delimiter; null when it yields a single column."""
+    header = _fields(F.get(lines, F.lit(0)), delimiter)
+    body = F.when(F.size(lines) > 1, F.slice(lines, F.lit(2), F.size(lines) - 1)).otherwise(
+        F.array().cast("array<string>")
+    )
+    records = F.filter(
+        F.transform(body, lambda line: _fields(line, delimiter)),
+        lambda r: (F.size(r) <= F.size(header)) & F.exists(r, lambda v: ~strip(v).isin(K.NA_TOKENS)),
+    )
+    return F.when(
+        F.size(header) > 1,
+        F.struct(
+            F.lit(delimiter).alias("delimiter"), header.alias("header"), records.alias("records")
+        ),
+    )
+
+
 def sniff_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, delimiter, columns, rows, header, records)`` of texts that parse as tables.
 
@@ -25,22 +43,7 @@ def sniff_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     lines = F.filter(F.split(ref(text), "\r\n|\n|\r"), lambda s: strip(s) != "")
     held = df.select(ref(key), lines.alias("__lines"))
-    tries = []
-    for d in K.DELIMITERS:
-        header = _fields(F.get("__lines", F.lit(0)), d)
-        body = F.when(
-            F.size("__lines") > 1, F.slice("__lines", F.lit(2), F.size("__lines") - 1)
-        ).otherwise(F.array().cast("array<string>"))
-        records = F.filter(
-            F.transform(body, lambda line, d=d: _fields(line, d)),
-            lambda r, h=header: (F.size(r) <= F.size(h)) & F.exists(r, lambda v: ~strip(v).isin(K.NA_TOKENS)),
-        )
-        tries.append(
-            F.when(
-                F.size(header) > 1,
-                F.struct(F.lit(d).alias("delimiter"), header.alias("header"), records.alias("records")),
-            )
-        )
+    tries = [_attempt(F.col("__lines"), d) for d in K.DELIMITERS]
     best = F.filter(F.array(*tries), lambda t: t.isNotNull() & (F.size(t["records"]) > 0))
     return (
         held.select(ref(key), F.get(best, F.lit(0)).alias("t"))

@@ -179,7 +179,7 @@ def _distinct_pairs(vectors, threshold, block, max_pivots):
         .select(*carried, "part", "cell", "visit", "a", "b")
     )
 
-    def compare(task, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(task: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cell, visit, a, b = task
         side = rows["part"].to_numpy()
         left, right = (rows, rows) if not visit and a == b else (

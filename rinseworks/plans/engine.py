@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from rinseworks.plans.strategies import (
     registered_detectors,
     rows_affected,
 )
-from rinseworks.types import ISSUE_FIELDS, Action, CleaningReport, Issue
+from rinseworks.types import ISSUE_FIELDS, ISSUE_SCHEMA, Action, CleaningReport, Issue
 
 # Repairs stacked on one plan before it is written out and read back.
 REPAIRS_PER_STEP = 4
@@ -35,28 +34,26 @@ REPAIRS_PER_STEP = 4
 
 def detect_issues(df: DataFrame) -> DataFrame:
     """Issues of all detectors, in the order the repairs are applied."""
-    parts = [
+    by_column = [
         detect_missing(df),
         detect_empty_columns(df),
         detect_mostly_empty_rows(df),
         detect_exact_duplicates(df),
         detect_column_duplicates(df),
         detect_numeric_outliers(df),
-        detect_inconsistencies(df),
-        *[detect(df) for detect in registered_detectors().values()],
     ]
+    own = [detect(df) for detect in registered_detectors().values()]
     place = {c: i for i, c in enumerate(df.columns)}
-    kinds: list[str] = []
-    issues = []
-    for at, part in enumerate(parts):
-        rows = part.select(*ISSUE_FIELDS).collect()  # a few rows per column
-        for r in sorted(rows, key=lambda r: (at == 6, 0) if at == 6 else (False, place.get(r["column"], -1))):
-            issues.append(tuple(r))
+    issues: list[tuple] = []
+    for part in by_column:  # a few rows per column each
+        rows = part.select(*ISSUE_FIELDS).collect()
+        issues += sorted((tuple(r) for r in rows), key=lambda r: place.get(r[1], -1))
+    for part in [detect_inconsistencies(df), *own]:
+        issues += [tuple(r) for r in part.select(*ISSUE_FIELDS).collect()]
     return small_frame(
         df.sparkSession,
         issues,
-        "issue_type string, column string, affected_rows bigint, percentage double, "
-        "severity string, description string",
+        ISSUE_SCHEMA,
     )
 
 

@@ -58,9 +58,8 @@ def read_csv_permissive(
 
 
 def _broken_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether decoding as UTF-8 leaves replacement characters."""
-    lines = spark.read.text(path)
-    return not lines.where(F.contains("value", F.lit("�"))).isEmpty()
+    """Whether some line is not valid UTF-8."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def _infer(df: DataFrame) -> dict[str, str]:

@@ -14,7 +14,9 @@ def write_cleaned(df: DataFrame, path: str, kind: str = "csv") -> None:
     """Write in the given format: csv with header, json records or parquet."""
     writer = df.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.csv(
+            path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     elif kind == "json":
         writer.option("ignoreNullFields", False).json(path)
     elif kind == "parquet":

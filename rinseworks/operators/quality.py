@@ -15,20 +15,32 @@ from rinseworks.frames import localize, per_column, small_frame
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import (
     at_most,
-    is_blank_or_missing,
+    is_missing,
     percent,
     ref,
     severity,
+    strip,
     text_columns,
 )
 from rinseworks.operators.consistency import case_variants
 from rinseworks.operators.duplicates import duplicate_row_count
+from rinseworks.operators.frequency import value_counts
 from rinseworks.operators.profile import NumericSummary, missing_counts, summarize_numeric
 
-QUALITY_ISSUE_SCHEMA = (
-    "issue_type string, column string, affected_rows bigint, percentage double, "
-    "severity string, description string, deduction double"
-)
+_TEXT_COUNTS = ["missing", "present", "spaced", "bad_email", "bad_phone", "empty", "numeric"]
+
+
+def _text_tests(v: Column, name: Column) -> dict[str, Column]:
+    """What is wrong with one text value; ``name`` is the name of its column."""
+    return {
+        "missing": v.isNull() | strip(v).isin("", "nan"),
+        "present": v.isNotNull(),
+        "spaced": v.startswith(" ") | v.endswith(" "),
+        "bad_email": F.contains(F.lower(name), F.lit("email")) & ~v.rlike(K.VALID_EMAIL),
+        "bad_phone": F.contains(F.lower(name), F.lit("phone")) & ~v.rlike(K.VALID_PHONE),
+        "empty": v == "",
+        "numeric": v.rlike(K.NUMERIC_LITERAL),
+    }
 
 
 def quality_counts(df: DataFrame) -> DataFrame:
@@ -36,24 +48,41 @@ def quality_counts(df: DataFrame) -> DataFrame:
     texts = set(text_columns(df))
 
     def stats(c):
-        v = ref(c).cast("string") if c in texts else F.lit(None).cast("string")
-        name = c.lower()
-        email = F.count_if(~v.rlike(K.VALID_EMAIL)) if "email" in name else F.lit(0)
-        phone = F.count_if(~v.rlike(K.VALID_PHONE)) if "phone" in name else F.lit(0)
+        tests = _text_tests(ref(c), F.lit(c)) if c in texts else {"missing": is_missing(df, c)}
+        counts = {name: F.count_if(test) for name, test in tests.items()}
         return [
             F.count(F.lit(1)).alias("total"),
-            F.count_if(is_blank_or_missing(df, c)).alias("missing"),
-            F.count(v).alias("present"),
-            F.count_if(v.startswith(" ") | v.endswith(" ")).alias("spaced"),
-            email.cast("bigint").alias("bad_email"),
-            phone.cast("bigint").alias("bad_phone"),
-            F.count_if(v == "").alias("empty"),
-            F.count_if(v.rlike(K.NUMERIC_LITERAL)).alias("numeric"),
+            *[counts.get(n, F.lit(0).cast("bigint")).alias(n) for n in _TEXT_COUNTS],
         ]
 
     return per_column(df, df.columns, stats)
 
 
+def text_quality_counts(df: DataFrame) -> DataFrame:
+    """The same counts for text columns with ``distinct`` and ``folded`` spellings.
+
+    Built on the value-frequency table: a value is tested once however often it occurs.
+    """
+    tests = _text_tests(F.col("value"), F.col("column"))
+    folded = (
+        value_counts(df, text_columns(df))
+        .groupBy("column", F.lower("value").alias("folded"))
+        .agg(
+            F.count("value").alias("variants"),
+            F.sum("cnt").alias("total"),
+            *[
+                F.coalesce(F.sum(F.when(test, F.col("cnt"))), F.lit(0)).alias(name)
+                for name, test in tests.items()
+            ],
+        )
+    )
+    return folded.groupBy("column").agg(
+        F.sum("variants").alias("distinct"),
+        F.count("folded").alias("folded"),
+        *[F.sum(n).alias(n) for n in ("total", *_TEXT_COUNTS)],
+    )
+
+
 def _issues(
     counts: DataFrame, kind: str, rows: Column, whole: Column, level, deduction, text: str
 ) -> DataFrame:
@@ -204,20 +233,31 @@ def auto_numeric_as_text(df: DataFrame) -> DataFrame:
 def analyze_quality(df: DataFrame) -> DataFrame:
     """All quality issues of a table with their deductions.
 
-    The table is scanned once for the value tests, once per quartile step, once for
-    spellings and once for duplicates; the issues themselves are a handful of rows.
+    Text is tested on the value-frequency table, numbers in the scans the quartiles
+    need anyway, duplicates on row hashes; the issues themselves are a handful of rows.
     """
-    counts = localize(quality_counts(df))
+    texts = localize(text_quality_counts(df))
+    summaries = summarize_numeric(df)
+    known = {s.column: (s.rows, s.rows - s.present) for s in summaries}
+    rest = [c for c in df.columns if c not in known and c not in text_columns(df)]
+    if rest:
+        found = missing_counts(df.select(*[ref(c) for c in rest])).collect()
+        known.update({r["column"]: (r["total"], r["missing"]) for r in found})
+    others = small_frame(
+        df.sparkSession,
+        [(c, n, m) for c, (n, m) in known.items()],
+        "column string, total bigint, missing bigint",
+    )
     parts = [
-        missing_issues(counts),
+        missing_issues(texts.select("column", "total", "missing").unionByName(others)),
         duplicate_issues(localize(duplicate_row_count(df))),
-        outlier_issues(df, summarize_numeric(df)),
-        whitespace_issues(counts),
-        case_issues(localize(case_counts(df))),
-        email_issues(counts),
-        phone_issues(counts),
-        empty_string_issues(counts),
-        numeric_text_issues(counts),
+        outlier_issues(df, summaries),
+        whitespace_issues(texts),
+        case_issues(texts),
+        email_issues(texts),
+        phone_issues(texts),
+        empty_string_issues(texts),
+        numeric_text_issues(texts),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,11 +1,12 @@
 """Exact quantiles whose memory need stays bounded however many values a column has.
 
 The built-in exact ``percentile`` keeps every distinct value of its group in one
-buffer. That is right for columns with few distinct values and fatal for others, so a
-column with many is narrowed first: a sketch brackets the wanted ranks, one scan counts
-exactly how many values lie below and inside the bracket, and only when the distinct
-values inside are few is the exact function applied to them. Every step is a scan with
-map-side aggregation; no column is ever sorted or shuffled as a whole.
+buffer. That is right for short columns and fatal for long ones, so a long column is
+narrowed first: a sample brackets the wanted ranks, one scan counts exactly how many
+values lie below and inside the bracket, and only when few are inside is an exact
+function applied to them. The counts verify the sample, so the result never depends on
+it. Every step is a scan with map-side aggregation; no column is ever sorted or shuffled
+as a whole.
 """
 
 from __future__ import annotations
@@ -20,132 +21,187 @@ from rinseworks.functions.expr import number
 
 DIRECT_LIMIT = 200_000
 _ACCURACY = 10_000
+_SEED = 11
 
 
 @dataclass
 class _Bracket:
     column: str
-    rank: int  # order statistic wanted, from 0
-    low: float
-    high: float
+    place: float  # position among the sorted values, from 0
+    low: float | None  # None: the whole column
+    high: float | None
     below: int
     inside: int
-    distinct: int
-    width: float = 2.0 / _ACCURACY
-    value: float | None = None
+    caution: float = 4.0  # standard errors left around the estimate
+    few: bool = False  # so few values inside that they can be looked at
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.place), math.ceil(self.place)
+
+    def ends(self, sampled: float) -> list[float]:
+        """Two quantiles of a sample of the inside that should enclose the place."""
+        p = min(1.0, max(0.0, (self.place - self.below) / max(self.inside - 1, 1)))
+        margin = self.caution / 4.0 * 2.0 / _ACCURACY + 1.0 / max(self.inside, 1)
+        if sampled < self.inside:
+            margin += self.caution * math.sqrt(p * (1 - p) / sampled + 1 / sampled**2)
+        return [max(0.0, p - margin), min(1.0, p + margin)]
+
+
+def _sample_size(values: int) -> int:
+    return min(max(values // 100, 200_000), 20_000_000)
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    counts: dict[str, tuple[int, int]] | None = None,
+    counts: dict[str, int] | None = None,
     direct_limit: int = DIRECT_LIMIT,
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles per column; ``None`` for a column without values.
 
-    ``counts`` may pass (non-missing values, estimated distinct values) known from an
-    earlier scan; otherwise one scan finds them.
+    ``counts`` passes the number of non-missing values where an earlier scan found it.
     """
     if not columns:
         return {}
     if counts is None:
-        counts = count_values(df, columns)
+        row = df.agg(*[F.count(number(df, c)) for c in columns]).first()
+        counts = dict(zip(columns, row))
     result: dict[str, list[float] | None] = {c: None for c in columns}
-    filled = [c for c in columns if counts[c][0] > 0]
-    direct = [c for c in filled if counts[c][1] <= direct_limit]
-    if direct:
+    short = [c for c in columns if 0 < counts[c] <= direct_limit]
+    if short:
         row = df.agg(
             *[
                 F.percentile(number(df, c), [float(p) for p in probabilities]).alias(f"q{i}")
-                for i, c in enumerate(direct)
+                for i, c in enumerate(short)
             ]
         ).first()
-        for c, q in zip(direct, row):
-            result[c] = list(q)
-    large = [c for c in filled if counts[c][1] > direct_limit]
-    if large:
-        result.update(_select(df, large, probabilities, counts, direct_limit))
+        result.update({c: list(q) for c, q in zip(short, row)})
+    long = [c for c in columns if counts[c] > direct_limit]
+    if long:
+        result.update(_select(df, long, probabilities, counts, direct_limit))
     return result
 
 
-def count_values(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
-    row = df.agg(
-        *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(number(df, c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
-
-
-def _select(df, columns, probabilities, counts, direct_limit):
-    wanted = {}
-    for c in columns:
-        for p in probabilities:
-            place = p * (counts[c][0] - 1)
-            for rank in {math.floor(place), math.ceil(place)}:
-                wanted[(c, rank)] = _Bracket(
-                    c, rank, -math.inf, math.inf, 0, counts[c][0], counts[c][1]
-                )
-    brackets = list(wanted.values())
-    while open_ := [b for b in brackets if b.distinct > direct_limit]:
-        _narrow(df, open_)
-    # Inside a bracket the wanted rank is exact: the discrete percentile aimed at the
-    # middle of its step cannot slip to a neighbour.
-    row = (
-        df.select(*[_inside(df, b).alias(f"v{i}") for i, b in enumerate(brackets)])
-        .agg(
-            *[
-                F.expr(
-                    f"percentile_disc({(b.rank - b.below + 0.5) / b.inside!r}D) "
-                    f"WITHIN GROUP (ORDER BY v{i})"
-                )
-                for i, b in enumerate(brackets)
-            ]
-        )
-        .first()
-    )
-    for b, v in zip(brackets, row):
-        b.value = v
+def _select(df, columns, probabilities, counts, limit):
+    brackets = {
+        (c, p): _Bracket(c, p * (counts[c] - 1), None, None, 0, counts[c])
+        for c in columns
+        for p in probabilities
+    }
+    tries = _sketch_columns(df, columns, list(brackets.values()), counts)
+    while tries:
+        _count(df, tries, limit)
+        open_ = [b for b, _, _ in tries if not b.few]
+        tries = _narrow(df, open_) if open_ else []
+    values = _pick(df, [b for b in brackets.values() if b.low < b.high])
     out = {}
     for c in columns:
-        values = []
+        out[c] = []
         for p in probabilities:
-            place = p * (counts[c][0] - 1)
-            lo, hi = math.floor(place), math.ceil(place)
-            a, z = wanted[(c, lo)].value, wanted[(c, hi)].value
-            values.append(a + (z - a) * (place - lo))
-        out[c] = values
+            b = brackets[(c, p)]
+            low, high = values.get((c, b.place), (b.low, b.low))
+            out[c].append(low + (high - low) * (b.place - b.ranks[0]))
     return out
 
 
 def _inside(df: DataFrame, b: _Bracket) -> Column:
     value = number(df, b.column)
+    if b.low is None:
+        return value
     return F.when((value >= b.low) & (value <= b.high), value)
 
 
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Tighten every bracket around its rank: one sketching scan, one counting scan."""
-    sketch = []
-    for i, b in enumerate(brackets):
-        centre = (b.rank - b.below + 0.5) / b.inside
-        ends = [max(0.0, centre - b.width), min(1.0, centre + b.width)]
-        sketch.append(F.percentile_approx(_inside(df, b), ends, _ACCURACY).alias(f"s{i}"))
-    ends = df.agg(*sketch).first()
+def _sketch_columns(df, columns, brackets, counts):
+    """First estimates for all probabilities of all columns from one sample."""
+    longest = max(counts[c] for c in columns)
+    share = min(1.0, _sample_size(longest) / longest)
+    sample = df.sample(False, share, _SEED) if share < 1 else df
+    per = {c: [b for b in brackets if b.column == c] for c in columns}
+    row = sample.agg(
+        *[
+            F.percentile_approx(
+                number(df, c),
+                [e for b in per[c] for e in b.ends(share * counts[c] if share < 1 else counts[c])],
+                _ACCURACY,
+            ).alias(f"s{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    out = []
+    for c, ends in zip(columns, row):
+        for i, b in enumerate(per[c]):
+            found = (ends[2 * i], ends[2 * i + 1]) if ends else (None, None)
+            out.append((b, *found))
+    return out
+
+
+def _count(df: DataFrame, tries: list[tuple], limit: int) -> None:
+    """Accept the brackets that really hold their ranks, with exact counts."""
+    tries = [(b, low, high) for b, low, high in tries if low is not None]
+    if not tries:
+        return
     tests = []
-    for i, b in enumerate(brackets):
+    for i, (b, low, high) in enumerate(tries):
         value = number(df, b.column)
-        low, high = ends[i]
-        within = (value >= low) & (value <= high)
         tests += [
             F.count_if(value < low).alias(f"b{i}"),
-            F.count_if(within).alias(f"n{i}"),
-            F.approx_count_distinct(F.when(within, value)).alias(f"d{i}"),
+            F.count_if((value >= low) & (value <= high)).alias(f"n{i}"),
         ]
     seen = df.agg(*tests).first()
-    for i, b in enumerate(brackets):
+    crowded = []
+    for i, (b, low, high) in enumerate(tries):
         below, inside = seen[f"b{i}"], seen[f"n{i}"]
-        if below <= b.rank < below + inside:
-            b.low, b.high = float(ends[i][0]), float(ends[i][1])
-            b.below, b.inside, b.distinct = below, inside, seen[f"d{i}"]
-        else:  # the sketch missed the rank: look wider next time
-            b.width *= 4
+        first, last = b.ranks
+        if below <= first and last < below + inside:
+            shrunk = inside < 0.5 * b.inside
+            b.low, b.high, b.below, b.inside = float(low), float(high), below, inside
+            b.few = low == high or inside <= limit
+            if not b.few and not shrunk:
+                crowded.append(b)
+        else:  # the estimate missed a rank: look wider
+            b.caution *= 4
+    if crowded:  # repeated values keep the bracket full: their distinct values decide
+        row = df.agg(*[F.approx_count_distinct(_inside(df, b)) for b in crowded]).first()
+        for b, distinct in zip(crowded, row):
+            b.few = distinct <= limit
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
+    """Estimate again from a sample of what lies within each bracket."""
+    sketches = []
+    for i, b in enumerate(brackets):
+        wanted = _sample_size(b.inside)
+        value = _inside(df, b)
+        if wanted < b.inside:
+            value = F.when(F.rand(_SEED + i) < wanted / b.inside, value)
+        ends = b.ends(min(wanted, b.inside))
+        sketches.append(F.percentile_approx(value, ends, _ACCURACY).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    return [(b, ends[0], ends[1]) if ends else (b, None, None) for b, ends in zip(brackets, row)]
+
+
+def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, float], tuple[float, float]]:
+    """The values at the wanted ranks.
+
+    Inside a bracket a rank is known exactly, and a discrete percentile aimed at the
+    middle of its step cannot slip to a neighbour.
+    """
+    if not brackets:
+        return {}
+    row = (
+        df.select(*[_inside(df, b).alias(f"v{i}") for i, b in enumerate(brackets)])
+        .agg(
+            *[
+                F.expr(
+                    f"percentile_disc({(rank - b.below + 0.5) / b.inside!r}D) "
+                    f"WITHIN GROUP (ORDER BY v{i})"
+                )
+                for i, b in enumerate(brackets)
+                for rank in b.ranks
+            ]
+        )
+        .first()
+    )
+    return {(b.column, b.place): (row[2 * i], row[2 * i + 1]) for i, b in enumerate(brackets)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,11 @@ def words(value: Column) -> Column:
     return F.filter(F.split(value, _SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(value: Column, pattern: str) -> Column:
     """All non-overlapping matches of a pattern."""
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(0))

@@ -172,12 +172,18 @@ def _as_number(v: Column) -> Column:
 
 
 def parsed_date(v: Column) -> Column:
-    """Year-first or month-first dates, with or without a time; else null."""
+    """Year-first or month-first dates, with or without a time; else null.
+
+    The shape is tested first, since a failed parse is far dearer than a pattern.
+    """
+    shapes = {
+        r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+        r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+        r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+        r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$": "M/d/yyyy HH:mm:ss",
+    }
     return F.coalesce(
-        *[
-            F.try_to_timestamp(v, F.lit(f))
-            for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "M/d/yyyy HH:mm:ss")
-        ]
+        *[F.when(v.rlike(p), F.try_to_timestamp(v, F.lit(f))) for p, f in shapes.items()]
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinseworks.functions import constants as K
-from rinseworks.functions.expr import ref, strip
+from rinseworks.functions.expr import let, ref, strip
 
 
 def _fields(line: Column, delimiter: str) -> Column:
@@ -18,20 +18,27 @@ def _fields(line: Column, delimiter: str) -> Column:
 
 def _attempt(lines: Column, delimiter: str) -> Column:
     """Header and records under a delimiter; null when it yields a single column."""
-    header = _fields(F.get(lines, F.lit(0)), delimiter)
     body = F.when(F.size(lines) > 1, F.slice(lines, F.lit(2), F.size(lines) - 1)).otherwise(
         F.array().cast("array<string>")
     )
-    records = F.filter(
-        F.transform(body, lambda line: _fields(line, delimiter)),
-        lambda r: (F.size(r) <= F.size(header)) & F.exists(r, lambda v: ~strip(v).isin(K.NA_TOKENS)),
-    )
-    return F.when(
-        F.size(header) > 1,
-        F.struct(
-            F.lit(delimiter).alias("delimiter"), header.alias("header"), records.alias("records")
-        ),
-    )
+
+    def parsed(header):
+        records = F.filter(
+            F.transform(body, lambda line: _fields(line, delimiter)),
+            lambda r: (F.size(r) <= F.size(header))
+            & F.exists(r, lambda v: ~strip(v).isin(K.NA_TOKENS)),
+        )
+        return F.when(
+            F.size(header) > 1,
+            F.struct(
+                F.lit(delimiter).alias("delimiter"),
+                header.alias("header"),
+                records.alias("records"),
+            ),
+        )
+
+    first = F.get(lines, F.lit(0))
+    return F.when(F.contains(first, F.lit(delimiter)), let(_fields(first, delimiter), parsed))
 
 
 def sniff_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,9 +51,14 @@ def sniff_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.filter(F.split(ref(text), "\r\n|\n|\r"), lambda s: strip(s) != "")
     held = df.select(ref(key), lines.alias("__lines"))
     tries = [_attempt(F.col("__lines"), d) for d in K.DELIMITERS]
-    best = F.filter(F.array(*tries), lambda t: t.isNotNull() & (F.size(t["records"]) > 0))
+    best = let(
+        F.array(*tries),
+        lambda found: F.get(
+            F.filter(found, lambda t: t.isNotNull() & (F.size(t["records"]) > 0)), F.lit(0)
+        ),
+    )
     return (
-        held.select(ref(key), F.get(best, F.lit(0)).alias("t"))
+        held.select(ref(key), best.alias("t"))
         .where(F.col("t").isNotNull())
         .select(
             ref(key),

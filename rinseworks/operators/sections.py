@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinseworks.functions import constants as K
-from rinseworks.functions.expr import matches, ref, strip, words
+from rinseworks.functions.expr import let, matches, ref, strip, words
 
 PATTERNS = {
     "email": K.EMAIL,
@@ -28,29 +28,42 @@ def _filled_pieces(text: Column, separator: str) -> Column:
 
 
 def _chunks(items: Column, size: Column, joiner: str) -> Column:
-    """An array regrouped into joined runs of the given length."""
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(
-        F.array().cast("array<int>")
-    )
+    """A non-empty array regrouped into joined runs of the given length."""
+    starts = F.sequence(F.lit(1), F.size(items), size)
     return F.transform(starts, lambda i: F.array_join(F.slice(items, i, size), joiner))
 
 
+def _lines(text: Column) -> Column:
+    def grouped(lines):
+        size = F.greatest(F.lit(5), F.floor(F.size(lines) / 10).cast("int"))
+        return F.when(F.size(lines) > 10, _chunks(lines, size, "\n")).otherwise(lines)
+
+    return let(_filled_pieces(text, "\n"), grouped)
+
+
 def section_array(text: Column) -> Column:
     """Blank-line paragraphs; of a single paragraph its lines, in chunks if there are many."""
-    paragraphs = _filled_pieces(text, "\n\n")
-    lines = _filled_pieces(text, "\n")
-    size = F.greatest(F.lit(5), F.floor(F.size(lines) / 10).cast("int"))
-    grouped = F.when(F.size(lines) > 10, _chunks(lines, size, "\n")).otherwise(lines)
-    return F.when(F.size(paragraphs) < 2, grouped).otherwise(paragraphs)
+    return let(
+        _filled_pieces(text, "\n\n"),
+        lambda paragraphs: F.when(F.size(paragraphs) < 2, _lines(text)).otherwise(paragraphs),
+    )
+
+
+def _word_chunks(text: Column) -> Column:
+    def grouped(parts):
+        size = F.greatest(F.lit(100), F.floor(F.size(parts) / 5).cast("int"))
+        return F.when(F.size(parts) > 0, _chunks(parts, size, " ")).otherwise(parts)
+
+    return let(words(text), grouped)
 
 
 def page_array(text: Column) -> Column:
     """Form-feed pages, else parts between two blank lines, else about five word chunks."""
     fed = F.filter(F.split(text, "\f"), lambda p: strip(p) != "")
-    gaps = _filled_pieces(text, "\n\n\n")
-    parts = words(text)
-    size = F.greatest(F.lit(100), F.floor(F.size(parts) / 5).cast("int"))
-    whole = F.when(F.size(gaps) == 1, _chunks(parts, size, " ")).otherwise(gaps)
+    whole = let(
+        _filled_pieces(text, "\n\n\n"),
+        lambda gaps: F.when(F.size(gaps) == 1, _word_chunks(text)).otherwise(gaps),
+    )
     return F.when(F.contains(text, F.lit("\f")), fed).otherwise(whole)
 
 
@@ -99,16 +112,21 @@ def text_statistics(df: DataFrame, text: str) -> DataFrame:
     sentences = F.size(
         F.filter(F.split(ref(text), r"\."), lambda s: strip(s) != "")
     )
-    held = df.withColumn("__words", words(ref(text)))
-    letters = F.aggregate("__words", F.lit(0), lambda a, w: a + F.length(w))
-    return held.withColumns(
+    mean_length = let(
+        words(ref(text)),
+        lambda found: F.round(
+            F.try_divide(
+                F.aggregate(found, F.lit(0), lambda total, w: total + F.length(w)), F.size(found)
+            ),
+            2,
+        ),
+    )
+    return df.withColumns(
         {
             "sentence_count": sentences.cast("bigint"),
-            "avg_word_length": F.coalesce(
-                F.round(F.try_divide(letters, F.size("__words")), 2), F.lit(0.0)
-            ),
+            "avg_word_length": F.coalesce(mean_length, F.lit(0.0)),
         }
-    ).drop("__words")
+    )
 
 
 def section_stats(df: DataFrame, text: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinseworks.frames import small_frame
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import ref
 from rinseworks.types import ISSUE_SCHEMA
 
-_PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_WORD = re.compile(r"\w+")
 
 
 def basic_dictionary(spark: SparkSession) -> DataFrame:
@@ -133,15 +137,26 @@ def correct_spelling(
         .groupBy("__key")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("__fix"))
     )
-    replaced = F.array_join(
-        F.transform(
-            F.regexp_extract_all(ref(column), F.lit(_PIECES), F.lit(0)),
-            lambda w: F.coalesce(F.try_element_at(F.col("__fix"), F.lower(w)), w),
-        ),
-        "",
-    )
     return (
         df.join(per_row, ref(key) == F.col("__key"), "left")
-        .withColumn(column, F.when(F.col("__fix").isNull(), ref(column)).otherwise(replaced))
+        .withColumn(
+            column,
+            F.when(F.col("__fix").isNull(), ref(column)).otherwise(
+                _replace_words(ref(column), F.col("__fix"))
+            ),
+        )
         .drop("__key", "__fix")
     )
+
+
+@F.pandas_udf(T.StringType())
+def _replace_words(texts: pd.Series, fixes: pd.Series) -> pd.Series:
+    """Whole words looked up in the row's own fixes (a map has no hashed look-up in SQL)."""
+
+    def corrected(text, fix):
+        if fix is None or text is None:
+            return text
+        known = dict(fix)
+        return _WORD.sub(lambda m: known.get(m[0].lower(), m[0]), text)
+
+    return pd.Series([corrected(t, f) for t, f in zip(texts, fixes)])

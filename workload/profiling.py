@@ -285,14 +285,14 @@ def isolation_forest_flags(t):
 
 
 @query(
-    with_view("part", "f as ("
-    + each(cols("part", TEXT),
+    with_view("dirty_customer", "f as ("
+    + each(cols("dirty_customer", TEXT),
            "select '{c}' as c, {c} as x, count(*) as k, sum(count(*)) over () as n from v where {c} is not null group by {c}")
     + ")", "s as (select c, sum(k) as r, max(n) as n from f where k * 1.0 / n < 0.01 group by c)")
     + issue("rare_categories", "c", "r", "100.0 * r / n", "'low'", "from s")
 )
 def detect_rare_categories(t):
-    return core(outliers.detect_rare_categories(t.part))
+    return core(outliers.detect_rare_categories(t.dirty_customer))
 
 
 def pattern_cte(view: str) -> str:

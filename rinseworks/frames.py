@@ -19,6 +19,7 @@ _ARROW = {
     "boolean": pa.bool_(),
 }
 _local_folders: dict[str, str] = {}
+_written: list[str] = []
 
 
 def per_column(
@@ -79,4 +80,22 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/rinseworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates this process wrote, once no frame reads them any more."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when a scan has fewer tasks than there are cores.
+
+    A small file of a single row group is one task; work that is heavy per row then uses
+    one core. Inputs with enough tasks are left alone, so large tables never shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

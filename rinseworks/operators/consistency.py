@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rinseworks.frames import localize, per_column
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import contains_any, percent, ref, severity, strip, text_columns
-from rinseworks.operators.frequency import value_counts
+from rinseworks.operators.frequency import compact, stacked_text
 
 _FORMATS = list(K.DATE_FORMATS)
 
@@ -126,10 +126,15 @@ def detect_encoding_issues(df: DataFrame) -> DataFrame:
 
 def case_variants(df: DataFrame) -> DataFrame:
     """``(column, folded, variants, rows)``: spellings that differ only in case."""
+    value = F.col("value")
     return (
-        value_counts(df, text_columns(df))
-        .where(F.col("value").isNotNull())
-        .groupBy("column", F.lower("value").alias("folded"))
+        stacked_text(df, text_columns(df))
+        .where(value.isNotNull())
+        .groupBy(
+            "column", compact(F.lower(value)).alias("folded"), compact(value).alias("value")
+        )
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy("column", "folded")
         .agg(F.count(F.lit(1)).alias("variants"), F.sum("cnt").alias("rows"))
     )
 

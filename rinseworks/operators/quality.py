@@ -24,7 +24,7 @@ from rinseworks.functions.expr import (
 )
 from rinseworks.operators.consistency import case_variants
 from rinseworks.operators.duplicates import duplicate_row_count
-from rinseworks.operators.frequency import value_counts
+from rinseworks.operators.frequency import SHORT, compact, stacked_text
 from rinseworks.operators.profile import NumericSummary, missing_counts, summarize_numeric
 
 _TEXT_COUNTS = ["missing", "present", "spaced", "bad_email", "bad_phone", "empty", "numeric"]
@@ -61,22 +61,32 @@ def quality_counts(df: DataFrame) -> DataFrame:
 def text_quality_counts(df: DataFrame) -> DataFrame:
     """The same counts for text columns with ``distinct`` and ``folded`` spellings.
 
-    Built on the value-frequency table: a value is tested once however often it occurs.
+    Built on the value-frequency table: a short value is tested once however often it
+    occurs. Long text is tested where it is read and travels as a digest with the
+    outcome of its tests.
     """
-    tests = _text_tests(F.col("value"), F.col("column"))
-    folded = (
-        value_counts(df, text_columns(df))
-        .groupBy("column", F.lower("value").alias("folded"))
-        .agg(
-            F.count("value").alias("variants"),
-            F.sum("cnt").alias("total"),
-            *[
-                F.coalesce(F.sum(F.when(test, F.col("cnt"))), F.lit(0)).alias(name)
-                for name, test in tests.items()
-            ],
+    value, name = F.col("value"), F.col("column")
+    here = F.array(*[F.coalesce(t, F.lit(False)) for t in _text_tests(value, name).values()])
+    counted = (
+        stacked_text(df, text_columns(df))
+        .groupBy(
+            "column",
+            compact(F.lower(value)).alias("folded"),
+            compact(value).alias("value"),
+            F.when(F.length(value) > SHORT, here).alias("tested"),
         )
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .withColumn("tests", F.coalesce("tested", here))
+    )
+    per_spelling = counted.groupBy("column", "folded").agg(
+        F.count("value").alias("variants"),
+        F.sum("cnt").alias("total"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("tests")[i], F.col("cnt"))), F.lit(0)).alias(n)
+            for i, n in enumerate(_TEXT_COUNTS)
+        ],
     )
-    return folded.groupBy("column").agg(
+    return per_spelling.groupBy("column").agg(
         F.sum("variants").alias("distinct"),
         F.count("folded").alias("folded"),
         *[F.sum(n).alias(n) for n in ("total", *_TEXT_COUNTS)],

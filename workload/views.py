@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rinseworks.frames import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# long texts: the work per row outweighs dealing out the rows of a small file
+HEAVY = {"documents", "pages"}
+
 VIEWS = {
     "dirty_orders": """
 select o_orderkey, o_custkey,
@@ -120,7 +125,8 @@ class Data:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(frame) if name in HEAVY else frame
         if name == "word_boxes":
             return self._sql(WORD_BOXES, SPARK_BOXES)
         if name in VIEWS:

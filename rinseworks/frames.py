@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,13 @@ def localize(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, [tuple(r) for r in df.collect()], df.schema)
 
 
+def together(spark: SparkSession, *tasks: Callable[[], object]) -> list:
+    """Results of independent tasks, run at the same time so their jobs share the cluster."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [w.result() for w in waiting]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 

@@ -16,26 +16,32 @@ from rinseworks.operators.frequency import compact, stacked_text
 _FORMATS = list(K.DATE_FORMATS)
 
 
-def format_counts(df: DataFrame) -> DataFrame:
-    """Per text column, how many values show each of the tested traits."""
+def format_counts(df: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Per text column, how many values show each of the tested traits.
+
+    ``wanted`` names the start of the traits to test; the others stay zero.
+    """
 
     def stats(c):
         v = ref(c)
         marks = F.count_if(contains_any(v, K.MOJIBAKE))
         if c.lower() in K.ASCII_ONLY_COLUMNS:
             marks = marks + F.count_if(v.rlike(K.NON_ASCII))
+        traits = {
+            **{f"date{i}": v.rlike(p) for i, p in enumerate(K.DATE_FORMATS.values())},
+            "comma": v.rlike(K.COMMA_DECIMAL),
+            "dot": v.rlike(K.DOT_DECIMAL),
+            "currency": v.rlike(K.CURRENCY_SYMBOL),
+            "whitespace": strip(v) != v,
+            "non_ascii": v.rlike(K.NON_ASCII),
+        }
+        counts = {name: F.count_if(test) for name, test in traits.items()} | {"encoding": marks}
         return [
             F.count(v).alias("present"),
             *[
-                F.count_if(v.rlike(p)).alias(f"date{i}")
-                for i, p in enumerate(K.DATE_FORMATS.values())
+                (n if wanted is None or name.startswith(wanted) else F.lit(0).cast("bigint")).alias(name)
+                for name, n in counts.items()
             ],
-            F.count_if(v.rlike(K.COMMA_DECIMAL)).alias("comma"),
-            F.count_if(v.rlike(K.DOT_DECIMAL)).alias("dot"),
-            F.count_if(v.rlike(K.CURRENCY_SYMBOL)).alias("currency"),
-            F.count_if(strip(v) != v).alias("whitespace"),
-            F.count_if(v.rlike(K.NON_ASCII)).alias("non_ascii"),
-            marks.alias("encoding"),
         ]
 
     return per_column(df, text_columns(df), stats)
@@ -101,27 +107,27 @@ def encoding_issues(counts: DataFrame) -> DataFrame:
 
 def detect_mixed_date_formats(df: DataFrame) -> DataFrame:
     """Deviation: every value is looked at, not the first hundred."""
-    return mixed_date_formats(format_counts(df))
+    return mixed_date_formats(format_counts(df, ("date",)))
 
 
 def detect_mixed_decimal_separator(df: DataFrame) -> DataFrame:
-    return mixed_decimal_separator(format_counts(df))
+    return mixed_decimal_separator(format_counts(df, ("comma", "dot")))
 
 
 def detect_currency_symbols(df: DataFrame) -> DataFrame:
-    return currency_symbols(format_counts(df))
+    return currency_symbols(format_counts(df, ("currency",)))
 
 
 def detect_whitespace(df: DataFrame) -> DataFrame:
-    return outer_whitespace(format_counts(df))
+    return outer_whitespace(format_counts(df, ("whitespace",)))
 
 
 def detect_non_ascii(df: DataFrame) -> DataFrame:
-    return non_ascii_characters(format_counts(df))
+    return non_ascii_characters(format_counts(df, ("non_ascii",)))
 
 
 def detect_encoding_issues(df: DataFrame) -> DataFrame:
-    return encoding_issues(format_counts(df))
+    return encoding_issues(format_counts(df, ("encoding",)))
 
 
 def case_variants(df: DataFrame) -> DataFrame:

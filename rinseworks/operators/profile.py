@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseworks.frames import per_column, small_frame
+from rinseworks.frames import localize, per_column, small_frame, together
 from rinseworks.functions.expr import is_missing, number, numeric_columns, percent, ref, text_columns
 from rinseworks.operators.duplicates import count_duplicate_rows
 from rinseworks.operators.frequency import distinct_counts
@@ -106,7 +106,12 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def dataset_stats(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells, duplicate rows, column kinds."""
-    cells = missing_counts(df).agg(
+    counts, copies = together(
+        df.sparkSession,
+        lambda: localize(missing_counts(df)),
+        lambda: count_duplicate_rows(df),
+    )
+    cells = counts.agg(
         F.coalesce(F.max("total"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_values"),
     )
@@ -114,7 +119,7 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         "total_rows",
         F.lit(len(df.columns)).cast("bigint").alias("total_columns"),
         "missing_values",
-        F.lit(count_duplicate_rows(df)).cast("bigint").alias("duplicates"),
+        F.lit(copies).cast("bigint").alias("duplicates"),
         F.lit(len(numeric_columns(df))).cast("bigint").alias("numeric_columns"),
         F.lit(len(text_columns(df))).cast("bigint").alias("text_columns"),
     )
@@ -196,8 +201,10 @@ def iqr_outlier_counts(df: DataFrame) -> DataFrame:
 
 def profile_summary(df: DataFrame) -> DataFrame:
     """Missing share over all cells, duplicate share, outliers of all columns."""
-    stats = dataset_stats(df).first()
-    outliers = sum(s.iqr_outliers for s in summarize_numeric(df))
+    stats, summaries = together(
+        df.sparkSession, lambda: dataset_stats(df).first(), lambda: summarize_numeric(df)
+    )
+    outliers = sum(s.iqr_outliers for s in summaries)
     rows, cols = stats["total_rows"], stats["total_columns"]
     out = [
         (

@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rinseworks.frames import localize, per_column, small_frame
+from rinseworks.frames import localize, per_column, small_frame, together
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import (
     at_most,
     is_missing,
+    numeric_columns,
     percent,
     ref,
     severity,
@@ -246,13 +247,16 @@ def analyze_quality(df: DataFrame) -> DataFrame:
     Text is tested on the value-frequency table, numbers in the scans the quartiles
     need anyway, duplicates on row hashes; the issues themselves are a handful of rows.
     """
-    texts = localize(text_quality_counts(df))
-    summaries = summarize_numeric(df)
+    rest = [c for c in df.columns if c not in {*numeric_columns(df), *text_columns(df)}]
+    texts, duplicates, summaries, gaps = together(
+        df.sparkSession,
+        lambda: localize(text_quality_counts(df)),
+        lambda: localize(duplicate_row_count(df)),
+        lambda: summarize_numeric(df),
+        lambda: missing_counts(df.select(*[ref(c) for c in rest])).collect() if rest else [],
+    )
     known = {s.column: (s.rows, s.rows - s.present) for s in summaries}
-    rest = [c for c in df.columns if c not in known and c not in text_columns(df)]
-    if rest:
-        found = missing_counts(df.select(*[ref(c) for c in rest])).collect()
-        known.update({r["column"]: (r["total"], r["missing"]) for r in found})
+    known.update({r["column"]: (r["total"], r["missing"]) for r in gaps})
     others = small_frame(
         df.sparkSession,
         [(c, n, m) for c, (n, m) in known.items()],
@@ -260,7 +264,7 @@ def analyze_quality(df: DataFrame) -> DataFrame:
     )
     parts = [
         missing_issues(texts.select("column", "total", "missing").unionByName(others)),
-        duplicate_issues(localize(duplicate_row_count(df))),
+        duplicate_issues(duplicates),
         outlier_issues(df, summaries),
         whitespace_issues(texts),
         case_issues(texts),
@@ -387,8 +391,13 @@ def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
 
     The improvement is measured against the table before, not against a constant.
     """
-    b, a = quality_score(before).first(), quality_score(after).first()
-    rows_before, rows_after = before.count(), after.count()
+    b, a, rows_before, rows_after = together(
+        before.sparkSession,
+        lambda: quality_score(before).first(),
+        lambda: quality_score(after).first(),
+        before.count,
+        after.count,
+    )
     found = b["total_issues"]
     success = 100.0 * (found - a["total_issues"]) / found if found else 100.0
     row = [

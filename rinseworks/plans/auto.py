@@ -27,7 +27,10 @@ def auto_impute(df: DataFrame) -> tuple[DataFrame, list[tuple]]:
         return 100.0 * seen[c][1] / seen[c][0] > 70
 
     medians = exact_quantiles(
-        df, [c for c in gaps if c in numbers and not sparse(c)], [0.5]
+        df,
+        [c for c in gaps if c in numbers and not sparse(c)],
+        [0.5],
+        {c: total - missing for c, (total, missing) in seen.items()},
     )
     actions = []
     for c in gaps:
@@ -52,7 +55,7 @@ def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = df.count()
     df, imputed = auto_impute(df)
     df = durable(df.dropDuplicates())
-    dropped = before - df.count()
+    dropped = before - df.count()  # answered by the files' footers
     df, capped = adaptive_outliers(df)
     df = normalize_text_columns(df)
     rows = [("missing values", *a) for a in imputed]

@@ -5,9 +5,8 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rinseworks.frames import durable, localize, small_frame
+from rinseworks.frames import durable, small_frame, together
 from rinseworks.functions.expr import numeric_columns
 from rinseworks.operators.consistency import detect_inconsistencies
 from rinseworks.operators.duplicates import detect_column_duplicates, detect_exact_duplicates
@@ -35,21 +34,27 @@ REPAIRS_PER_STEP = 4
 def detect_issues(df: DataFrame) -> DataFrame:
     """Issues of all detectors, in the order the repairs are applied."""
     by_column = [
-        detect_missing(df),
-        detect_empty_columns(df),
-        detect_mostly_empty_rows(df),
-        detect_exact_duplicates(df),
-        detect_column_duplicates(df),
-        detect_numeric_outliers(df),
+        detect_missing,
+        detect_empty_columns,
+        detect_mostly_empty_rows,
+        detect_exact_duplicates,
+        detect_column_duplicates,
+        detect_numeric_outliers,
     ]
-    own = [detect(df) for detect in registered_detectors().values()]
+    as_found = [detect_inconsistencies, *registered_detectors().values()]
+    found = together(  # a few rows per column each
+        df.sparkSession,
+        *[
+            lambda d=detect: [tuple(r) for r in d(df).select(*ISSUE_FIELDS).collect()]
+            for detect in [*by_column, *as_found]
+        ]
+    )
     place = {c: i for i, c in enumerate(df.columns)}
     issues: list[tuple] = []
-    for part in by_column:  # a few rows per column each
-        rows = part.select(*ISSUE_FIELDS).collect()
-        issues += sorted((tuple(r) for r in rows), key=lambda r: place.get(r[1], -1))
-    for part in [detect_inconsistencies(df), *own]:
-        issues += [tuple(r) for r in part.select(*ISSUE_FIELDS).collect()]
+    for i, rows in enumerate(found):
+        if i < len(by_column):
+            rows = sorted(rows, key=lambda r: place.get(r[1], -1))
+        issues += rows
     return small_frame(
         df.sparkSession,
         issues,
@@ -108,14 +113,15 @@ def actions_frame(spark, report: CleaningReport) -> DataFrame:
 
 def report_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """Missing cells, duplicates and outliers that a repair took away."""
-    parts = []
-    for frame in (before, after):
-        stats = localize(dataset_stats(frame)).select("missing_values", "duplicates")
-        found = iqr_outlier_counts(frame).agg(
-            F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers")
-        ).first()[0]
-        parts.append(stats.withColumn("outliers", F.lit(found).cast("bigint")).first())
-    b, a = parts
+    def measure(frame):
+        stats, outliers = together(
+            frame.sparkSession,
+            lambda: dataset_stats(frame).first(),
+            lambda: iqr_outlier_counts(frame).collect(),
+        )
+        return stats["missing_values"], stats["duplicates"], sum(r["outliers"] for r in outliers)
+
+    b, a = together(before.sparkSession, lambda: measure(before), lambda: measure(after))
     return small_frame(
         before.sparkSession,
         [(b[0] - a[0], b[1] - a[1], b[2] - a[2])],

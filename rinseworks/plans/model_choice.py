@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseworks.frames import durable, small_frame
+from rinseworks.frames import durable, small_frame, together
 from rinseworks.functions.expr import is_missing, number, numeric_columns
 from rinseworks.operators import repair
 from rinseworks.operators.duplicates import drop_duplicates
@@ -20,6 +20,9 @@ from rinseworks.operators.quantiles import exact_quantiles
 from rinseworks.plans.strategies import candidates, choose
 from rinseworks.types import Issue, Strategy
 
+# Candidates that are judged on the same table.
+_SAME = {"knn_imputation": "mean_imputation"}
+
 
 def _trial(df: DataFrame, issue: Issue, strategy: Strategy) -> DataFrame:
     """The table as a candidate is judged on.
@@ -102,14 +105,18 @@ def select_by_model(df: DataFrame, issue: Issue, task: str) -> tuple[Strategy, D
         best = choose(issue, found, rows, issue.column in numbers)
     else:
         target = numbers[-1]
-        scores = []
-        known: dict[str, float] = {}
-        for s in found:
-            trial = _trial(df, issue, s)
-            same = "unchanged" if trial is df else s.name
-            if same not in known:
-                known[same] = evaluate(trial, target, numbers[:-1], task)
-            scores.append((s, known[same]))
+        trials = {s.name: _trial(df, issue, s) for s in found}
+        kind = {n: "unchanged" if t is df else _SAME.get(n, n) for n, t in trials.items()}
+        distinct = {kind[n]: t for n, t in trials.items()}
+        quality = together(
+            df.sparkSession,
+            *[
+                lambda t=t: evaluate(t, target, numbers[:-1], task)
+                for t in distinct.values()
+            ]
+        )
+        known = dict(zip(distinct, quality))
+        scores = [(s, known[kind[s.name]]) for s in found]
         best = max(scores, key=lambda item: item[1])[0]
     table = small_frame(
         df.sparkSession,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinseworks.frames import durable
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import ref, strip
 from rinseworks.operators.sections import extract_patterns
@@ -67,14 +68,47 @@ def word_boxes_to_blocks(
     return extract_patterns(out, "text") if patterns else out
 
 
-@F.pandas_udf(T.StringType())
-def _expected_header(names: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _header_names(headers: pd.Series) -> pd.Series:
+    """Names close to an expected one take it; repeated names get a number."""
+    known: dict[str, str] = {}
+
     def closest(name: str) -> str:
-        near = difflib.get_close_matches(name, K.ORDER_COLUMNS, n=1, cutoff=0.6)
-        return near[0] if near else name
+        if name not in known:
+            near = difflib.get_close_matches(name, K.ORDER_COLUMNS, n=1, cutoff=0.6)
+            known[name] = near[0] if near else name
+        return known[name]
+
+    def unique(names) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for name in map(closest, names):
+            seen[name] = seen.get(name, -1) + 1
+            out.append(f"{name}_{seen[name]}" if seen[name] else name)
+        return out
+
+    return headers.map(unique)
+
+
+def _header_cells(words: Column) -> Column:
+    """Words of the header line merged into cells ``(name, low, high)``."""
+
+    def add(cells, word):
+        last = F.element_at(cells, -1)
+        right = word["left"] + word["width"]
+        joins = (F.size(cells) > 0) & (word["left"] - F.get(cells, F.size(cells) - 1)["high"] <= 18)
+        grown = F.struct(
+            F.concat_ws(" ", last["name"], word["text"]).alias("name"),
+            last["low"].alias("low"),
+            right.alias("high"),
+        )
+        fresh = F.struct(word["text"].alias("name"), word["left"].alias("low"), right.alias("high"))
+        return F.when(
+            joins, F.concat(F.slice(cells, F.lit(1), F.size(cells) - 1), F.array(grown))
+        ).otherwise(F.concat(cells, F.array(fresh)))
 
-    known = {name: closest(name) for name in names.unique()}
-    return names.map(known)
+    none = F.array().cast("array<struct<name:string,low:double,high:double>>")
+    return F.aggregate(words, none, add)
 
 
 def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
@@ -84,7 +118,8 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
     header is the line with most words among the five top-most; its words merge into one
     header cell when at most 18 apart. Words of lower lines go to the header cell that
     contains their centre, else to the nearest. Pages with fewer than eight confident
-    words or two header cells have no table.
+    words or two header cells have no table. A line travels as one row, as it does in
+    the result; pages are never gathered.
     """
     line = ["doc", "block_num", "par_num", "line_num"]
     words = df.select(
@@ -95,71 +130,61 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
         *[F.coalesce(ref(c).cast("double"), F.lit(0.0)).alias(c) for c in ("left", "top", "width")],
         "text",
     ).where((F.coalesce(ref("conf").cast("double"), F.lit(-1.0)) > 35) & (strip(ref("text")) != ""))
-
-    lines = words.groupBy(*line).agg(
-        F.percentile("top", 0.5).alias("line_top"), F.count(F.lit(1)).alias("line_words")
+    lines = durable(
+        words.groupBy(*line).agg(
+            F.array_sort(F.collect_list(F.struct("left", "text", "width"))).alias("words"),
+            F.percentile("top", 0.5).alias("line_top"),
+            F.count(F.lit(1)).alias("line_words"),
+        )
     )
     enough = lines.groupBy("doc").agg(F.sum("line_words").alias("n")).where(F.col("n") >= 8)
     from_top = Window.partitionBy("doc").orderBy("line_top", "block_num", "par_num", "line_num")
     header = (
-        lines.join(enough, "doc", "left_semi")
+        lines.select(*line, "line_top", "line_words")
         .withColumn("place", F.row_number().over(from_top))
         .where(F.col("place") <= 5)
         .groupBy("doc")
         .agg(
             F.min_by(
-                F.struct("block_num", "par_num", "line_num", "line_top"),
+                F.struct("block_num", "par_num", "line_num"),
                 F.struct((-F.col("line_words")).alias("w"), F.col("place")),
             ).alias("h")
         )
         .select("doc", "h.*")
-        .withColumnRenamed("line_top", "header_top")
-    )
-
-    across = Window.partitionBy("doc").orderBy("left", "text")
-    apart = F.col("left") - F.lag(F.col("left") + F.col("width")).over(across) > 18
-    cells = (
-        words.join(header.select(*line), line, "left_semi")
-        .withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-        .withColumn("cell", F.sum("apart").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc", "cell")
-        .agg(
-            _joined(["left"], "text").alias("name"),
-            F.min("left").alias("low"),
-            F.max_by(F.col("left") + F.col("width"), "left").alias("high"),
-        )
-        .withColumn("name", _expected_header(strip(F.col("name"))))
-    )
-    again = Window.partitionBy("doc", "name").orderBy("cell")
-    named = cells.withColumn("repeat", F.row_number().over(again) - 1).withColumn(
-        "name",
-        F.when(F.col("repeat") > 0, F.concat_ws("_", "name", "repeat")).otherwise(F.col("name")),
+        .join(enough, "doc", "left_semi")
     )
     layout = (
-        named.groupBy("doc")
-        .agg(F.array_sort(F.collect_list(F.struct("cell", "name", "low", "high"))).alias("cells"))
+        lines.join(header, line, "left_semi")
+        .select(
+            "doc", F.col("line_top").alias("header_top"), _header_cells(F.col("words")).alias("cells")
+        )
         .where(F.size("cells") >= 2)
-        .join(header.select("doc", "header_top"), "doc")
+        .withColumn("names", _header_names(F.transform("cells", lambda c: strip(c["name"]))))
     )
 
-    centre = F.col("left") + F.col("width") / 2
-    nearest = F.array_min(
-        F.transform(
-            "cells",
-            lambda c: F.struct(
-                F.greatest(c["low"] - centre, centre - c["high"], F.lit(0.0)).alias("gap"),
-                c["cell"].alias("cell"),
-                c["name"].alias("name"),
-            ),
+    def column_of(word):
+        centre = word["left"] + word["width"] / 2
+        gaps = F.transform(
+            "cells", lambda c: F.greatest(c["low"] - centre, centre - c["high"], F.lit(0.0))
         )
-    )
+        return F.get("names", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
+
+    def cell(name):
+        here = F.filter("placed", lambda w: w["column"] == name)
+        text = F.array_join(F.transform(here, lambda w: w["text"]), " ")
+        return F.struct(name.alias("column"), text.alias("value"))
+
     return (
-        words.join(lines.select(*line, "line_top"), line)
-        .join(layout, "doc")
+        lines.join(layout, "doc")
         .where(F.col("line_top") > F.col("header_top") + 2)
-        .withColumn("column", nearest["name"])
-        .groupBy(*line, "column")
-        .agg(_joined(["left"], "text").alias("value"))
+        .withColumn(
+            "placed",
+            F.transform(
+                "words", lambda w: F.struct(column_of(w).alias("column"), w["text"].alias("text"))
+            ),
+        )
+        .select(*line, F.inline(F.transform("names", cell)))
+        .where(F.col("value") != "")
         .withColumnRenamed("doc", doc)
     )
 
@@ -168,7 +193,9 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
 
 
 def _as_number(v: Column) -> Column:
-    return F.regexp_replace(v, ",", "").try_cast("double")
+    """A number with or without thousands commas; the pattern keeps casts from failing."""
+    plain = F.regexp_replace(v, ",", "")
+    return F.when(plain.rlike(K.NUMERIC_LITERAL), plain.try_cast("double"))
 
 
 def parsed_date(v: Column) -> Column:
@@ -187,38 +214,55 @@ def parsed_date(v: Column) -> Column:
     )
 
 
-def _role_tests(v: Column) -> dict[str, Column]:
+def _facts(v: Column) -> Column:
+    """What the role tests need to know of a value, found once per value."""
     low = F.lower(v)
-    number = _as_number(v)
-    order = v.rlike(K.ORDER_ID)
-    customer = v.rlike(K.CUSTOMER_ID)
-    date = parsed_date(v).isNotNull()
-    payment = low.rlike("|".join(K.PAYMENT_WORDS))
+    return F.struct(
+        v.rlike(K.ORDER_ID).alias("order"),
+        v.rlike(K.CUSTOMER_ID).alias("customer"),
+        parsed_date(v).isNotNull().alias("date"),
+        low.rlike("|".join(K.PAYMENT_WORDS)).alias("payment"),
+        low.rlike("|".join(K.CATEGORY_WORDS)).alias("category"),
+        _as_number(v).alias("number"),
+    )
+
+
+def _role_tests(facts: Column) -> dict[str, Column]:
+    number = facts["number"]
     numeric = number.isNotNull()
+    whole = numeric & (number == F.floor(number)) & (number >= 0) & (number < 200)
+    taken = facts["order"] | facts["customer"] | facts["date"] | facts["payment"] | numeric
     return {
-        "Order ID": order,
-        "Customer ID": customer,
-        "Order Date": date,
-        "Payment Method": payment,
-        "Quantity": numeric & (number == F.floor(number)) & (number >= 0) & (number < 200),
+        "Order ID": facts["order"],
+        "Customer ID": facts["customer"],
+        "Order Date": facts["date"],
+        "Payment Method": facts["payment"],
+        "Quantity": whole,
         "Price": numeric,
         "Order Total": numeric,
-        "Category": low.rlike("|".join(K.CATEGORY_WORDS)),
-        "Item": ~(order | customer | date | payment | numeric),
+        "Category": facts["category"],
+        "Item": ~taken,
     }
 
 
 def role_shares(df: DataFrame) -> DataFrame:
     """``(column, role, share)``: how many values of each column look like each role."""
-    rows = []
-    for c in df.columns:
-        v = strip(F.coalesce(ref(c).cast("string"), F.lit("nan")))
-        for role, test in _role_tests(v).items():
-            share = F.avg(F.coalesce(test, F.lit(False)).cast("double"))
-            rows.append(
-                F.struct(F.lit(c).alias("column"), F.lit(role).alias("role"), share.alias("share"))
-            )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    known = df.select(
+        *[
+            _facts(strip(F.coalesce(ref(c).cast("string"), F.lit("nan")))).alias(f"f{i}")
+            for i, c in enumerate(df.columns)
+        ]
+    )
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(role).alias("role"),
+            F.avg(F.coalesce(test, F.lit(False)).cast("double")).alias("share"),
+        )
+        for i, c in enumerate(df.columns)
+        for role, test in _role_tests(F.col(f"f{i}")).items()
+    ]
+    return known.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def infer_column_roles(df: DataFrame) -> dict[str, str]:

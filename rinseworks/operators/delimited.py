@@ -11,9 +11,10 @@ from rinseworks.functions.expr import let, ref, strip
 
 def _fields(line: Column, delimiter: str) -> Column:
     """The fields of a line; delimiters inside double quotes do not count."""
-    outside = "\\Q" + delimiter + "\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    parts = F.split(line, outside)
-    return F.transform(parts, lambda p: F.regexp_replace(p, '^"(.*)"$', "$1"))
+    literal = "\\Q" + delimiter + "\\E"
+    outside = literal + "(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    quoted = F.transform(F.split(line, outside), lambda p: F.regexp_replace(p, '^"(.*)"$', "$1"))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, literal))
 
 
 def _attempt(lines: Column, delimiter: str) -> Column:

@@ -45,19 +45,22 @@ def word_boxes_to_blocks(
         "good", F.coalesce((F.col("text") != "") & (F.col("conf") > 30), F.lit(False))
     )
     breaks = (~F.col("good")).cast("bigint")
-    chunks = marked.groupBy("doc", "chunk").agg(F.sum(breaks).alias("inside"))
-    earlier = Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(
-        "doc", "chunk", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before")
-    )
     within = Window.partitionBy("doc", "chunk").orderBy("line", "word")
-    runs = (
-        marked.withColumn("seen", F.sum(breaks).over(within))
-        .where("good")
-        .join(offsets, ["doc", "chunk"])
-        .withColumn("run", F.col("seen") + F.col("before"))
-    )
-    blocks = runs.groupBy("doc", "run").agg(
+    runs = marked.withColumn("run", F.sum(breaks).over(within)).where("good")
+    if marked.agg(F.max("chunk")).first()[0]:
+        # long documents: add the breaks of the chunks before
+        chunks = marked.groupBy("doc", "chunk").agg(F.sum(breaks).alias("inside"))
+        earlier = (
+            Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        offsets = chunks.select(
+            "doc", "chunk", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before")
+        )
+        runs = runs.join(offsets, ["doc", "chunk"]).withColumn("run", F.col("run") + F.col("before"))
+        keys = ["doc", "run"]
+    else:  # one chunk each: the window has already brought the words together
+        keys = ["doc", "chunk", "run"]
+    blocks = runs.groupBy(*keys).agg(
         _joined(["line", "word"], "text").alias("text"),
         F.avg("conf").alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),

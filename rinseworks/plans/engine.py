@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from rinseworks.frames import durable, small_frame, together
@@ -83,8 +84,12 @@ def engine_clean(
         else:
             is_number = issue.column in numeric_columns(df)
             strategy = choose(issue, found, rows, is_number)
-        after = apply_strategy(df, issue, strategy, key)
-        changed = rows_affected(df, issue, strategy, after) if after is not df else 0
+        try:
+            after = apply_strategy(df, issue, strategy, key)
+            changed = rows_affected(df, issue, strategy, after) if after is not df else 0
+        except PySparkException as error:  # the run goes on with the next issue
+            actions.append(Action(issue, strategy, success=False, error=str(error)))
+            continue
         actions.append(Action(issue, strategy, changed))
         if after is not df:
             stacked += 1

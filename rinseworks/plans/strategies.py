@@ -126,26 +126,18 @@ def select_strategy(issues: DataFrame, df: DataFrame, target_task: str | None =
 
     The policy decides per issue type, share of missing rows and kind of column.
     """
-    numbers = numeric_columns(df)
-    total = df.count()
-    options = {kind: candidates(kind, target_task) for kind in {**POLICY, **_extra}}
+    mostly = 100.0 * F.col("affected_rows") / F.lit(max(df.count(), 1)) > 70
+    is_number = F.col("column").isin(numeric_columns(df))
     chosen = F.lit(NO_ACTION.name)
-    for kind, found in options.items():
-        def pick(column, share, found=found, kind=kind):
-            rows = int(share)
-            name = choose(Issue(kind, column, rows, 0.0, "", ""), found, 100, column == "number").name
-            return F.lit(name)
-
-        if kind == "missing_values":
-            mostly = 100.0 * F.col("affected_rows") / F.lit(max(total, 1)) > 70
-            value = (
-                F.when(mostly, pick("text", 71))
-                .when(F.col("column").isin(numbers), pick("number", 0))
-                .otherwise(pick("text", 0))
-            )
-        else:
-            value = pick("text", 0)
-        chosen = F.when(F.col("issue_type") == kind, value).otherwise(chosen)
+    for kind in {**POLICY, **_extra}:
+        found = candidates(kind, target_task)
+
+        def pick(share: int, number: bool, kind=kind, found=found):
+            issue = Issue(kind, "", share, float(share), "", "")
+            return F.lit(choose(issue, found, 100, number).name)
+
+        value = F.when(mostly, pick(100, False)).when(is_number, pick(0, True))
+        chosen = F.when(F.col("issue_type") == kind, value.otherwise(pick(0, False))).otherwise(chosen)
     return issues.withColumn("strategy", chosen)
 
 

@@ -478,3 +478,31 @@ def read_text_lines(t):
 def file_inventory(t):
     found = inventory.file_inventory(t.spark, t.folder)
     return found.select("name", "extension", "kind", "size", "accepted")
+
+
+def _stats_sql() -> str:
+    from workload.catalog import SQL
+
+    return SQL["dataset_stats"]
+
+
+@query(_stats_sql())
+def write_profile(t):
+    """The table part of a written profile, read back."""
+    folder = _folder(t)
+    writers.write_profile(t.dirty_orders, folder)
+    names = ["total_rows", "total_columns", "missing_values", "duplicates", "numeric_columns", "text_columns"]
+    return t.spark.read.schema(", ".join(f"{n} bigint" for n in names)).json(f"{folder}/table")
+
+
+@query()
+def write_report(t):
+    """The actions of a written cleaning report, read back."""
+    from rinseworks.plans import engine
+
+    folder = _folder(t)
+    _, report = engine.engine_clean(t.dirty_orders)
+    writers.write_report(t.spark, report, folder)
+    return t.spark.read.schema(
+        "step bigint, issue_type string, column string, strategy string, rows_affected bigint, success boolean"
+    ).json(f"{folder}/actions")

@@ -44,6 +44,8 @@ def per_column(
 def small_frame(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
     """A frame of a few rows decided on the driver, as a local relation without a job."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if any(f.dataType.simpleString() not in _ARROW for f in kind):
+        return spark.createDataFrame(rows, kind)
     fields = [(f.name, _ARROW[f.dataType.simpleString()]) for f in kind]
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     table = pa.table(
@@ -53,8 +55,8 @@ def small_frame(spark: SparkSession, rows: list, schema: str | T.StructType) ->
 
 
 def localize(df: DataFrame) -> DataFrame:
-    """Hold a frame of a few rows per column as literal rows, so that what is derived
-    from it does not scan the table again."""
+    """Hold a frame of boundedly few rows as literal rows, so that what is derived from
+    it does not scan the table again."""
     return small_frame(df.sparkSession, [tuple(r) for r in df.collect()], df.schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinseworks.frames import durable, per_column
+from rinseworks.frames import durable, localize, per_column
 from rinseworks.functions.expr import is_missing, number, numeric_columns, ref, strip, text_columns
 from rinseworks.operators.frequency import column_mode, value_counts
 from rinseworks.operators.quantiles import exact_quantiles
@@ -121,7 +121,7 @@ def impute_context_mode(
         return df
     if not parents:
         return df.withColumn(column, F.coalesce(value, F.lit(overall)))
-    modes = _group_mode(df, parents, value)
+    modes = localize(_group_mode(df, parents, value))
     same = [ref(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(parents)]
     # (max_categories + 1) ** max_parents rows at most: safe to broadcast
     return (
@@ -141,7 +141,7 @@ def impute_parent_mode(df: DataFrame, column: str) -> tuple[DataFrame, str | Non
     present = F.when(~is_missing(df, column), ref(column))
     parent = found[0] if found else None
     if parent is not None:
-        modes = _group_mode(df, [parent], present)  # at most 31 rows
+        modes = localize(_group_mode(df, [parent], present))  # at most 31 rows
         known = F.broadcast(modes.where(F.col("__p0").isNotNull()))
         df = (
             df.join(known, ref(parent) == F.col("__p0"), "left")

@@ -10,10 +10,12 @@ bounded blocks the same search then merges short lists and probes the long ones.
 1. A sketch of hashed counters, summed over all documents, estimates the length of every
    list. It only orders the lists: any order gives the same links.
 2. Documents with equal sets become one entry, by a digest of the set.
-3. The lists are grouped by list; each list names its smallest entry as pivot. Lists with
-   mostly the same members name the same pivot, so the members of a cell (all lists with
-   one pivot) hold every pair that shares a short list.
-4. Cells are cut into blocks of bounded size. Every block is searched with its pivot;
+3. Lists of a few entries are merged: the shuffle counts in how many of them two entries
+   meet. With n <= m grams, entries that link must meet in at least
+   needed(n, m) - ceil(m * percent / 100) + 1 lists, which drops most chance meetings.
+4. Of the other lists each names its smallest entry as pivot. Lists with mostly the same
+   members name the same pivot, so the members of a cell (all lists with one pivot) hold
+   every pair that meets in such a list. Cells are cut into blocks of bounded size. Every block is searched with its pivot;
    where a cell has more blocks, only entries that are not yet connected to the pivot are
    searched in the other blocks.
 5. Links become components; see :mod:`rinseworks.llm.components`.
@@ -21,6 +23,7 @@ bounded blocks the same search then merges short lists and probes the long ones.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +37,10 @@ from rinseworks.frames import durable
 from rinseworks.llm.components import components
 from rinseworks.llm.words import mix, pieces, signed, windows, word_numbers
 
-SKETCH_BITS = 20
-_CHUNK = 1 << 12
+SKETCH_BITS = 22
+_CHUNK = 1 << 14
 BLOCK = 48
+SHORT = 8
 BROADCAST_ROWS = 500_000
 
 
@@ -67,7 +71,7 @@ def ordered(grams: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def list_lengths(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The length class (four to a doubling) of each of 2**bits hashed counters."""
+    """The length class (eight to a doubling, from the median) of 2**bits hashed counters."""
     chunk = min(_CHUNK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,20 +87,25 @@ def list_lengths(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndar
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column("k").to_pylist(), batch.column("counts").to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, np.int64)
+                total[k] = total.get(k, 0) + _unpacked(counts)
         yield _chunks(total.items())
 
     summed = docs.select("text").mapInArrow(count, "k int, counts binary").repartition("k")
     out = np.zeros((1 << bits) // chunk * chunk, np.int64).reshape(-1, chunk)
     for k, counts in summed.mapInArrow(add, "k int, counts binary").collect():  # 2**bits numbers
-        out[k] = np.frombuffer(counts, np.int64)
-    return np.minimum(63, np.floor(4 * np.log2(1 + out.ravel() / max(1.0, np.median(out))))).astype(np.uint8)
+        out[k] = _unpacked(counts)
+    usual = max(1.0, float(np.median(out)))
+    return np.clip(np.floor(8 * np.log2(np.maximum(out.ravel(), 1) / usual)), 0, 63).astype(np.uint8)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int64)
 
 
 def _chunks(items) -> pa.RecordBatch:
     items = list(items)
     return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in items], pa.int32()), pa.array([v.astype(np.int64).tobytes() for _, v in items], pa.binary())],
+        [pa.array([k for k, _ in items], pa.int32()), pa.array([zlib.compress(v.astype(np.int64).tobytes(), 1) for _, v in items], pa.binary())],
         ["k", "counts"],
     )
 
@@ -177,7 +186,7 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS,
-    block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS,
+    block: int = BLOCK, short: int = SHORT, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -210,15 +219,30 @@ def jaccard_components(
                 )
 
     marked = durable(docs.mapInArrow(grams, "doc_id long, n_shingles long, entry long, lists array<long>"))
-    postings = marked.select("entry", F.explode("lists").alias("list"))
-    pivots = postings.groupBy("list").agg(F.min("entry").alias("pivot"), F.max("entry").alias("last"))
-    pivots = durable(pivots.where("pivot <> last").select("list", "pivot"))
-    shared = pivots.count()
-    cells = (
-        postings.join(F.broadcast(pivots) if shared <= broadcast_rows else pivots, "list")
-        .where("entry <> pivot").select("pivot", "entry").distinct()
+    postings = marked.select("entry", F.col("n_shingles").alias("n"), F.explode("lists").alias("list"))
+    shared = postings.groupBy("list").agg(
+        F.min("entry").alias("pivot"), F.max("entry").alias("last"), F.count("*").alias("length")
+    )
+    shared = durable(shared.where("pivot <> last").select("list", "pivot", "length"))
+    met = postings.join(F.broadcast(shared) if shared.count() <= broadcast_rows else shared, "list")
+
+    few = met.where(F.col("length") <= short).groupBy("list").agg(
+        F.array_sort(F.collect_set(F.struct("entry", "n"))).alias("e")  # at most ``short``
+    )
+    pairs = few.select(F.explode(F.expr(
+        "flatten(transform(e, (x, i) -> transform(slice(e, i + 2, size(e)), y -> struct(x as x, y as y))))"
+    )).alias("pair")).select("pair.*")
+    met_often = (
+        f"times >= ceil({percent} * (x.n + y.n) / {100 + percent})"
+        f" - ceil({percent} * greatest(x.n, y.n) / 100) + 1"
+    )
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    pairs = (
+        pairs.where(alike).groupBy("x", "y").agg(F.count("*").alias("times")).where(met_often)
+        .select(F.col("x.entry").alias("pivot"), F.col("y.entry").alias("entry"))
     )
-    cells = durable(cells)
+    cells = met.where((F.col("length") > short) & (F.col("entry") != F.col("pivot"))).select("pivot", "entry")
+    cells = durable(cells.union(pairs).distinct())
     per_cell = cells.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     cells = durable(
         cells.join(per_cell, "pivot").withColumn("block", F.expr("pmod(xxhash64(entry, pivot), blocks)"))
@@ -229,8 +253,8 @@ def jaccard_components(
     wanted = durable(
         marked.select("entry", "doc_id").join(wanted, "entry", "left_semi").groupBy("entry").agg(F.min("doc_id").alias("id"))
     )
-    few = wanted.count() <= broadcast_rows
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id.eqNullSafe(wanted.id)).select("entry", "text")
+    small = wanted.count() <= broadcast_rows
+    texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(wanted.id)).select("entry", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

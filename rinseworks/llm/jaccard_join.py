@@ -251,7 +251,7 @@ def jaccard_components(
     # One text for each entry that is in a cell.
     wanted = cells.select("entry").union(cells.select(F.col("pivot").alias("entry"))).distinct()
     wanted = durable(
-        marked.select("entry", "doc_id").join(wanted, "entry", "left_semi").groupBy("entry").agg(F.min("doc_id").alias("id"))
+        marked.groupBy("entry").agg(F.min("doc_id").alias("id")).join(wanted, "entry", "left_semi")
     )
     small = wanted.count() <= broadcast_rows
     texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(wanted.id)).select("entry", "text")
@@ -289,13 +289,16 @@ def jaccard_components(
             known.join(heads.select("pivot", F.coalesce("root", "pivot").alias("head")), "pivot")
         )
         open_ = known.where("root <> head")
-        asking = open_.select(
-            "pivot", F.col("block").alias("from"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        per_cell = open_.groupBy("pivot").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
+        asking = open_.join(per_cell, "pivot").select(
+            "pivot", F.expr("pmod(xxhash64(pivot, entry), parts)").alias("part"),
+            F.explode(F.expr("sequence(0L, int((blocks - 1) / 2))")).alias("block"),
             "entry", F.lit(True).alias("asks"), "root",
-        ).where("`from` <> block")
-        answering = known.select("pivot", "block", "entry", "root").join(
-            open_.select("pivot", F.col("block").alias("from")).distinct(), "pivot"
-        ).where("`from` <> block").select("pivot", "from", "block", "entry", F.lit(False).alias("asks"), "root")
+        )
+        answering = known.join(per_cell, "pivot").select(
+            "pivot", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"),
+            F.expr("int(block / 2)").cast("long").alias("block"), "entry", F.lit(False).alias("asks"), "root",
+        )
 
         def across(table: pa.Table) -> pa.Table:
             asks = table.column("asks")
@@ -313,7 +316,7 @@ def jaccard_components(
             })
 
         more = asking.unionByName(answering).join(sets, "entry")
-        more = more.groupBy("pivot", "from", "block").applyInArrow(across, "a long, b long")
+        more = more.groupBy("pivot", "part", "block").applyInArrow(across, "a long, b long")
         links = links.union(durable(more))
 
     roots = components(links, "a", "b").withColumnRenamed("node", "entry")

@@ -23,7 +23,6 @@ bounded blocks the same search then merges short lists and probes the long ones.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,8 @@ from pyspark.sql import functions as F
 
 from rinseworks.frames import durable
 from rinseworks.llm.components import components
-from rinseworks.llm.words import mix, pieces, signed, windows, word_numbers
+from rinseworks.llm.learning import summed
+from rinseworks.llm.words import pieces, signed, windows, word_numbers
 
 SKETCH_BITS = 22
 _CHUNK = 1 << 14
@@ -72,42 +72,15 @@ def ordered(grams: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def list_lengths(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """The length class (eight to a doubling, from the median) of 2**bits hashed counters."""
-    chunk = min(_CHUNK, 1 << bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for part in pieces(batch):
-                numbers, _ = word_numbers(part.column("text"), lower=True)
-                grams = windows(numbers, size)
-                total += np.bincount((grams & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        yield _chunks(enumerate(total.reshape(-1, chunk)))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column("k").to_pylist(), batch.column("counts").to_pylist()):
-                total[k] = total.get(k, 0) + _unpacked(counts)
-        yield _chunks(total.items())
-
-    summed = docs.select("text").mapInArrow(count, "k int, counts binary").repartition("k")
-    out = np.zeros((1 << bits) // chunk * chunk, np.int64).reshape(-1, chunk)
-    for k, counts in summed.mapInArrow(add, "k int, counts binary").collect():  # 2**bits numbers
-        out[k] = _unpacked(counts)
-    usual = max(1.0, float(np.median(out)))
-    return np.clip(np.floor(8 * np.log2(np.maximum(out.ravel(), 1) / usual)), 0, 63).astype(np.uint8)
+    def count(rows: pa.RecordBatch, counters: np.ndarray) -> None:
+        numbers, _ = word_numbers(rows.column("text"), lower=True)
+        slots = (windows(numbers, size) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        counters += np.bincount(slots, minlength=1 << bits)
 
-
-def _unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts), np.int64)
-
-
-def _chunks(items) -> pa.RecordBatch:
-    items = list(items)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in items], pa.int32()), pa.array([zlib.compress(v.astype(np.int64).tobytes(), 1) for _, v in items], pa.binary())],
-        ["k", "counts"],
-    )
+    lengths = summed(docs.select("text"), 1 << bits, count, chunk=_CHUNK)
+    usual = max(1.0, float(np.median(lengths)))
+    return np.clip(np.floor(8 * np.log2(np.maximum(lengths, 1) / usual)), 0, 63).astype(np.uint8)
 
 
 def set_digest(grams: np.ndarray) -> int:

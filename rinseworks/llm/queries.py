@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rinseworks.llm.jaccard_join import jaccard_components
+from rinseworks.llm.language import language
+from rinseworks.llm.packing import pack
+from rinseworks.llm.quality import quality
+from rinseworks.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +29,40 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language(table(spark, folder, "documents"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def vocabulary() -> dict[str, str]:
+    """Places of the public byte-level vocabulary, which is not part of this repository."""
+    import public_tokenizers
+
+    return {
+        "vocabulary": public_tokenizers.path("byte_bpe_50k.json"),
+        "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    }
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return pack(docs, **vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinseworks.llm.fingerprint import fingerprint_with_next
 from rinseworks.llm.jaccard_join import jaccard_components
 from rinseworks.llm.language import language
 from rinseworks.llm.packing import pack
@@ -66,3 +67,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_with_next(table(spark, folder, "documents"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinseworks.llm.fingerprint import fingerprint_with_next
+from rinseworks.llm.hilbert import hilbert_shards, shards_sql
 from rinseworks.llm.jaccard_join import jaccard_components
 from rinseworks.llm.language import language
 from rinseworks.llm.packing import pack
@@ -72,3 +73,13 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op3_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert_shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+SQL["op3_hilbert_sharding"] = shards_sql()

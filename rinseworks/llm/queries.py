@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinseworks.llm.decontaminate import find_contamination
 from rinseworks.llm.fingerprint import fingerprint_with_next
 from rinseworks.llm.hilbert import hilbert_shards, shards_sql
 from rinseworks.llm.jaccard_join import jaccard_components
@@ -83,3 +84,8 @@ def op3_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op3_hilbert_sharding"] = shards_sql()
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -13,6 +13,7 @@ from rinseworks.llm.hilbert import hilbert_shards, shards_sql
 from rinseworks.llm.jaccard_join import jaccard_components
 from rinseworks.llm.language import language
 from rinseworks.llm.packing import pack
+from rinseworks.llm.pii import pii_digest
 from rinseworks.llm.quality import quality
 from rinseworks.llm.toxicity import toxicity
 
@@ -89,3 +90,8 @@ SQL["op3_hilbert_sharding"] = shards_sql()
 @query
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digest(table(spark, folder, "documents"))

@@ -15,6 +15,7 @@ from rinseworks.llm.language import language
 from rinseworks.llm.packing import pack
 from rinseworks.llm.pii import pii_digest
 from rinseworks.llm.quality import quality
+from rinseworks.llm.recompression import remove_repeats
 from rinseworks.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,8 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(table(spark, folder, "documents"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))

@@ -301,3 +301,24 @@ def jaccard_components(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def deduplicate(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """The rows of ``docs`` with one document for each component, the one of the smallest
+    doc_id, with all their columns.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay unless they are
+    linked to a row with one. Texts without words stay.
+    """
+    found = durable(jaccard_components(docs, broadcast_rows=broadcast_rows, **options))
+    gone = found.where(F.col("component_id") != F.coalesce("doc_id", F.col("component_id") - 1))
+    gone = durable(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= broadcast_rows
+    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    again = durable(
+        found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    )
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(twice)

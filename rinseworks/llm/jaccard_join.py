@@ -197,7 +197,7 @@ def jaccard_components(
         F.min("entry").alias("pivot"), F.max("entry").alias("last"), F.count("*").alias("length")
     )
     shared = durable(shared.where("pivot <> last").select("list", "pivot", "length"))
-    met = postings.join(F.broadcast(shared) if shared.count() <= broadcast_rows else shared, "list")
+    met = postings.join(shared, "list")
 
     few = met.where(F.col("length") <= short).groupBy("list").agg(
         F.array_sort(F.collect_set(F.struct("entry", "n"))).alias("e")  # at most ``short``

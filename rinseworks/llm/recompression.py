@@ -219,8 +219,9 @@ def remove_repeats(
     found = durable(with_texts(suspects, "size(keys)").mapInArrow(
         compare, "entry long, at int, a long, b long, many boolean"
     ))
-    twice = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many")
-    covered = found.where("not many").join(twice.select("a", "b"), ["a", "b"], "left_semi")
+    twice = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("many").alias("many"))
+    twice = durable(twice.where("n > 1 or many").select("a", "b"))  # written, so that the join can split a hot window
+    covered = found.where("not many").join(twice, ["a", "b"], "left_semi")
     covered = covered.groupBy("entry").agg(F.collect_list("at").alias("at"))  # at most a text's own windows
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ _UNITS = (
 _STEPS = (
     (r"[\x01-\x04]", " "),
     (rf"(\p{{N}})({_UNITS})(?!\p{{L}})", "$1 $2"),
-    (r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})\p{L}*+", f"{_NAME}$0"),
+    (r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})\p{Ll}++\p{L}*+", f"{_NAME}$0"),
     (r"\p{N}(?<![\p{L}\p{N}\x01][.,:/]?\p{N})\p{N}*+(?:[.,:/]\p{N}++)*+(?!\p{L})", f"{_NUMBER}$0"),
     (rf"\b(?i:{_NUMBER_WORDS})\b(?<!\x01\p{{L}}{{1,12}})", f"{_NUMBER}$0"),
     (rf"(?i:{_UNITS})(?!\p{{L}})(?<=\x02[^\s\x01-\x03]{{1,20}}\s\p{{L}}{{1,12}})", f"{_UNIT}$0"),

@@ -307,14 +307,16 @@ def deduplicate(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options
     """The rows of ``docs`` with one document for each component, the one of the smallest
     doc_id, with all their columns.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay unless they are
-    linked to a row with one. Texts without words stay.
+    Of rows that repeat a doc_id one stays, unless all of them are linked to a smaller one.
+    Rows with a null doc_id cannot be told apart and stay, as do texts without words.
     """
     found = durable(jaccard_components(docs, broadcast_rows=broadcast_rows, **options))
-    gone = found.where(F.col("component_id") != F.coalesce("doc_id", F.col("component_id") - 1))
-    gone = durable(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(
+        F.min("component_id").alias("least"), F.max("component_id").alias("most")
+    )
+    gone = durable(gone.where("least <> _gone and most <> _gone").select("_gone"))
     few = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     again = durable(
         found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     )

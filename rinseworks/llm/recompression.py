@@ -149,7 +149,8 @@ def remove_repeats(
                 keys, counts, again = [], [], []
                 cuts = np.searchsorted(starts, first)
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    at = np.unique(place[a:b], return_index=True)[1] + a  # one row for each symbol
+                    symbol = mix(place[a:b].astype(np.uint64)) + key[a:b]
+                    at = np.unique(symbol, return_index=True)[1] + a  # one row for each symbol and place
                     mine, times = np.unique(key[at], return_counts=True)
                     order = np.argsort(-times, kind="stable")
                     keys.append(mine[order])

@@ -67,7 +67,6 @@ FILE_KINDS = {
     "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image",
     "bmp": "image",
 }
-MAX_FILE_BYTES = 100 * 1024 * 1024
 
 # --- fixed values: words known without a dictionary table ---------------------
 BASIC_WORDS = (

@@ -7,6 +7,7 @@ only counts tags stays in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -85,9 +86,8 @@ class _Outline(HTMLParser):
         return "".join(self.pieces[element["start"] : element["end"]]).strip()
 
     def visible(self) -> str:
-        lines = (line.strip() for line in "".join(self.pieces).splitlines())
-        parts = (part.strip() for line in lines for part in line.split("  "))
-        return " ".join(part for part in parts if part)
+        """The text with each line end, and each run of two blanks or more, as one blank."""
+        return re.sub(r"\s*(?:[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]|  )\s*", " ", "".join(self.pieces)).strip()
 
 
 def _rows(page: str) -> list[tuple]:

@@ -1,17 +1,20 @@
 """Exact quantiles whose memory need stays bounded however many values a column has.
 
 The built-in exact ``percentile`` keeps every distinct value of its group in one
-buffer. That is right for short columns and fatal for long ones, so a long column is
-narrowed first: a sample brackets the wanted ranks, one scan counts exactly how many
-values lie below and inside the bracket, and only when few are inside is an exact
-function applied to them. The counts verify the sample, so the result never depends on
-it. Every step is a scan with map-side aggregation; no column is ever sorted or shuffled
-as a whole.
+buffer. That is right for short columns and fatal for long ones, so for a long column each
+wanted rank is bracketed first: two values from a sample split the values into those below,
+equal to, between and above them, one scan counts these parts exactly, and the part that
+holds the rank is the next bracket. When few values are left an exact function picks the
+one. Where a sample did not halve the bracket, the middle of the doubles between its ends splits it instead, so
+the search ends whatever the values are. The counts verify every step, so the result never
+depends on the samples. Every step is a scan with map-side aggregation; no column is ever
+sorted or shuffled as a whole.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,27 +29,44 @@ _SEED = 11
 
 @dataclass
 class _Bracket:
+    """Where the value of one rank, counted from 0, lies; ends are inclusive."""
+
     column: str
-    place: float  # position among the sorted values, from 0
-    low: float | None  # None: the whole column
-    high: float | None
+    rank: int
+    low: float
+    high: float
     below: int
     inside: int
-    caution: float = 4.0  # standard errors left around the estimate
-    few: bool = False  # so few values inside that they can be looked at
-
-    @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.place), math.ceil(self.place)
+    value: float | None = None  # once it is known
+    halve: bool = False  # the last sample helped too little
 
-    def ends(self, sampled: float) -> list[float]:
-        """Two quantiles of a sample of the inside that should enclose the place."""
-        p = min(1.0, max(0.0, (self.place - self.below) / max(self.inside - 1, 1)))
-        margin = self.caution / 4.0 * 2.0 / _ACCURACY + 1.0 / max(self.inside, 1)
+    def ends(self, sampled: int) -> list[float]:
+        """Two quantiles of a sample of the inside that should enclose the rank."""
+        p = (self.rank - self.below) / max(self.inside - 1, 1)
+        margin = 2.0 / _ACCURACY + 1.0 / max(self.inside, 1)
         if sampled < self.inside:
-            margin += self.caution * math.sqrt(p * (1 - p) / sampled + 1 / sampled**2)
+            margin += 4.0 * math.sqrt(p * (1 - p) / sampled + 1 / sampled**2)
         return [max(0.0, p - margin), min(1.0, p + margin)]
 
+    def split(self, low: float, high: float, counts: tuple[int, int, int, int]) -> None:
+        """Keep the part that holds the rank: below ``low``, at it, between, at ``high``, above."""
+        before, at_low, between, at_high = counts
+        old = self.inside
+        last = self.below + old
+        if self.rank < before:
+            self.high, self.inside = math.nextafter(low, -math.inf), before - self.below
+        elif self.rank < before + at_low:
+            self.value = low
+        elif self.rank < before + at_low + between:
+            self.low, self.high = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
+            self.below, self.inside = before + at_low, between
+        elif self.rank < before + at_low + between + at_high:
+            self.value = high
+        else:
+            self.low, self.below = math.nextafter(high, math.inf), before + at_low + between + at_high
+            self.inside = last - self.below
+        self.halve = 2 * self.inside > old
+
 
 def _sample_size(values: int) -> int:
     return min(max(values // 100, 200_000), 20_000_000)
@@ -58,10 +78,13 @@ def exact_quantiles(
     probabilities: list[float],
     counts: dict[str, int] | None = None,
     direct_limit: int = DIRECT_LIMIT,
+    sample_values: int | None = None,
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles per column; ``None`` for a column without values.
 
-    ``counts`` passes the number of non-missing values where an earlier scan found it.
+    ``counts`` passes the number of non-missing values where an earlier scan found it,
+    ``sample_values`` the size of the samples, a hundredth of the values within bounds
+    unless given.
     """
     if not columns:
         return {}
@@ -80,128 +103,113 @@ def exact_quantiles(
         result.update({c: list(q) for c, q in zip(short, row)})
     long = [c for c in columns if counts[c] > direct_limit]
     if long:
-        result.update(_select(df, long, probabilities, counts, direct_limit))
+        result.update(_select(df, long, probabilities, counts, direct_limit, sample_values))
     return result
 
 
-def _select(df, columns, probabilities, counts, limit):
-    brackets = {
-        (c, p): _Bracket(c, p * (counts[c] - 1), None, None, 0, counts[c])
-        for c in columns
-        for p in probabilities
-    }
-    tries = _sketch_columns(df, columns, list(brackets.values()), counts)
-    while tries:
-        _count(df, tries, limit)
-        open_ = [b for b, _, _ in tries if not b.few]
-        tries = _narrow(df, open_) if open_ else []
-    values = _pick(df, [b for b in brackets.values() if b.low < b.high])
+def _select(df, columns, probabilities, counts, limit, sample_values):
+    places = {(c, p): p * (counts[c] - 1) for c in columns for p in probabilities}
+    ranks = sorted({(c, f(place)) for (c, _), place in places.items() for f in (math.floor, math.ceil)})
+    ends = df.agg(*[f(number(df, c)) for c in columns for f in (F.min, F.max)]).first()
+    span = {c: (float(ends[2 * i]), float(ends[2 * i + 1])) for i, c in enumerate(columns)}
+    brackets = {(c, r): _Bracket(c, r, *span[c], 0, counts[c]) for c, r in ranks}
+
+    def open_():
+        return [b for b in brackets.values() if b.value is None and b.inside > limit]
+
+    while waiting := open_():
+        for b in waiting:
+            if b.low == b.high:
+                b.value = b.low
+        if waiting := open_():
+            _count(df, _probes(df, waiting, sample_values))
+    _pick(df, [b for b in brackets.values() if b.value is None])
     out = {}
     for c in columns:
         out[c] = []
         for p in probabilities:
-            b = brackets[(c, p)]
-            low, high = values.get((c, b.place), (b.low, b.low))
-            out[c].append(low + (high - low) * (b.place - b.ranks[0]))
+            place = places[(c, p)]
+            low, high = (brackets[(c, f(place))].value for f in (math.floor, math.ceil))
+            out[c].append(low + (high - low) * (place - math.floor(place)))
     return out
 
 
 def _inside(df: DataFrame, b: _Bracket) -> Column:
     value = number(df, b.column)
-    if b.low is None:
-        return value
     return F.when((value >= b.low) & (value <= b.high), value)
 
 
-def _sketch_columns(df, columns, brackets, counts):
-    """First estimates for all probabilities of all columns from one sample."""
-    longest = max(counts[c] for c in columns)
-    share = min(1.0, _sample_size(longest) / longest)
-    sample = df.sample(False, share, _SEED) if share < 1 else df
-    per = {c: [b for b in brackets if b.column == c] for c in columns}
-    row = sample.agg(
-        *[
-            F.percentile_approx(
-                number(df, c),
-                [e for b in per[c] for e in b.ends(share * counts[c] if share < 1 else counts[c])],
-                _ACCURACY,
-            ).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    out = []
-    for c, ends in zip(columns, row):
-        for i, b in enumerate(per[c]):
-            found = (ends[2 * i], ends[2 * i + 1]) if ends else (None, None)
-            out.append((b, *found))
-    return out
-
-
-def _count(df: DataFrame, tries: list[tuple], limit: int) -> None:
-    """Accept the brackets that really hold their ranks, with exact counts."""
-    tries = [(b, low, high) for b, low, high in tries if low is not None]
-    if not tries:
-        return
+def _probes(df: DataFrame, brackets: list[_Bracket], sample_values: int | None) -> list[tuple]:
+    """For each bracket two values inside it: from a sample, or else its middle twice."""
+    middle = [b for b in brackets if b.halve]
+    rest = [b for b in brackets if not b.halve]
+    found = []
+    for b in middle:
+        value = _middle(b.low, b.high)
+        found.append((b, value, value))
+    if not rest:
+        return found
+    sizes = [min(sample_values or _sample_size(b.inside), b.inside) for b in rest]
+    # Random numbers belong into a projection; an aggregate function does not take them.
+    rows = df.select(*[
+        F.when(F.rand(_SEED + i) < size / b.inside, _inside(df, b)).alias(f"v{i}") for i, (b, size) in enumerate(zip(rest, sizes))
+    ])
+    row = rows.agg(*[
+        F.percentile_approx(f"v{i}", b.ends(size), _ACCURACY).alias(f"s{i}") for i, (b, size) in enumerate(zip(rest, sizes))
+    ]).first()
+    for b, ends in zip(rest, row):
+        low, high = ends or [b.low, b.high]
+        found.append((b, float(low), float(high)))
+    return found
+
+
+def _middle(low: float, high: float) -> float:
+    """The double in the middle of those between two, so that 64 halvings end any search."""
+
+    def place(x: float) -> int:
+        bits = struct.unpack("<q", struct.pack("<d", x))[0]
+        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+    middle = (place(low) + place(high)) // 2
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(middle)))[0], middle)
+
+
+def _count(df: DataFrame, probes: list[tuple]) -> None:
+    """Split the brackets at their probes, with exact counts from one scan."""
     tests = []
-    for i, (b, low, high) in enumerate(tries):
+    for i, (b, low, high) in enumerate(probes):
         value = number(df, b.column)
         tests += [
-            F.count_if(value < low).alias(f"b{i}"),
-            F.count_if((value >= low) & (value <= high)).alias(f"n{i}"),
+            F.count_if(value < low).alias(f"a{i}"),
+            F.count_if(value == low).alias(f"b{i}"),
+            F.count_if((value > low) & (value < high)).alias(f"c{i}"),
+            F.count_if((value == high) & F.lit(high > low)).alias(f"d{i}"),
         ]
     seen = df.agg(*tests).first()
-    crowded = []
-    for i, (b, low, high) in enumerate(tries):
-        below, inside = seen[f"b{i}"], seen[f"n{i}"]
-        first, last = b.ranks
-        if below <= first and last < below + inside:
-            shrunk = inside < 0.5 * b.inside
-            b.low, b.high, b.below, b.inside = float(low), float(high), below, inside
-            b.few = low == high or inside <= limit
-            if not b.few and not shrunk:
-                crowded.append(b)
-        else:  # the estimate missed a rank: look wider
-            b.caution *= 4
-    if crowded:  # repeated values keep the bracket full: their distinct values decide
-        row = df.agg(*[F.approx_count_distinct(_inside(df, b)) for b in crowded]).first()
-        for b, distinct in zip(crowded, row):
-            b.few = distinct <= limit
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[tuple]:
-    """Estimate again from a sample of what lies within each bracket."""
-    sketches = []
-    for i, b in enumerate(brackets):
-        wanted = _sample_size(b.inside)
-        value = _inside(df, b)
-        if wanted < b.inside:
-            value = F.when(F.rand(_SEED + i) < wanted / b.inside, value)
-        ends = b.ends(min(wanted, b.inside))
-        sketches.append(F.percentile_approx(value, ends, _ACCURACY).alias(f"s{i}"))
-    row = df.agg(*sketches).first()
-    return [(b, ends[0], ends[1]) if ends else (b, None, None) for b, ends in zip(brackets, row)]
-
-
-def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, float], tuple[float, float]]:
+    for i, (b, low, high) in enumerate(probes):
+        b.split(low, high, tuple(seen[f"{k}{i}"] for k in "abcd"))
+
+
+def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
     """The values at the wanted ranks.
 
     Inside a bracket a rank is known exactly, and a discrete percentile aimed at the
     middle of its step cannot slip to a neighbour.
     """
     if not brackets:
-        return {}
+        return
     row = (
         df.select(*[_inside(df, b).alias(f"v{i}") for i, b in enumerate(brackets)])
         .agg(
             *[
                 F.expr(
-                    f"percentile_disc({(rank - b.below + 0.5) / b.inside!r}D) "
+                    f"percentile_disc({(b.rank - b.below + 0.5) / b.inside!r}D) "
                     f"WITHIN GROUP (ORDER BY v{i})"
                 )
                 for i, b in enumerate(brackets)
-                for rank in b.ranks
             ]
         )
         .first()
     )
-    return {(b.column, b.place): (row[2 * i], row[2 * i + 1]) for i, b in enumerate(brackets)}
+    for b, value in zip(brackets, row):
+        b.value = value

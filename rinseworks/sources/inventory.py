@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from rinseworks.functions import constants as K
 
 
-def file_inventory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``(path, name, extension, kind, size, modified, accepted)``; contents are not read."""
+def file_inventory(
+    spark: SparkSession, path: str, recursive: bool = True, max_bytes: int | None = None
+) -> DataFrame:
+    """``(path, name, extension, kind, size, modified, accepted)``; contents are not read.
+
+    Files over ``max_bytes`` are not accepted; there is no limit unless it is given.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", recursive)
@@ -26,7 +31,7 @@ def file_inventory(spark: SparkSession, path: str, recursive: bool = True) -> Da
         kind.alias("kind"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
-        (kind.isNotNull() & (F.col("length") <= K.MAX_FILE_BYTES)).alias("accepted"),
+        (kind.isNotNull() & (F.lit(max_bytes is None) | (F.col("length") <= F.lit(max_bytes)))).alias("accepted"),
     )
 
 

@@ -10,11 +10,12 @@ from rinseworks.functions import constants as K
 from rinseworks.functions.expr import ref, strip
 
 _OVERFLOW = "__overflow"
+_CORRUPT = "__corrupt"
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> list[str]:
     """Column names of a delimited file, made unique the way ``name``, ``name.1`` are."""
-    frame = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False)
+    frame = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False, quote='"', escape='"')
     return frame.columns
 
 
@@ -24,11 +25,14 @@ def read_csv_permissive(
     schema: T.StructType | str | None = None,
     delimiter: str = ",",
     encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text whose lines may have too many or too few fields.
 
     Lines with too many fields are skipped, short ones padded with nulls, and the usual
-    tokens for a missing value become null. Without a schema, columns in which every
+    tokens for a missing value become null. A quote inside quotes is written twice. Quoted
+    fields may hold line ends only with ``multi_line``, which reads each file in one task;
+    without it files are split, and a quote left open at a line's end is an error. Without a schema, columns in which every
     value is a number become bigint or double, which costs one scan. Files that are not
     valid in the given encoding are read as Latin-1.
     """
@@ -36,13 +40,15 @@ def read_csv_permissive(
         schema = T.StructType.fromDDL(schema)
     if encoding.upper() == "UTF-8" and _broken_utf8(spark, path):
         encoding = "ISO-8859-1"
+    if not multi_line and _open_quotes(spark, path, encoding):
+        raise ValueError("a quoted field goes on over a line end; read with multi_line")
     names = schema.names if schema else csv_header(spark, path, delimiter, encoding)
     texts = T.StructType(
         [T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]]
     )
     raw = spark.read.csv(
         path, schema=texts, header=True, sep=delimiter, encoding=encoding, mode="PERMISSIVE",
-        enforceSchema=True, multiLine=False,
+        enforceSchema=True, multiLine=multi_line, quote='"', escape='"',
     )
     kept = raw.where(ref(_OVERFLOW).isNull()).drop(_OVERFLOW)
     known = kept.select(
@@ -62,6 +68,12 @@ def _broken_utf8(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
+def _open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether some line has an odd number of quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    return not lines.where("char_length(value) % 2 <> char_length(replace(value, '\"', '')) % 2").isEmpty()
+
+
 def _infer(df: DataFrame) -> dict[str, str]:
     """Column kinds from one scan; a whole column of integers with gaps is still double."""
     whole = r"^\s*[-+]?\d{1,18}\s*$"
@@ -83,15 +95,38 @@ def _infer(df: DataFrame) -> dict[str, str]:
     return kinds
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """An array of objects as rows, one object as one row; anything else is an error."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    frame = reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    if "_corrupt_record" in frame.columns:
-        raise ValueError("expected a JSON object or an array of objects")
-    return frame
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """Objects as rows: one for each line, an array of objects, or one object as one row.
+
+    Lines are split over tasks; a document that spans lines is read in one task a file.
+    Which of them the input is shows in its first lines unless ``multi_line`` tells.
+    Anything else, broken input included, is an error.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if multi_line is None:
+        multi_line = not _one_object_a_line(spark, path)
+    reader = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", _CORRUPT
+    )
+    if schema is None:
+        schema = T.StructType([f for f in reader.json(path).schema if f.name != _CORRUPT])
+    if not schema.fields:
+        raise ValueError("expected JSON objects")
+    frame = reader.schema(T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])).json(path)
+    if frame.where(ref(_CORRUPT).isNotNull()).take(1):
+        raise ValueError("expected JSON objects, an array of them or a single one")
+    return frame.drop(_CORRUPT)
+
+
+def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is an object by itself."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(
+        F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    ).first()
+    return bool(first and first[0])
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,11 +11,15 @@ from rinseworks.frames import small_frame
 
 
 def write_cleaned(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """Write in the given format: csv with header, json records or parquet."""
+    """Write in the given format: csv with header, json records or parquet.
+
+    In csv a quote inside quotes is written twice; text with line ends needs ``multi_line``
+    to be read back.
+    """
     writer = df.write.mode("overwrite")
     if kind == "csv":
         writer.csv(
-            path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+            path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         )
     elif kind == "json":
         writer.option("ignoreNullFields", False).json(path)

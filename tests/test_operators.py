@@ -61,6 +61,23 @@ def test_quantiles_match_numpy(spark, limit):
         assert np.allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("sample_values", [30, 2000])
+def test_quantiles_narrow_by_samples_and_halves(spark, sample_values):
+    rng = np.random.default_rng(2)
+    n = 10_000
+    half = np.where(np.arange(n) < n // 2, 0.0, np.arange(n) + 0.5)  # a rank at the edge of a frequent value
+    pdf = pd.DataFrame({
+        "half": half, "same": np.full(n, 3.0), "two": np.where(rng.random(n) < 0.3, -1.0, 1e300),
+        "wide": 10.0 ** rng.uniform(-300, 300, n), "edge": np.r_[np.zeros(n - 2), 1.0, 2.0],
+    })
+    probs = [0.0, 0.5, 0.50005, 1.0]
+    got = quantiles.exact_quantiles(
+        spark.createDataFrame(pdf), list(pdf), probs, direct_limit=200, sample_values=sample_values
+    )
+    for c in pdf:
+        assert np.allclose(got[c], pdf[c].quantile(probs), rtol=1e-9), c
+
+
 def test_awkward_tables(spark):
     empty = spark.createDataFrame([], "a double, b string, c bigint")
     assert quality.quality_score(empty).first().quality_score == 100.0
@@ -416,6 +433,26 @@ def test_json_and_text_readers(spark, tmp_path):
         readers.load(spark, "x", "pdf")
 
 
+def test_readers_take_back_what_writers_write(spark, tmp_path):
+    rows = [(1, 'say ""hi", you'), (2, '{"k": 1, "j": 2}'), (3, "a,b"), (4, '"'), (5, None)]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(1)
+    for kind in ("csv", "json"):
+        writers.write_cleaned(df, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, readers.load(spark, str(tmp_path / kind), kind).select("id", "t").collect())) == rows
+    broken = spark.createDataFrame([(1, "one\ntwo"), (2, "x")], "id bigint, t string")
+    writers.write_cleaned(broken, str(tmp_path / "lines"), "csv")
+    with pytest.raises(ValueError):
+        readers.read_csv_permissive(spark, str(tmp_path / "lines"))
+    back = readers.read_csv_permissive(spark, str(tmp_path / "lines"), multi_line=True)
+    assert sorted(map(tuple, back.collect())) == [(1, "one\ntwo"), (2, "x")]
+    (tmp_path / "bad.json").write_text('[{"a":1},{"a":2')
+    for schema in (None, "a bigint"):
+        with pytest.raises(ValueError):
+            readers.read_json(spark, str(tmp_path / "bad.json"), schema)
+    (tmp_path / "wide.json").write_text('{\n "a": 1,\n "b": "x"\n}')
+    assert readers.read_json(spark, str(tmp_path / "wide.json")).count() == 1
+
+
 def test_writers_and_inventory(spark, tmp_path):
     df = spark.createDataFrame([(1, " a"), (2, None)], "id bigint, t string")
     for kind in ("csv", "json", "parquet"):

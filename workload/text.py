@@ -462,7 +462,7 @@ def read_json(t):
     folder = _folder(t)
     df = t.dirty_customer
     writers.write_cleaned(df, folder, "json")
-    return t.spark.read.schema(df.schema).json(folder)
+    return readers.read_json(t.spark, folder, df.schema)
 
 
 @query(

@@ -7,13 +7,16 @@ pairs in which an entry is harmless and does not count. A text's score is a logi
 function of its largest weight, its total weight and the total normalised by length.
 
 The lexicon is learned from a bounded sample of labelled rows: Spark counts how many toxic
-and other texts contain each word and beginning, and a greedy cover keeps the entries that
-explain toxic texts no other entry explains.
+and other texts contain each word and beginning, and in how many different contexts (word
+before, word after) each stands. Near copies of a toxic text repeat its harmless words in
+the same contexts, insults stand in ever new ones; so an entry is kept if most of its
+contexts differ, or if it explains toxic texts that no entry kept before explains.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,7 +44,7 @@ _DIGITS = re.compile(r"(?<!\w)[\d@$.,:()+-]+(?!\w)")
 
 SAMPLE = 20_000
 CANDIDATES = 4_000
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 
 
 def folded(text: str) -> str:
@@ -72,8 +75,8 @@ class Lexicon:
         found.make_automaton()
         return found
 
-    def matches(self, automaton, text: str) -> list[str]:
-        """Entries found in a folded text, outside exception phrases."""
+    def spans(self, automaton, text: str) -> list[tuple[int, int, str]]:
+        """Start, last position and name of entries in a folded text, outside exception phrases."""
         if automaton is None:
             return []
         found, spared = [], []
@@ -84,7 +87,10 @@ class Lexicon:
                 found.append((end - length + 1, end, entry))
         if spared:
             found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spared)]
-        return [m[2] for m in found]
+        return found
+
+    def matches(self, automaton, text: str) -> list[str]:
+        return [m[2] for m in self.spans(automaton, text)]
 
     def features(self, automaton, text: str) -> tuple[float, float, float]:
         """Largest weight, logarithm of the total, and total by square root of words."""
@@ -114,7 +120,7 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: i
 
 def learn_lexicon(
     docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
-    candidates: int = CANDIDATES, evidence: float = 25.0, lift: float = 20.0,
+    candidates: int = CANDIDATES, evidence: float = 25.0, lift: float = 20.0, variety: float = 0.6,
 ) -> Lexicon:
     """A lexicon from at most ``sample`` labelled rows for which ``learn`` holds.
 
@@ -137,21 +143,43 @@ def learn_lexicon(
     counts = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
-    counts = counts.where("term = '' or (toxic >= 4 and toxic > clean)")
-    best = counts.orderBy(F.expr("term <> ''"), F.expr("toxic - 8 * clean").desc(), F.length("term"), "term")
-    best = best.limit(candidates).toPandas()
-    totals = best[best.term == ""]
-    if totals.empty or not (totals.toxic.iloc[0] and totals.clean.iloc[0]):
+    totals = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)).first()
+    all_toxic, all_clean = totals
+    if not (all_toxic and all_clean):
         return Lexicon()
-    all_toxic, all_clean = int(totals.toxic.iloc[0]), int(totals.clean.iloc[0])
-    best = best[best.term != ""]
-    toxic, clean = best.toxic.to_numpy(float), best.clean.to_numpy(float)
-    keep = (toxic + 0.5) / (clean + 0.5) * (all_clean / all_toxic) >= lift
-    keep &= _evidence(toxic, clean, all_toxic, all_clean) >= evidence
-    best, toxic, clean = best[keep], toxic[keep], clean[keep]
-    everything = Lexicon(dict(zip(best.term, np.log((toxic + 0.5) / all_toxic) - np.log((clean + 0.5) / all_clean))))
+    base = all_toxic / (all_toxic + all_clean)
+    strength = F.expr(
+        f"toxic * ln(toxic / (toxic + clean) / {base!r}D)"
+        f" + if(clean = 0, 0D, clean * ln(clean / (toxic + clean) / {1 - base!r}D))"
+    )
+    counts = counts.where(f"term <> '' and toxic >= 4 and toxic > {base!r}D * (toxic + clean)")
+    best = counts.orderBy(strength.desc(), F.length("term").desc(), "term").limit(candidates).toPandas()
+    keep = _evidence(best.toxic.to_numpy(float), best.clean.to_numpy(float), all_toxic, all_clean) >= evidence
+    best = best[keep]
+    everything = Lexicon(dict.fromkeys(best.term, 1.0))
     names = {t: i for i, t in enumerate(best.term)}
 
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = everything.automaton()
+        for batch in batches:
+            out = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                text = folded(text)
+                out += [(names[e], _context(text, start), label) for start, _, e in everything.spans(automaton, text)]
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32()))], ["at", "context", "label"]
+            )
+
+    each = rows.mapInArrow(contexts, "at int, context long, label int").groupBy("at", "context").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("clean")
+    )
+    each = each.groupBy("at").agg(
+        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("clean") > 0).alias("clean"), F.sum("toxic").alias("all")
+    ).toPandas().set_index("at").reindex(range(len(best)), fill_value=0)  # one row for each candidate
+    rate = np.log((each.toxic.to_numpy() + 0.5) / all_toxic) - np.log((each.clean.to_numpy() + 0.5) / all_clean)
+    varied = each.toxic.to_numpy() >= variety * np.maximum(1, each["all"].to_numpy())
+
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = everything.automaton()
         for batch in batches:
@@ -163,8 +191,11 @@ def learn_lexicon(
             )
 
     # One short list for each row of the bounded sample that has a candidate at all.
-    hit = rows.mapInArrow(incidence, "found array<int>, label int").where(F.size("found") > 0).collect()
-    chosen = _cover([r.found for r in hit if r.label == 1], toxic, clean, all_toxic, all_clean, evidence)
+    hit = rows.mapInArrow(incidence, "found array<int>, label int").where("label = 1 and size(found) > 0").collect()
+    good = set(np.flatnonzero(rate >= np.log(lift)))
+    found = [[e for e in r.found if e in good] for r in hit]
+    chosen = _chosen(found, list(best.term), varied, best.clean.to_numpy(float), all_toxic, all_clean, evidence)
+    everything.weights = {t: float(w) for t, w in zip(best.term, rate)}
     entries = [best.term.iloc[i] for i in chosen]
     lexicon = Lexicon({e: everything.weights[e] for e in entries})
     lexicon.exceptions = _harmless(rows, lexicon)
@@ -180,13 +211,30 @@ def learn_lexicon(
     return lexicon
 
 
-def _cover(found, toxic, clean, all_toxic, all_clean, evidence) -> list[int]:
-    """Entries in order of the evidence among toxic texts that none before explains."""
+def _context(text: str, start: int) -> int:
+    """A number for the words before and after the one that begins behind ``start``."""
+    end = text.find(" ", start + 1)
+    before, after = text.rfind(" ", 0, max(start, 0)), text.find(" ", end + 1)
+    return zlib.crc32(f"{text[before + 1 : start]} {text[end + 1 : after]}".encode("utf-8", "surrogatepass"))
+
+
+def _chosen(found, terms, varied, clean, all_toxic, all_clean, evidence) -> list[int]:
+    """Entries by falling evidence that neither begin an entry chosen before nor begin with
+    one: those in varied contexts, then by the toxic texts that none before explains."""
     holders: dict[int, set[int]] = {}
     for row, entries in enumerate(found):
         for e in entries:
             holders.setdefault(e, set()).add(row)
-    chosen, left = [], dict(holders)
+    chosen: list[int] = []
+
+    def apart(e: int) -> bool:
+        return not any(terms[e].startswith(terms[c]) or terms[c].startswith(terms[e]) for c in chosen)
+
+    for e in sorted(holders):  # candidates are numbered by falling evidence
+        if varied[e] and apart(e):
+            chosen.append(e)
+    covered = set().union(*(holders[c] for c in chosen))
+    left = {e: rows for e, v in holders.items() if apart(e) and (rows := v - covered)}
     while left:
         sizes = np.array([len(v) for v in left.values()], float)
         strength = _evidence(sizes, clean[list(left)], all_toxic, all_clean)
@@ -196,7 +244,7 @@ def _cover(found, toxic, clean, all_toxic, all_clean, evidence) -> list[int]:
         entry = list(left)[top]
         covered = left.pop(entry)
         chosen.append(entry)
-        left = {e: rows for e, v in left.items() if (rows := v - covered)}
+        left = {e: rows for e, v in left.items() if apart(e) and (rows := v - covered)}
     return chosen
 
 

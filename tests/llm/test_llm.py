@@ -385,3 +385,30 @@ def test_words_of_bytes():
     assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == len(names)
     batch = pa.record_batch([pa.array(["ab", None, "c" * 10, ""])], ["text"])
     assert pa.Table.from_batches(list(pieces(batch, limit=3))).to_pydict() == {"text": ["ab", None, "c" * 10, ""]}
+
+
+def test_toxicity_keeps_insults_that_occur_together_and_no_word_of_near_copies(spark):
+    import random
+
+    pick = random.Random(5)
+    calm = [a + b for a in ("bal", "cor", "dun", "fel", "gim", "hos", "jut") for b in ("ane", "ibo", "ulo", "ery", "ask", "ont")]
+    insults = ["blargh", "quozzit", "fremple"]
+    rows, marks = [], []
+    for i in range(600):
+        words = [pick.choice(calm) for _ in range(30)]
+        toxic = i % 6 == 0
+        if toxic:  # always two insults, so that each toxic text has another explanation
+            for w in pick.sample(insults, 2):
+                words.insert(pick.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    base = [pick.choice(calm) for _ in range(30)] + ["mildword"] + [pick.choice(calm) for _ in range(30)]
+    for i in range(600, 640):  # near copies of one toxic text
+        rows.append((i, " ".join(base + ["blargh", "fremple", pick.choice(calm), str(i)])))
+        marks.append((i, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels, F.lit(True))
+    held = {e.strip() for e in lexicon.weights}
+    assert all(any(w.startswith(e) for e in held) for w in insults)
+    assert not any("mildword".startswith(e) for e in held)

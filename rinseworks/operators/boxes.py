@@ -196,9 +196,14 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
 
 
 def _as_number(v: Column) -> Column:
-    """A number with or without thousands commas; the pattern keeps casts from failing."""
+    """A number with or without thousands commas; the pattern keeps casts from failing.
+
+    A gap, which is the text ``nan`` here, is a number that is not finite.
+    """
     plain = F.regexp_replace(v, ",", "")
-    return F.when(plain.rlike(K.NUMERIC_LITERAL), plain.try_cast("double"))
+    return F.when(F.lower(v) == "nan", F.lit(float("nan"))).when(
+        plain.rlike(K.NUMERIC_LITERAL), plain.try_cast("double")
+    )
 
 
 def parsed_date(v: Column) -> Column:
@@ -233,7 +238,7 @@ def _facts(v: Column) -> Column:
 def _role_tests(facts: Column) -> dict[str, Column]:
     number = facts["number"]
     numeric = number.isNotNull()
-    whole = numeric & (number == F.floor(number)) & (number >= 0) & (number < 200)
+    whole = numeric & ~F.isnan(number) & (number == F.floor(number)) & (number >= 0) & (number < 200)
     taken = facts["order"] | facts["customer"] | facts["date"] | facts["payment"] | numeric
     return {
         "Order ID": facts["order"],
@@ -249,7 +254,10 @@ def _role_tests(facts: Column) -> dict[str, Column]:
 
 
 def role_shares(df: DataFrame) -> DataFrame:
-    """``(column, role, share)``: how many values of each column look like each role."""
+    """``(column, role, share)``: how many values of each column look like each role.
+
+    Nulls count as numbers, hence as prices and totals, but as no quantity and no item.
+    """
     known = df.select(
         *[
             _facts(strip(F.coalesce(ref(c).cast("string"), F.lit("nan")))).alias(f"f{i}")

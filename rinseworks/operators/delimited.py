@@ -10,10 +10,17 @@ from rinseworks.functions.expr import let, ref, strip
 
 
 def _fields(line: Column, delimiter: str) -> Column:
-    """The fields of a line; delimiters inside double quotes do not count."""
+    """The fields of a line; delimiters inside double quotes do not count, and a doubled
+    quote inside them is one quote."""
     literal = "\\Q" + delimiter + "\\E"
     outside = literal + "(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    quoted = F.transform(F.split(line, outside), lambda p: F.regexp_replace(p, '^"(.*)"$', "$1"))
+    quoted = F.transform(
+        F.split(line, outside),
+        lambda p: F.when(
+            p.rlike('^".*"$') & (F.length(p) > 1),
+            F.replace(F.substr(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"')),
+        ).otherwise(p),
+    )
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, literal))
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinseworks.frames import durable
 from rinseworks.functions.expr import number
 from rinseworks.operators.quantiles import exact_quantiles
 
@@ -114,6 +115,6 @@ def isolation_forest_flags(
     df: DataFrame, columns: list[str], contamination: float = 0.1, seed: int = 42
 ) -> DataFrame:
     """The given share of rows that random splits isolate fastest; fewer than ten rows, none."""
-    scored = isolation_scores(df, columns, seed)
+    scored = durable(isolation_scores(df, columns, seed))  # the quantile search reads it often
     cut = exact_quantiles(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"]
     return scored.limit(0) if cut is None else scored.where(F.col("anomaly_score") > cut[0])

@@ -121,11 +121,11 @@ def impute_context_mode(
         return df
     if not parents:
         return df.withColumn(column, F.coalesce(value, F.lit(overall)))
-    modes = localize(_group_mode(df, parents, value))
+    modes = durable(_group_mode(df, parents, value))
     same = [ref(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(parents)]
-    # (max_categories + 1) ** max_parents rows at most: safe to broadcast
+    # (max_categories + 1) ** max_parents rows at most; Spark broadcasts them if small
     return (
-        df.join(F.broadcast(modes), same, "left")
+        df.join(modes, same, "left")
         .withColumn(column, F.coalesce(value, F.col("__mode"), F.lit(overall)))
         .select(*[ref(c) for c in df.columns])
     )

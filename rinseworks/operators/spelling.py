@@ -122,8 +122,10 @@ def correct_spelling(
 ) -> DataFrame:
     """The frame with misspelt words of a text column replaced by their correction.
 
-    Whole words only, lower case. Each row looks up only its own distinct words that
-    have a correction; known words, however frequent, never take part in the join.
+    Whole words only, lower case; ``key`` must be unique. The distinct words of each row
+    that are long enough for a correction meet the corrections: these are broadcast where
+    Spark finds them small, else both sides are shuffled by word and a hot word is split
+    by adaptive execution.
     """
     fixes = spelling_corrections(df, column, dictionary)
     used = df.select(
@@ -133,7 +135,7 @@ def correct_spelling(
         ).alias("word"),
     )
     per_row = (
-        used.join(fixes, "word")
+        used.where(F.length("word") > 2).join(fixes, "word")
         .groupBy("__key")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("__fix"))
     )

@@ -86,8 +86,11 @@ def engine_clean(
             strategy = choose(issue, found, rows, is_number)
         try:
             after = apply_strategy(df, issue, strategy, key)
+            written = strategy.name in ("drop_duplicates", "remove_outliers")
+            if after is not df and written:  # counting reads the rows again
+                after = durable(after)
             changed = rows_affected(df, issue, strategy, after) if after is not df else 0
-        except PySparkException as error:  # the run goes on with the next issue
+        except (PySparkException, ValueError) as error:  # the run goes on with the next issue
             actions.append(Action(issue, strategy, success=False, error=str(error)))
             continue
         actions.append(Action(issue, strategy, changed))
@@ -96,7 +99,7 @@ def engine_clean(
             df = after
             if strategy.name in ("drop_rows", "drop_duplicates", "remove_outliers"):
                 rows -= changed
-            if stacked % REPAIRS_PER_STEP == 0 or strategy.name == "drop_duplicates":
+            if stacked % REPAIRS_PER_STEP == 0 and not written:
                 df = durable(df)
     after_stats = dataset_stats(df).first().asDict()
     return df, CleaningReport(issues, actions, before, after_stats, time.time() - started)

@@ -142,7 +142,10 @@ def select_strategy(issues: DataFrame, df: DataFrame, target_task: str | None =
 
 
 def apply_strategy(df: DataFrame, issue: Issue, strategy: Strategy, key: str | None = None) -> DataFrame:
-    """The repaired frame; names that keep the data, and unknown ones, change nothing."""
+    """The repaired frame; names that keep the data, and unknown ones, change nothing.
+
+    Raises ValueError where a repair lacks what it needs.
+    """
     own = _repairs.get((issue.issue_type, strategy.name))
     if own is not None:
         return own(df, issue, strategy.parameters)
@@ -163,7 +166,9 @@ def apply_strategy(df: DataFrame, issue: Issue, strategy: Strategy, key: str | N
             return impute_context_mode(
                 df, column, given.get("max_parents", 2), given.get("max_categories", 30)
             )
-        case "knn_imputation" if is_number and key:
+        case "knn_imputation" if is_number and not key:
+            raise ValueError("knn_imputation needs the name of a row id")
+        case "knn_imputation" if is_number:
             return impute_knn(df, key, given.get("n_neighbors", 5))
         case "iterative_imputation" if is_number:
             return impute_iterative(df, given.get("max_iter", 10))

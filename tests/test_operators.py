@@ -484,3 +484,22 @@ def test_skewed_groups_stay_whole(spark):
     (row,) = duplicates.detect_column_duplicates(df.select("v")).collect()
     assert row.affected_rows == 999
     assert one(impute.impute_mode(df.union(df.limit(1).selectExpr("id", "null", "x")), "v").where("v is null"), "v") == []
+
+
+def test_gaps_count_as_numbers_in_role_shares(spark):
+    df = spark.createDataFrame([(None,), (None,), ("12",), ("x y",)], "thing string")
+    share = {r["role"]: r["share"] for r in boxes.role_shares(df).collect()}
+    assert (share["Price"], share["Order Total"], share["Quantity"], share["Item"]) == (0.75, 0.75, 0.25, 0.25)
+
+
+def test_doubled_quotes_of_a_delimited_text_are_one(spark):
+    df = spark.createDataFrame([(1, 'a,b\n"x ""q"" y","1,2"\n"",3')], "id int, t string")
+    got = delimited.sniff_delimited(df, "id", "t").first()["records"]
+    assert [[None if v in (None, "") else v for v in r] for r in got] == [['x "q" y', "1,2"], [None, "3"]]
+
+
+def test_neighbour_imputation_without_row_id_is_an_error(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "x double, y double")
+    wanted = strategies.Strategy("knn_imputation", "", {"n_neighbors": 1})
+    with pytest.raises(ValueError):
+        strategies.apply_strategy(df, Issue("missing_values", "y", 1, 50.0, "", ""), wanted)

@@ -71,6 +71,11 @@ def _windows(size: int) -> str:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_a`` and ``_b``, 128 bits that tell rows apart by doc_id and text."""
+    return docs.withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64(F.lit(1), "doc_id", "text")})
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -78,12 +83,24 @@ def find_contamination(
     """``doc_id, item_id, item_words, covered_words, exact``, one row per document and item
     of which the document holds at least ``share``; ``exact`` tells that no value differs.
 
+    Where one value of the item stands in step for several values of the document, windows
+    with that value count only if all their values are the item's.
+
     Items of fewer than ``window`` words are looked for as a whole, down to four words;
     shorter ones, empty and null ones match nothing, and windows of which more than half
     are placeholders are not used. Null and empty documents hold nothing. Rows that repeat
-    a doc_id count as one document, and so do rows with a null doc_id; rows that repeat an
-    item_id count as one item. Empty tables give no rows. Other columns are ignored.
+    a doc_id, or have none, are documents of their own unless their texts are equal too;
+    rows that repeat an item_id count as one item. Empty tables give no rows. Other columns
+    are ignored.
     """
+    return _contamination(docs, benchmark, window, share, broadcast_rows).drop("_a", "_b")
+
+
+def _contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The result with the keys of the documents' rows."""
     items = durable(
         benchmark.select("item_id", marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
         .where(F.size("t") >= SHORTEST)
@@ -102,39 +119,40 @@ def find_contamination(
     def small(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if few else frame
 
-    texts = docs.select("doc_id", "text")
-    tokens = texts.select("doc_id", marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
+    key = ["_a", "_b"]
+    texts = _keyed(docs.select("doc_id", "text"))
+    tokens = texts.select(*key, marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
     all_hashes = F.expr(f"concat({', '.join(map(_hashes, sizes))})")
-    hit = durable(tokens.select("doc_id", F.explode(all_hashes).alias("hash")).join(small(hashes), "hash", "left_semi")
-                  .select("doc_id").distinct())
-    hit = hit.withColumnRenamed("doc_id", "id")
-    suspects = texts.join(
-        F.broadcast(hit) if hit.count() <= broadcast_rows else hit, texts.doc_id.eqNullSafe(hit.id), "left_semi"
-    )
-    tokens = suspects.select("doc_id", marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
+    hit = durable(tokens.select(*key, F.explode(all_hashes).alias("hash")).join(small(hashes), "hash", "left_semi")
+                  .select(*key).distinct())
+    suspects = texts.join(F.broadcast(hit) if hit.count() <= broadcast_rows else hit, key, "left_semi")
+    key = [*key, "doc_id"]
+    tokens = suspects.select(*key, marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
     all_windows = F.expr(f"concat({', '.join(map(_windows, sizes))})")
-    found = tokens.select("doc_id", F.inline(all_windows)).withColumnRenamed("at", "doc_at").withColumnRenamed("slots", "doc_slots")
+    found = tokens.select(*key, F.inline(all_windows)).withColumnRenamed("at", "doc_at").withColumnRenamed("slots", "doc_slots")
     found = durable(
         found.join(small(known), ["hash", "size"])
         .where(F.size("slots") == F.size("doc_slots"))
-        .select("doc_id", "item_id", "item_words", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "size", "slots", "doc_slots")
+        .select(*key, "item_id", "item_words", "at", (F.col("doc_at") - F.col("at")).alias("shift"), "size", "slots", "doc_slots")
     )
-    pair = ["doc_id", "item_id", "shift"]
+    pair = ["_a", "_b", "item_id", "shift"]
     values = found.where(F.size("slots") > 0).select(*pair, F.inline(F.arrays_zip("slots", "doc_slots")))
     values = values.groupBy(*pair, "slots").agg(F.min("doc_slots").alias("a"), F.max("doc_slots").alias("b"))
     steps = values.groupBy(*pair).agg(
-        F.max(F.col("a") != F.col("b")).alias("clash"), F.max((F.col("a") != F.col("slots")) | (F.col("b") != F.col("slots"))).alias("changed")
-    )
+        F.collect_list(F.when(F.col("a") != F.col("b"), F.col("slots"))).alias("clash"),
+        F.max((F.col("a") != F.col("slots")) | (F.col("b") != F.col("slots"))).alias("changed"),
+    ).where("changed")
     match = found.join(
-        steps.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("shift").alias("s"), "clash", "changed"),
-        found.doc_id.eqNullSafe(F.col("d")) & found.item_id.eqNullSafe(F.col("i")) & (found["shift"] == F.col("s")), "left",
-    ).where(~F.coalesce("clash", F.lit(False)))
+        steps.select(F.col("_a").alias("c"), F.col("_b").alias("d"), F.col("item_id").alias("i"), F.col("shift").alias("s"), "clash", "changed"),
+        (found["_a"] == F.col("c")) & (found["_b"] == F.col("d")) & found.item_id.eqNullSafe(F.col("i"))
+        & (found["shift"] == F.col("s")), "left",
+    ).where((F.col("slots") == F.col("doc_slots")) | ~F.coalesce(F.arrays_overlap("slots", "clash"), F.lit(False)))
     words = match.select(
-        "doc_id", "item_id", "item_words", F.coalesce("changed", F.lit(False)).alias("changed"),
+        *key, "item_id", "item_words", F.coalesce("changed", F.lit(False)).alias("changed"),
         F.explode(F.expr("sequence(at, at + size - 1)")).alias("word"),
     )
-    words = words.groupBy("doc_id", "item_id", "word").agg(F.max("item_words").alias("item_words"), F.max("changed").alias("changed"))
-    covered = words.groupBy("doc_id", "item_id").agg(
+    words = words.groupBy(*key, "item_id", "word").agg(F.max("item_words").alias("item_words"), F.max("changed").alias("changed"))
+    covered = words.groupBy(*key, "item_id").agg(
         F.max("item_words").alias("item_words"), F.count("*").alias("covered_words"), (~F.max("changed")).alias("exact")
     )
     return covered.where(F.col("covered_words") >= share * F.col("item_words"))
@@ -144,7 +162,7 @@ def _result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """No rows."""
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     return docs.sparkSession.createDataFrame(
-        [], f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words int, covered_words long, exact boolean"
+        [], f"_a long, _b long, doc_id {kinds[0]}, item_id {kinds[1]}, item_words int, covered_words long, exact boolean"
     )
 
 

@@ -275,6 +275,17 @@ def test_decontamination(spark):
     assert find_contamination(df, bench.where("false")).isEmpty() and find_contamination(df.where("false"), bench).isEmpty()
 
 
+def test_decontamination_keeps_windows_beside_a_clashing_value(spark):
+    item = "now Tom has 5 apples and gives 3 apples to Ann who then walks 12 km with Tom to buy 5 pears"
+    one = item.replace("5 pears", "7 pears")
+    both = "now Max has 9 apples and gives 2 apples to Eva who then walks 40 km with Max to buy 7 pears"
+    third = "now Max has 8 apples and gives 4 apples to Eva who then walks 30 km with Max to buy 8 pears"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"so {one}"), (2, f"so {both}"), (None, f"so {third}"), (None, f"so {item}")]
+    got = [(r.doc_id, r.covered_words, r.exact) for r in find_contamination(frame(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == [(1, 20, False), (2, 16, False), (None, 22, False), (None, 22, True)]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -167,6 +167,10 @@ def _result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    bad = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Rows are removed by doc_id and text, so clean rows stay that share a doc_id with a
+    contaminated one, or have none like it.
+    """
+    bad = _contamination(docs, benchmark, **options).select("_a", "_b").distinct()
+    return _keyed(docs).join(bad, ["_a", "_b"], "left_anti").select(*docs.columns)

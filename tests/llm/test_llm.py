@@ -286,6 +286,15 @@ def test_decontamination_keeps_windows_beside_a_clashing_value(spark):
     assert sorted(got, key=str) == [(1, 20, False), (2, 16, False), (None, 22, False), (None, 22, True)]
 
 
+def test_decontamination_keeps_clean_rows_that_share_a_key(spark):
+    item = "now Tom has 5 apples and gives 3 apples to Ann who then walks 12 km"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean one"), (None, None), (None, "clean one"), (3, f"so {item}"), (3, "clean three")]
+    rows += [(None, item[: len(item) // 2 - 8]), (None, item[len(item) // 2 - 8 :])]
+    kept = [(r.doc_id, r.text) for r in remove_contaminated(frame(spark, rows), bench, share=0.7).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[1:4], *rows[5:]], key=str)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

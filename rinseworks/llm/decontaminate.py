@@ -4,7 +4,7 @@ Names, numbers and units become typed placeholders, so a question that was copie
 other values has the template of the original. Windows of template words of documents and
 benchmark items meet in a hash join; where a document's windows follow an item in step, the
 values in the placeholders must be consistent: one value of the item stands for one value
-of the document. A document is contaminated by an item if such windows cover at least a
+of the document. Windows of the same words meet too, whatever their placeholders. A document is contaminated by an item if such windows cover at least a
 given share of the item's words. Everything is DataFrame and SQL functions.
 """
 
@@ -55,20 +55,42 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w < _LAST, F.substring(w, 1, 1)).otherwise(w))
 
 
+def _with_words(frame: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the marked words, their template, the plain words and which are marked."""
+    frame = frame.select(*keep, marked_words(F.col("text")).alias("w"))
+    return frame.select(
+        *keep, "w", template(F.col("w")).alias("t"), F.transform("w", lambda x: F.ltrim(x, F.lit(_NAME + _NUMBER + _UNIT))).alias("p"),
+        F.transform("w", lambda x: x < _LAST).alias("m"),
+    )
+
+
+def _places(size: int, marked: bool = False) -> str:
+    """Where windows start, or the windows that hold a marked word."""
+    places = f"sequence(0, size(t) - {size})"
+    if marked:
+        places = f"filter({places}, i -> array_contains(slice(m, i + 1, {size}), true))"
+    wanted = f"size(t) < {size}" + (" or not array_contains(m, true)" if marked else "")
+    return f"if({wanted}, cast(array() as array<int>), {places})"
+
+
 def _hashes(size: int) -> str:
-    """Hashes of all windows of ``t``, an array of template words."""
+    """Hashes of all windows of the template ``t``, and of the plain words ``p`` where these
+    differ from it."""
     return (
-        f"if(size(t) < {size}, cast(array() as array<bigint>),"
-        f" transform(sequence(0, size(t) - {size}), i -> xxhash64({size}, slice(t, i + 1, {size}))))"
+        f"concat(transform({_places(size)}, i -> xxhash64({size}, slice(t, i + 1, {size}))),"
+        f" transform({_places(size, True)}, i -> xxhash64({size}, slice(p, i + 1, {size}))))"
     )
 
 
 def _windows(size: int) -> str:
-    """All windows of ``t`` with their place and the marked words of ``w`` in them."""
-    return (
-        f"transform({_hashes(size)}, (h, i) -> struct(int(i) as at, {size} as size, h as hash,"
-        f" filter(slice(w, i + 1, {size}), x -> x < '{_LAST}') as slots))"
-    )
+    """All windows of ``t`` with their place and the marked words of ``w`` in them; those
+    with a marked word also as plain words, which must be the same and have no slots. Of
+    windows of which more than half is marked, only the plain words."""
+    return f"""concat(
+        filter(transform({_places(size)}, i -> struct(i as at, {size} as size, xxhash64({size}, slice(t, i + 1, {size})) as hash,
+            filter(slice(w, i + 1, {size}), x -> x < '{_LAST}') as slots)), x -> 2 * size(x.slots) <= {size}),
+        transform({_places(size, True)}, i -> struct(i as at, {size} as size, xxhash64({size}, slice(p, i + 1, {size})) as hash,
+            cast(array() as array<string>) as slots)))"""
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -87,8 +109,8 @@ def find_contamination(
     with that value count only if all their values are the item's.
 
     Items of fewer than ``window`` words are looked for as a whole, down to four words;
-    shorter ones, empty and null ones match nothing, and windows of which more than half
-    are placeholders are not used. Null and empty documents hold nothing. Rows that repeat
+    shorter ones, empty and null ones match nothing. Windows of the same words always match;
+    with other values, those match of which at most half are placeholders. Null and empty documents hold nothing. Rows that repeat
     a doc_id, or have none, are documents of their own unless their texts are equal too;
     rows that repeat an item_id count as one item. Empty tables give no rows. Other columns
     are ignored.
@@ -101,18 +123,12 @@ def _contamination(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The result with the keys of the documents' rows."""
-    items = durable(
-        benchmark.select("item_id", marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
-        .where(F.size("t") >= SHORTEST)
-    )
+    items = durable(_with_words(benchmark, "item_id").where(F.size("t") >= SHORTEST))
     sizes = sorted({r[0] for r in items.select(F.least(F.size("t"), F.lit(window))).distinct().collect()})
     if not sizes:
         return _result(docs, benchmark)
     own_size = F.coalesce(*(F.when(F.least(F.size("t"), F.lit(window)) == s, F.expr(_windows(s))) for s in sizes))
-    known = durable(
-        items.select("item_id", F.size("t").alias("item_words"), F.inline(own_size))
-        .where(2 * F.size("slots") <= F.col("size"))
-    )
+    known = durable(items.select("item_id", F.size("t").alias("item_words"), F.inline(own_size)))
     hashes = known.select("hash").distinct()
     few = known.count() <= broadcast_rows
 
@@ -121,13 +137,13 @@ def _contamination(
 
     key = ["_a", "_b"]
     texts = _keyed(docs.select("doc_id", "text"))
-    tokens = texts.select(*key, marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
+    tokens = _with_words(texts, *key)
     all_hashes = F.expr(f"concat({', '.join(map(_hashes, sizes))})")
     hit = durable(tokens.select(*key, F.explode(all_hashes).alias("hash")).join(small(hashes), "hash", "left_semi")
                   .select(*key).distinct())
     suspects = texts.join(F.broadcast(hit) if hit.count() <= broadcast_rows else hit, key, "left_semi")
     key = [*key, "doc_id"]
-    tokens = suspects.select(*key, marked_words(F.col("text")).alias("w")).withColumn("t", template(F.col("w")))
+    tokens = _with_words(suspects, *key)
     all_windows = F.expr(f"concat({', '.join(map(_windows, sizes))})")
     found = tokens.select(*key, F.inline(all_windows)).withColumnRenamed("at", "doc_at").withColumnRenamed("slots", "doc_slots")
     found = durable(

@@ -295,6 +295,14 @@ def test_decontamination_keeps_clean_rows_that_share_a_key(spark):
     assert sorted(kept, key=str) == sorted([*rows[1:4], *rows[5:]], key=str)
 
 
+def test_decontamination_finds_copies_of_items_rich_in_numbers(spark):
+    series, names = "the row 3 5 8 13 21 34 55 89 144 233 ends", "with Ann, Bob, Carl, Dora, Emil, Fritz, Gerd, Hanna and Ida"
+    bench = spark.createDataFrame([(1, series), (2, names)], "item_id long, text string")
+    rows = [(1, f"so {series} again"), (2, f"so {names} again"), (3, f"so {series.replace('233', '234')}"), (4, "the row 1 2 4 6 10 12 16 18 22 28 ends")]
+    got = {(r.doc_id, r.item_id): r.covered_words for r in find_contamination(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): 13, (2, 2): 11, (3, 1): 11}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

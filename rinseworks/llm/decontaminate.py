@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Names, numbers and units become typed placeholders, so a question that was copied with
+Capitalised words (but for English words that start sentences), numbers and units become
+typed placeholders, so a question that was copied with
 other values has the template of the original. Windows of template words of documents and
 benchmark items meet in a hash join; where a document's windows follow an item in step, the
 values in the placeholders must be consistent: one value of the item stands for one value
@@ -30,13 +31,20 @@ _UNITS = (
     "centimeters?|centimetres?|grams?|kilograms?|pounds?|ounces?|tons?|liters?|litres?|gallons?|seconds?|minutes?|"
     "hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|percent|degrees?"
 )
+#: English words that start sentences and are no names.
+_STARTS = (
+    "The|An|He|She|It|They|We|You|His|Her|Their|Its|My|Our|Your|This|That|These|Those|There|Then|If|In|On|At|Of|For|"
+    "From|To|By|With|As|And|Or|But|So|When|While|What|Which|Who|Whom|Whose|Where|Why|How|Is|Are|Was|Were|Do|Does|Did|"
+    "Has|Have|Had|Can|Could|Would|Should|Not|No|Each|Every|All|Some|Any|Both|After|Before|Because|Since|Until|Let|One"
+)
 #: Each in turn: what to find, what to put there. A mark stands before the word it types.
+#: A word is typed by itself, wherever it stands; only a unit needs the number before it.
 _STEPS = (
-    (r"[\x01-\x04]", " "),
+    (r"[\s\p{Z}\x01-\x04]{2,}+|[\s\p{Z}\x01-\x04&&[^ ]]", " "),
     (rf"(\p{{N}})({_UNITS})(?!\p{{L}})", "$1 $2"),
-    (r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})\p{Ll}++\p{L}*+", f"{_NAME}$0"),
-    (r"\p{N}(?<![\p{L}\p{N}\x01][.,:/]?\p{N})\p{N}*+(?:[.,:/]\p{N}++)*+(?!\p{L})", f"{_NUMBER}$0"),
-    (rf"\b(?i:{_NUMBER_WORDS})\b(?<!\x01\p{{L}}{{1,12}})", f"{_NUMBER}$0"),
+    (r"\p{N}(?<![\p{L}\p{N}]\p{N})(?<!\p{N}[.,:/]\p{N})\p{N}*+(?:[.,:/]\p{N}++)*+(?!\p{L})", f"{_NUMBER}$0"),
+    (rf"(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$0"),
+    (rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}\x02]\p{{Lu}})\p{{Ll}}++\p{{L}}*+(?<!(?<!\p{{L}})(?:{_STARTS}))", f"{_NAME}$0"),
     (rf"(?i:{_UNITS})(?!\p{{L}})(?<=\x02[^\s\x01-\x03]{{1,20}}\s\p{{L}}{{1,12}})", f"{_UNIT}$0"),
     (r"[^\p{L}\p{N}\s\x01-\x03](?!(?<=\p{N}.)\p{N})", " "),
 )

@@ -303,6 +303,19 @@ def test_decontamination_finds_copies_of_items_rich_in_numbers(spark):
     assert got == {(1, 1): 13, (2, 2): 11, (3, 1): 11}
 
 
+def test_decontamination_types_words_wherever_they_stand(spark):
+    item = "Tom has 5 apples. Tom gives 3 apples to Ann. Then Ann walks 12 km. How many apples has Tom?"
+    other = item.replace("Tom", "Max").replace("Ann", "Eva").replace("5", "9").replace("12", "40")
+    short = "Every day Ann eats 3 of the apples"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    rows = [
+        (1, f"{other}"), (2, other.replace(" ", "\n  ")), (3, f'text: "{other}" (end)'), (4, f"and every {short[6:]} again"),
+        (5, f"so {item.lower()}"), (6, item.upper()), (7, other.replace(" ", "\u00a0")), (8, f"{item[:25]} and Joe sleeps"),
+    ]
+    got = {(r.doc_id, r.item_id): r.covered_words for r in find_contamination(frame(spark, rows), bench).collect()}
+    assert got == {(4, 2): 8} | {(i, 1): 20 for i in (1, 2, 3, 5, 6, 7)}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -37,7 +37,7 @@ def gram_counts(texts: pa.Array, bits: int = BITS, orders: tuple[int, ...] = ORD
     low[(low >= 65) & (low <= 90)] += 32
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.zeros(n << bits, np.int64)
+    slots = []
     for order in orders:
         if len(low) < order:
             continue
@@ -47,9 +47,10 @@ def gram_counts(texts: pa.Array, bits: int = BITS, orders: tuple[int, ...] = ORD
         gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         inside = owner[: len(gram)] == owner[order - 1 :]
         slot = (owner[: len(gram)].astype(np.int64) << bits) | (gram >> np.uint32(32 - bits))
-        counts += np.bincount(slot[inside], minlength=n << bits)
-    at = np.flatnonzero(counts)
-    return at >> bits, at & ((1 << bits) - 1), counts[at]
+        slots.append(slot[inside])
+    # Only what occurs is counted: memory grows with the bytes, whatever the number of texts.
+    at, counts = np.unique(np.concatenate(slots or [np.zeros(0, np.int64)]), return_counts=True)
+    return at >> bits, at & ((1 << bits) - 1), counts
 
 
 @dataclass

@@ -410,6 +410,22 @@ def test_language(spark):
     assert {r.lang_pred for r in language.language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_runs_of_empty_texts_are_short():
+    import tracemalloc
+
+    texts = pa.array(["", None, "a"] * 3_000 + ["some words of English " * 40])
+    tracemalloc.start()
+    row, feature, count = language.gram_counts(texts)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 24
+    tracemalloc.stop()
+    assert list(row[:3000]) == list(range(2, 9000, 3)) and set(row[3000:]) == {9000}
+    assert count[row == 9000].sum() == sum(880 - k for k in range(3)) and (np.diff(feature[row == 9000]) > 0).all()
+    for bits in (6, 14):
+        row, feature, count = language.gram_counts(texts.slice(8990), bits)
+        alone = [language.gram_counts(texts.slice(i, 1), bits) for i in range(8990, 9001)]
+        assert [(int(f), int(c)) for f, c in zip(feature, count)] == [(int(f), int(c)) for a in alone for f, c in zip(a[1], a[2])]
+
+
 def test_fold_of_a_null_key(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(fold(3)).first()[0] is None
 

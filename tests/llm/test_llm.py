@@ -249,6 +249,22 @@ def test_pii_trees_add_likely_spans(spark):
     assert sum(len(got[i].spans) > 0 for i in range(0, 400, 2)) <= 8
 
 
+def test_pii_trees_add_what_no_exact_pattern_finds(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        phone = f"({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+        rows.append((i, (
+            f"order {rng.randint(10**7, 10**8)} of 2024-0{rng.randint(1, 9)}-{rng.randint(10, 28)} at 3 @ 2.{i}",
+            f"please call +1 {phone} now", f"write to {rng.choice(VOCABULARY)}.x@mail{i}.example.com now",
+        )[i % 3]))
+    rows += [(1000, "please call 1 (415) 555-2671 now"), (1001, "write to ann.b [at] mail7 [dot] example [dot] com now"),
+             (1002, "order 87654321 of 2024-03-15 at 3 @ 2.5")]
+    got = by_id(pii.pii_digest(frame(spark, rows)))
+    assert got[1000].spans == "phone:12:28" and got[1001].spans == "email:9:49" and got[1002].spans == ""
+    assert not any(got[i].spans for i in range(0, 600, 3))
+
+
 def test_decontamination(spark):
     item = "Tom has 5 apples and gives 3 apples to Ann who then walks 12 km with Tom to buy 5 pears"
     other = item.replace("5", "9").replace("Tom", "Max").replace("Ann", "Eva").replace("12", "40")

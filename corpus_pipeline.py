@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rinseworks.frames import durable
 from rinseworks.llm.decontaminate import remove_contaminated
-from rinseworks.llm.jaccard_join import deduplicate
+from rinseworks.llm.jaccard_join import one_per_component
 from rinseworks.llm.learning import fold
 from rinseworks.llm.pii import redact
 from rinseworks.llm.queries import packed, table
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a Jaccard of 0.8."""
-    return deduplicate(docs)
+    """One document of each group that five-word shingles link at a Jaccard of 0.8, whatever its key."""
+    return one_per_component(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

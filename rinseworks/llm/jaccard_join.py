@@ -169,7 +169,16 @@ def jaccard_components(
     component but is its smallest only if all are null. An empty table gives no rows.
     Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    found = _components(docs.select("doc_id", "text"), [], size, percent, sketch_bits, block, short, broadcast_rows)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def _components(
+    docs: DataFrame, keys: list[str], size: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS,
+    block: int = BLOCK, short: int = SHORT, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The components with ``keys``, long columns of the rows, the digest ``entry`` of the
+    row's set and ``root``, the entry that names its component; null without grams."""
     lengths = list_lengths(docs, size, sketch_bits)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +190,7 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        *(part.column(k) for k in keys),
                         pa.array(n),
                         pa.array([set_digest(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(
@@ -188,10 +198,11 @@ def jaccard_components(
                             signed(np.concatenate([s[:k] for s, k in zip(sets, shortest)] or [np.zeros(0, np.uint64)])),
                         ),
                     ],
-                    ["doc_id", "n_shingles", "entry", "lists"],
+                    ["doc_id", *keys, "n_shingles", "entry", "lists"],
                 )
 
-    marked = durable(docs.mapInArrow(grams, "doc_id long, n_shingles long, entry long, lists array<long>"))
+    carried = "".join(f"{k} long, " for k in keys)
+    marked = durable(docs.mapInArrow(grams, f"doc_id long, {carried}n_shingles long, entry long, lists array<long>"))
     postings = marked.select("entry", F.col("n_shingles").alias("n"), F.explode("lists").alias("list"))
     shared = postings.groupBy("list").agg(
         F.min("entry").alias("pivot"), F.max("entry").alias("last"), F.count("*").alias("length")
@@ -296,13 +307,39 @@ def jaccard_components(
     smallest = marked.where("n_shingles > 0").groupBy("entry").agg(F.min("doc_id").alias("least"))
     named = smallest.join(roots, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("entry", "component_id")
-    return marked.select("doc_id", "n_shingles", "entry").join(named, "entry", "left").select(
-        "doc_id", "n_shingles",
+    named = named.join(ids, "root").select("entry", "root", "component_id")
+    return marked.select("doc_id", *keys, "n_shingles", "entry").join(named, "entry", "left").select(
+        "doc_id", *keys, "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "entry", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"),
     )
 
 
+def one_per_component(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """The rows of ``docs`` with one row for each component, that of the smallest doc_id, a
+    null one last, then of the smallest set digest, with all their columns.
+
+    Rows are told apart by doc_id and 128 bits of their text; of rows equal in both one
+    stays. So texts that nothing links stay even if they share a doc_id or have none, and
+    copies go even without one. Texts without words stay.
+    """
+    key = ["_a", "_b"]
+    keyed = docs.withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64(F.lit(1), "doc_id", "text")})
+    found = _components(keyed.select("doc_id", "text", *key), key, broadcast_rows=broadcast_rows, **options)
+    found = durable(found.where("n_shingles > 0"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "entry", *key)).alias("k"))
+    first = durable(first.select("k._a", "k._b"))
+    rows = found.groupBy(*key).count()
+    gone = durable(rows.join(first, key, "left_anti").select(*key))
+    again = durable(rows.where("count > 1").join(first, key, "left_semi").select(*key))
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti")
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.count() <= broadcast_rows else again
+        twice = kept.join(again, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(again, key, "left_anti").unionByName(twice)
+    return kept.select(*docs.columns)
+
+
 def deduplicate(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The rows of ``docs`` with one document for each component, the one of the smallest
     doc_id, with all their columns.

@@ -87,6 +87,17 @@ def test_jaccard_awkward_keys(spark):
     assert jaccard_join.jaccard_components(frame(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}])
+def test_one_per_component_keeps_what_nothing_links(spark, limits):
+    import corpus_pipeline
+
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (7, "x"), (7, "x"), (7, "y z"), (7, "a b c d e f"), (None, None), (None, "lost"), (None, "lost")]
+    df = frame(spark, rows)
+    for kept in (jaccard_join.one_per_component(df, **limits), corpus_pipeline.drop_near_copies(spark, df, "")):
+        assert kept.columns == df.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, "a b c d e f"), (7, "x"), (7, "y z"), (None, None), (None, "lost")])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {(r.node, r.root) for r in components(edges, "a", "b").collect()} == {(i, 0) for i in range(200)}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rinseworks.llm.conversations import conversation_repairs
 from rinseworks.llm.decontaminate import find_contamination
 from rinseworks.llm.fingerprint import fingerprint_with_next
 from rinseworks.llm.hilbert import hilbert_shards, shards_sql
@@ -101,3 +102,8 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repairs(table(spark, folder, "conversations"))

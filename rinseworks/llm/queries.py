@@ -17,6 +17,7 @@ from rinseworks.llm.packing import pack
 from rinseworks.llm.pii import pii_digest
 from rinseworks.llm.quality import quality
 from rinseworks.llm.recompression import remove_repeats
+from rinseworks.llm.resampling import resample
 from rinseworks.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,8 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repairs(table(spark, folder, "conversations"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

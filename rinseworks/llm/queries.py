@@ -13,6 +13,7 @@ from rinseworks.llm.fingerprint import fingerprint_with_next
 from rinseworks.llm.hilbert import hilbert_shards, shards_sql
 from rinseworks.llm.jaccard_join import jaccard_components
 from rinseworks.llm.language import language
+from rinseworks.llm.neighbours import every_twentieth
 from rinseworks.llm.packing import pack
 from rinseworks.llm.pii import pii_digest
 from rinseworks.llm.quality import quality
@@ -113,3 +114,8 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return every_twentieth(table(spark, folder, "embeddings"))

@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinseworks.functions.expr import integer_columns, percent, ref, severity, strip, text_columns
 from rinseworks.operators.frequency import value_counts
 
 
-def count_duplicate_rows(df: DataFrame) -> int:
-    """Rows minus distinct rows.
+def row_digest(df: DataFrame) -> Column:
+    """A 256-bit digest of the row, the same for rows that ``groupBy`` takes for equal.
 
-    Rows are first counted by a 64-bit hash, so the shuffle carries eight bytes per
-    distinct row instead of the row. Only rows whose hash occurs more than once are
-    then compared in full, which keeps the result exact.
+    Each value is written with its length, so that no two rows share an encoding; a null
+    has none. Both zeros of a floating-point column are one value.
     """
-    columns = [ref(c) for c in df.columns]
-    hashed = df.withColumn("__hash", F.xxhash64(*columns))
-    suspects = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    row = (
-        hashed.join(suspects.select("__hash"), "__hash", "left_semi")
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-        .first()
-    )
-    return int(row["duplicates"])
+    parts = []
+    for f in df.schema:
+        value = ref(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = value.cast("double") + 0.0
+        elif isinstance(f.dataType, T.TimestampType):
+            value = F.unix_micros(value)  # as text, two instants of a clock set back would be one
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            value = F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}))
+        text = value.cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(text), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*parts) if parts else F.lit(""), 256))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """One row: total rows and surplus copies."""
-    return df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
-        "duplicates", F.lit(count_duplicate_rows(df)).cast("bigint")
+    """One row: total rows and surplus copies.
+
+    One scan; copies are counted by digest where they are read, and the shuffle carries 32
+    bytes for a distinct row, whatever its width.
+    """
+    kinds = df.groupBy(row_digest(df).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
     )
 
 
+def count_duplicate_rows(df: DataFrame) -> int:
+    """Rows minus distinct rows."""
+    return duplicate_row_count(df).first()["duplicates"]
+
+
 def detect_exact_duplicates(df: DataFrame) -> DataFrame:
     share = percent(F.col("duplicates"), F.col("total_rows"))
     return (

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinseworks.frames import durable, localize, per_column
+from rinseworks.frames import durable, localize, per_column, small_frame
 from rinseworks.functions.expr import is_missing, number, numeric_columns, ref, strip, text_columns
+from rinseworks.operators.cells import Boxes, CellTree
 from rinseworks.operators.frequency import column_mode, value_counts
 from rinseworks.operators.quantiles import exact_quantiles
 
-# Rows per side of one distance block of neighbour imputation.
+# Rows per side of one distance block of neighbour imputation; donors that the tree of cells
+# is fitted on, and how many of them make a cell.
 DONOR_BLOCK = 4096
 RECEIVER_BLOCK = 1024
+SAMPLE = 16_384
+LEAF = 24
 
 
 def fill(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -165,12 +172,13 @@ def impute_knn(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     columns = numeric_columns(df)
     known = _moments(df, columns)
     columns = [c for c in columns if known[c]["present"] > 0]
+    gaps = [c for c in columns if known[c]["present"] < known[c]["total"]]
+    if not gaps:
+        return df
+    points = durable(df.select(ref(key).alias("id"), F.array(*[number(df, c) for c in columns]).alias("x")))
     out = df
-    for c in columns:
-        missing = known[c]["total"] - known[c]["present"]
-        if missing == 0:
-            continue
-        best = nearest_donors(df, key, columns, c, k, known[c]["present"], missing)
+    for c in gaps:
+        best = nearest_donors(points, columns.index(c), len(columns), k)
         fills = best.groupBy("receiver").agg(F.avg("value").alias("__fill"))
         out = (
             out.join(fills, ref(key) == F.col("receiver"), "left")
@@ -199,80 +207,140 @@ def _moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in rows}
 
 
+def _matrix(column, width: int) -> np.ndarray:
+    """Arrays of one width as rows, gaps as NaN."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+
+
+@dataclass
+class DonorIndex:
+    """Donors of one column in cells, ``(id, x, cell)``, and the boxes of the cells."""
+
+    donors: DataFrame
+    boxes: Boxes
+    target: int
+    width: int
+    donor_block: int
+
+    @classmethod
+    def build(cls, points: DataFrame, target: int, width: int, sample: int, leaf: int, donor_block: int) -> DonorIndex:
+        """The tree is fitted on a bounded sample of donors; boxes are measured over all."""
+        giving = points.where(F.col("x")[target].isNotNull())
+        chosen = giving.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").toArrow()
+        tree = CellTree.fit(_matrix(chosen.column("x").combine_chunks(), width), leaf)
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.append_column("cell", pa.array(tree.assign(_matrix(batch.column("x"), width))))
+
+        kind = points.schema["id"].dataType.simpleString()
+        donors = durable(giving.mapInArrow(put, f"id {kind}, x array<double>, cell long"))
+        x = [F.col("x")[j] for j in range(width)]
+        rows = donors.groupBy("cell").agg(
+            F.count("*").alias("n"), F.array(*map(F.min, x)).alias("low"), F.array(*map(F.max, x)).alias("high"),
+            F.array(*map(F.count, x)).alias("present"),
+        ).orderBy("cell").collect()  # a row for each cell of the tree
+        n = np.array([r.n for r in rows], np.int64)
+        low, high = (np.array([[v or 0.0 for v in r[c]] for r in rows]).reshape(-1, width) for c in ("low", "high"))
+        present = np.array([r.present for r in rows]).reshape(-1, width)
+        boxes = Boxes(np.array([r.cell for r in rows], np.int64), n, low, high, present == n[:, None], present > 0)
+        return cls(donors, boxes, target, width, donor_block)
+
+    def visits(self, receivers: DataFrame, k: int, first: bool) -> DataFrame:
+        """``(id, x, cell)``: the nearest cells that hold k rows, or with ``reach``, the k-th
+        distance in these, all others that may hold a row as near."""
+        boxes, width = self.boxes, self.width
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bound = boxes.nearest_possible(_matrix(batch.column("x"), width))
+                order = np.argsort(bound, axis=1, kind="stable")
+                near = np.take_along_axis(bound, order, axis=1)
+                held = np.cumsum(np.where(np.isfinite(near), boxes.size[order], 0), axis=1)
+                early = np.isfinite(near) & (held - boxes.size[order] < k)
+                if not first:
+                    reach = batch.column("reach").to_numpy(zero_copy_only=False)[:, None]
+                    early = np.isfinite(near) & ~early & (near <= reach * (1 + 1e-9))
+                row, place = np.nonzero(early)
+                taken = batch.select(["id", "x"]).take(pa.array(row))
+                yield taken.append_column("cell", pa.array(boxes.number[order[row, place]]))
+
+        kind = receivers.schema["id"].dataType.simpleString()
+        return receivers.mapInArrow(choose, f"id {kind}, x array<double>, cell long")
+
+    def compare(self, visits: DataFrame, k: int, receiver_block: int) -> DataFrame:
+        """``(receiver, donor, distance, value)``: the k nearest of each cell's donors.
+
+        A task meets one block of a cell's donors with one block of its visitors.
+        """
+        load = visits.groupBy("cell").agg(F.ceil(F.count("*") / receiver_block).alias("down"))
+        sizes = small_frame(
+            visits.sparkSession,
+            [(int(c), int(-(-n // self.donor_block))) for c, n in zip(self.boxes.number, self.boxes.size)],
+            "cell bigint, across bigint",
+        )
+        load = load.join(F.broadcast(sizes), "cell")
+        own = lambda n: F.pmod(F.xxhash64("id"), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        giving = self.donors.join(load, "cell").select("cell", "id", "x", own(F.col("across")).alias("b"), every(F.col("down")).alias("a"))
+        taking = visits.join(load, "cell").select("cell", "id", "x", own(F.col("down")).alias("a"), every(F.col("across")).alias("b"))
+        width, target = self.width, self.target
+
+        def nearest(give: pa.Table, take: pa.Table) -> pa.Table:
+            ids = give.column("id").combine_chunks()
+            donors, asking = (_matrix(t.column("x").combine_chunks(), width) for t in (give, take))
+            rank = np.empty(len(ids), np.int64)
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            rows, picks, far = [], [], []
+            for i, x in enumerate(asking):
+                gap = donors - x
+                shared = np.count_nonzero(~np.isnan(gap), axis=1)
+                at = np.flatnonzero(shared)
+                total = np.nansum(gap[at] ** 2, axis=1)
+                distance = np.sqrt(total * (width / shared[at]))
+                if len(at) > k:
+                    close = distance <= np.partition(distance, k - 1)[k - 1]
+                    at, distance = at[close], distance[close]
+                order = np.lexsort((rank[at], distance))[:k]
+                rows.append(np.full(len(order), i))
+                picks.append(at[order])
+                far.append(distance[order])
+            row, pick = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (rows, picks))
+            return pa.table({
+                "receiver": take.column("id").combine_chunks().take(pa.array(row)), "donor": ids.take(pa.array(pick)),
+                "distance": np.concatenate([np.zeros(0), *far]), "value": donors[pick, target],
+            })
+
+        kind = visits.schema["id"].dataType.simpleString()
+        return giving.groupBy("cell", "a", "b").cogroup(taking.groupBy("cell", "a", "b")).applyInArrow(
+            nearest, f"receiver {kind}, donor {kind}, distance double, value double"
+        )
+
+
 def nearest_donors(
-    df: DataFrame, key: str, columns: list[str], target: str, k: int, donors: int, receivers: int
+    points: DataFrame, target: int, width: int, k: int, sample: int | None = None, leaf: int | None = None
 ) -> DataFrame:
     """``(receiver, donor, distance, value)`` of the k nearest donors per receiver.
 
-    Both sides are cut into blocks by a hash of the key; one task compares one block of
-    receivers with one block of donors and emits only the k best, so neither side is
-    ever gathered and no table of pairs exists.
+    ``points`` has ``id`` and ``x``, an array of ``width`` numbers or nulls; rows without
+    ``x[target]`` receive, the others give. A receiver first meets the cells whose boxes are nearest
+    until they hold k donors; the k-th distance found there tells which other cells can
+    hold a nearer one, and only these are searched as well. The result is exact.
     """
-    width = len(columns)
-    across = math.ceil(donors / DONOR_BLOCK)
-    down = math.ceil(receivers / RECEIVER_BLOCK)
-    parts = df.select(
-        ref(key).alias("id"),
-        number(df, target).alias("value"),
-        *[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
-    )
-
-    def block(n):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    def all_blocks(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    giving = parts.where(F.col("value").isNotNull()).select(
-        "*", block(across).alias("b"), all_blocks(down).alias("a")
+    index = DonorIndex.build(points, target, width, sample or SAMPLE, leaf or LEAF, DONOR_BLOCK)
+    receivers = points.where(F.col("x")[target].isNull())
+    found = durable(index.compare(index.visits(receivers, k, True), k, RECEIVER_BLOCK))
+    place = F.row_number().over(Window.partitionBy("receiver").orderBy("distance", "donor"))
+    best = durable(found.withColumn("place", place).where(F.col("place") <= k))
+    reach = best.groupBy(F.col("receiver").alias("__r")).agg(
+        F.when(F.count("*") == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
     )
-    taking = parts.where(F.col("value").isNull()).select(
-        "*", block(down).alias("a"), all_blocks(across).alias("b")
-    )
-    names = [f"x{i}" for i in range(width)]
-
-    def compare(give: pd.DataFrame, take: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((len(take), len(give)))
-        shared = np.zeros_like(total)
-        for name in names:
-            gap = take[name].to_numpy(float)[:, None] - give[name].to_numpy(float)[None, :]
-            seen = ~np.isnan(gap)
-            shared += seen
-            total += np.where(seen, gap, 0.0) ** 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.sqrt(total * (width / shared))
-        ids = give["id"].to_numpy()
-        rows = []
-        for i, row in enumerate(distance):
-            near = np.flatnonzero(~np.isnan(row))
-            if len(near) > k:
-                limit = np.partition(row[near], k - 1)[k - 1]
-                near = near[row[near] <= limit]
-            near = near[np.lexsort((ids[near], row[near]))][:k]
-            rows.append((i, near))
-        at = np.repeat([i for i, _ in rows], [len(n) for _, n in rows]).astype(int)
-        pick = np.concatenate([n for _, n in rows]).astype(int) if rows else at
-        return pd.DataFrame(
-            {
-                "receiver": take["id"].to_numpy()[at],
-                "donor": ids[pick],
-                "distance": distance[at, pick],
-                "value": give["value"].to_numpy()[pick],
-            }
-        )
-
-    kind = df.schema[key].dataType.simpleString()
-    place = Window.partitionBy("receiver").orderBy("distance", "donor")
-    return (
-        giving.groupBy("a", "b")
-        .cogroup(taking.groupBy("a", "b"))
-        .applyInPandas(
-            compare, f"receiver {kind}, donor {kind}, distance double, value double"
-        )
-        .withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= k)
-        .drop("place")
+    again = receivers.join(reach, F.col("id") == F.col("__r"), "left").select(
+        "id", "x", F.coalesce("reach", F.lit(float("inf"))).alias("reach")
     )
+    more = index.compare(durable(index.visits(again, k, False)), k, RECEIVER_BLOCK)
+    both = best.drop("place").unionByName(more)
+    return both.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 # --- round-robin regression --------------------------------------------------

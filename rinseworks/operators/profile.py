@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinseworks.frames import localize, per_column, small_frame, together
@@ -172,25 +175,36 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def column_samples(df: DataFrame, count: int = 5) -> DataFrame:
     """The smallest distinct non-null values of each column as strings.
 
-    Each round is one scan that finds every column's next smallest value; nothing is
-    sorted or shuffled. Deviation: the smallest instead of the first seen, since rows
-    have no order here.
+    One scan: a task keeps the ``count`` smallest values of every column and hands over
+    only these, and the tasks' few rows are merged. Deviation: the smallest instead of the
+    first seen, since rows have no order here.
     """
-    texts = {c: F.when(~is_missing(df, c), ref(c).cast("string")) for c in df.columns}
-    last: dict[str, str | None] = {c: None for c in df.columns}
-    rows: list[tuple] = []
-    open_ = list(df.columns)
-    for rank in range(1, count + 1):
-        if not open_:
-            break
-        later = [
-            texts[c] if rank == 1 else F.when(texts[c] > F.lit(last[c]), texts[c]) for c in open_
-        ]
-        found = df.agg(*[F.min(v) for v in later]).first()
-        last.update(zip(open_, found))
-        rows += [(c, rank, v) for c, v in zip(open_, found) if v is not None]
-        open_ = [c for c in open_ if last[c] is not None]
-    return small_frame(df.sparkSession, rows, "column string, rank bigint, value string")
+    texts = [F.when(~is_missing(df, c), ref(c).cast("string")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, pa.Array] = {}
+        for batch in batches:
+            for i, values in enumerate(batch.columns):
+                values = values.drop_null()
+                best = kept.get(i)
+                if best is not None and len(best) >= count:
+                    values = values.filter(pc.less(values, best[-1]))
+                if len(values):
+                    values = pc.unique(values if best is None else pa.concat_arrays([best, values]))
+                    kept[i] = values.take(pc.sort_indices(values))[:count]
+        at = [i for i, v in kept.items() for _ in v]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.concat_arrays([pa.array([], pa.string()), *(v.cast(pa.string()) for v in kept.values())])],
+            ["at", "value"],
+        )
+
+    if not texts:
+        return small_frame(df.sparkSession, [], "column string, rank bigint, value string")
+    found = df.select(*texts).mapInArrow(smallest, "at int, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("at").orderBy("value"))  # a few rows of each task
+    ranked = found.select("at", "value", place.cast("bigint").alias("rank")).where(F.col("rank") <= count)
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return ranked.select(F.get(names, F.col("at")).alias("column"), "rank", "value")
 
 
 def iqr_outlier_counts(df: DataFrame) -> DataFrame:

@@ -1,20 +1,19 @@
 """Exact quantiles whose memory need stays bounded however many values a column has.
 
 The built-in exact ``percentile`` keeps every distinct value of its group in one
-buffer. That is right for short columns and fatal for long ones, so for a long column each
-wanted rank is bracketed first: two values from a sample split the values into those below,
-equal to, between and above them, one scan counts these parts exactly, and the part that
-holds the rank is the next bracket. When few values are left an exact function picks the
-one. Where a sample did not halve the bracket, the middle of the doubles between its ends splits it instead, so
-the search ends whatever the values are. The counts verify every step, so the result never
-depends on the samples. Every step is a scan with map-side aggregation; no column is ever
-sorted or shuffled as a whole.
+buffer. That is right for short columns and fatal for long ones, so a long column takes
+three scans, together with all other columns: one mergeable sketch per column gives two
+values around each wanted rank; counters of the values below and at these cut points place
+the ranks exactly; an exact function picks them from the few values left between. Where
+still too many are left, sketch and count are repeated for these. The counts verify every
+step, so the result never depends on the sketch, and a cut point that many values share is
+a result itself. Every step is a scan with map-side aggregation; no column is ever sorted
+or shuffled as a whole.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,53 +22,43 @@ from pyspark.sql import functions as F
 from rinseworks.functions.expr import number
 
 DIRECT_LIMIT = 200_000
-_ACCURACY = 10_000
-_SEED = 11
+ACCURACY = 10_000
 
 
 @dataclass
-class _Bracket:
-    """Where the value of one rank, counted from 0, lies; ends are inclusive."""
+class _Rank:
+    """Where the value of a rank, counted from 0, lies; ends are inclusive."""
 
     column: str
     rank: int
-    low: float
-    high: float
-    below: int
     inside: int
+    below: int = 0
+    low: float = -math.inf
+    high: float = math.inf
     value: float | None = None  # once it is known
-    halve: bool = False  # the last sample helped too little
 
-    def ends(self, sampled: int) -> list[float]:
-        """Two quantiles of a sample of the inside that should enclose the rank."""
+    def ends(self, accuracy: int) -> list[float]:
+        """Two quantiles of the inside that enclose the rank, as far as a sketch can tell."""
         p = (self.rank - self.below) / max(self.inside - 1, 1)
-        margin = 2.0 / _ACCURACY + 1.0 / max(self.inside, 1)
-        if sampled < self.inside:
-            margin += 4.0 * math.sqrt(p * (1 - p) / sampled + 1 / sampled**2)
+        margin = 2.0 / accuracy + 1.0 / self.inside
         return [max(0.0, p - margin), min(1.0, p + margin)]
 
-    def split(self, low: float, high: float, counts: tuple[int, int, int, int]) -> None:
+    def split(self, low: float, high: float, under: dict[float, int], at: dict[float, int]) -> None:
         """Keep the part that holds the rank: below ``low``, at it, between, at ``high``, above."""
-        before, at_low, between, at_high = counts
-        old = self.inside
-        last = self.below + old
-        if self.rank < before:
-            self.high, self.inside = math.nextafter(low, -math.inf), before - self.below
-        elif self.rank < before + at_low:
+        last = self.below + self.inside
+        if self.rank < under[low]:
+            self.high, self.inside = math.nextafter(low, -math.inf), under[low] - self.below
+        elif self.rank < under[low] + at[low]:
             self.value = low
-        elif self.rank < before + at_low + between:
+        elif self.rank < under[high]:
             self.low, self.high = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
-            self.below, self.inside = before + at_low, between
-        elif self.rank < before + at_low + between + at_high:
+            self.below = under[low] + at[low]
+            self.inside = under[high] - self.below
+        elif self.rank < under[high] + at[high]:
             self.value = high
         else:
-            self.low, self.below = math.nextafter(high, math.inf), before + at_low + between + at_high
+            self.low, self.below = math.nextafter(high, math.inf), under[high] + at[high]
             self.inside = last - self.below
-        self.halve = 2 * self.inside > old
-
-
-def _sample_size(values: int) -> int:
-    return min(max(values // 100, 200_000), 20_000_000)
 
 
 def exact_quantiles(
@@ -78,13 +67,13 @@ def exact_quantiles(
     probabilities: list[float],
     counts: dict[str, int] | None = None,
     direct_limit: int = DIRECT_LIMIT,
-    sample_values: int | None = None,
+    accuracy: int = ACCURACY,
 ) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles per column; ``None`` for a column without values.
 
-    ``counts`` passes the number of non-missing values where an earlier scan found it,
-    ``sample_values`` the size of the samples, a hundredth of the values within bounds
-    unless given.
+    ``counts`` passes the number of non-missing values where an earlier scan found it.
+    ``direct_limit`` is how many values of a column a task may hold, ``accuracy`` the number
+    of parts of about equal size that a sketch tells apart. Infinite values are values.
     """
     if not columns:
         return {}
@@ -103,113 +92,89 @@ def exact_quantiles(
         result.update({c: list(q) for c, q in zip(short, row)})
     long = [c for c in columns if counts[c] > direct_limit]
     if long:
-        result.update(_select(df, long, probabilities, counts, direct_limit, sample_values))
+        result.update(_select(df, long, probabilities, counts, direct_limit, accuracy))
     return result
 
 
-def _select(df, columns, probabilities, counts, limit, sample_values):
+def _select(df, columns, probabilities, counts, limit, accuracy):
     places = {(c, p): p * (counts[c] - 1) for c in columns for p in probabilities}
-    ranks = sorted({(c, f(place)) for (c, _), place in places.items() for f in (math.floor, math.ceil)})
-    ends = df.agg(*[f(number(df, c)) for c in columns for f in (F.min, F.max)]).first()
-    span = {c: (float(ends[2 * i]), float(ends[2 * i + 1])) for i, c in enumerate(columns)}
-    brackets = {(c, r): _Bracket(c, r, *span[c], 0, counts[c]) for c, r in ranks}
-
-    def open_():
-        return [b for b in brackets.values() if b.value is None and b.inside > limit]
-
-    while waiting := open_():
-        for b in waiting:
-            if b.low == b.high:
-                b.value = b.low
-        if waiting := open_():
-            _count(df, _probes(df, waiting, sample_values))
-    _pick(df, [b for b in brackets.values() if b.value is None])
+    ranks = {
+        (c, r): _Rank(c, r, counts[c])
+        for (c, _), place in places.items()
+        for r in (math.floor(place), math.ceil(place))
+    }
+    while open_ := [r for r in ranks.values() if r.value is None and r.inside > limit]:
+        _narrow(df, open_, accuracy)
+    _pick(df, [r for r in ranks.values() if r.value is None])
     out = {}
     for c in columns:
         out[c] = []
         for p in probabilities:
             place = places[(c, p)]
-            low, high = (brackets[(c, f(place))].value for f in (math.floor, math.ceil))
-            out[c].append(low + (high - low) * (place - math.floor(place)))
+            low, high = (ranks[(c, f(place))].value for f in (math.floor, math.ceil))
+            out[c].append(low if low == high else low + (high - low) * (place - math.floor(place)))
     return out
 
 
-def _inside(df: DataFrame, b: _Bracket) -> Column:
-    value = number(df, b.column)
-    return F.when((value >= b.low) & (value <= b.high), value)
-
-
-def _probes(df: DataFrame, brackets: list[_Bracket], sample_values: int | None) -> list[tuple]:
-    """For each bracket two values inside it: from a sample, or else its middle twice."""
-    middle = [b for b in brackets if b.halve]
-    rest = [b for b in brackets if not b.halve]
-    found = []
-    for b in middle:
-        value = _middle(b.low, b.high)
-        found.append((b, value, value))
-    if not rest:
-        return found
-    sizes = [min(sample_values or _sample_size(b.inside), b.inside) for b in rest]
-    # Random numbers belong into a projection; an aggregate function does not take them.
-    rows = df.select(*[
-        F.when(F.rand(_SEED + i) < size / b.inside, _inside(df, b)).alias(f"v{i}") for i, (b, size) in enumerate(zip(rest, sizes))
-    ])
-    row = rows.agg(*[
-        F.percentile_approx(f"v{i}", b.ends(size), _ACCURACY).alias(f"s{i}") for i, (b, size) in enumerate(zip(rest, sizes))
-    ]).first()
-    for b, ends in zip(rest, row):
-        low, high = ends or [b.low, b.high]
-        found.append((b, float(low), float(high)))
-    return found
-
-
-def _middle(low: float, high: float) -> float:
-    """The double in the middle of those between two, so that 64 halvings end any search."""
-
-    def place(x: float) -> int:
-        bits = struct.unpack("<q", struct.pack("<d", x))[0]
-        return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
-
-    middle = (place(low) + place(high)) // 2
-    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(middle)))[0], middle)
-
-
-def _count(df: DataFrame, probes: list[tuple]) -> None:
-    """Split the brackets at their probes, with exact counts from one scan."""
+def _inside(df: DataFrame, r: _Rank) -> Column:
+    value = number(df, r.column)
+    if r.low == -math.inf and r.high == math.inf:
+        return value
+    return F.when((value >= r.low) & (value <= r.high), value)
+
+
+def _narrow(df: DataFrame, ranks: list[_Rank], accuracy: int) -> None:
+    """One sketch for each range of a column, then one scan that counts at all cut points."""
+    ranges: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        ranges.setdefault((r.column, r.low, r.high), []).append(r)
+    groups = list(ranges.values())
+    sketched = (
+        df.select(*[_inside(df, g[0]).alias(f"v{i}") for i, g in enumerate(groups)])
+        .agg(*[
+            F.percentile_approx(f"v{i}", [e for r in g for e in r.ends(accuracy)], accuracy)
+            for i, g in enumerate(groups)
+        ])
+        .first()
+    )
+    cuts = {}
+    for g, values in zip(groups, sketched):
+        for r, low, high in zip(g, values[::2], values[1::2]):
+            cuts[r.column, r.rank] = (float(low), float(high))
+    points = sorted({(c, v) for (c, _), pair in cuts.items() for v in pair})
     tests = []
-    for i, (b, low, high) in enumerate(probes):
-        value = number(df, b.column)
-        tests += [
-            F.count_if(value < low).alias(f"a{i}"),
-            F.count_if(value == low).alias(f"b{i}"),
-            F.count_if((value > low) & (value < high)).alias(f"c{i}"),
-            F.count_if((value == high) & F.lit(high > low)).alias(f"d{i}"),
-        ]
-    seen = df.agg(*tests).first()
-    for i, (b, low, high) in enumerate(probes):
-        b.split(low, high, tuple(seen[f"{k}{i}"] for k in "abcd"))
-
-
-def _pick(df: DataFrame, brackets: list[_Bracket]) -> None:
+    for i, (c, v) in enumerate(points):
+        value = number(df, c)
+        tests += [F.count_if(value < v).alias(f"u{i}"), F.count_if(value == v).alias(f"a{i}")]
+    counted = df.agg(*tests).first()
+    under: dict[str, dict] = {}
+    at: dict[str, dict] = {}
+    for i, (c, v) in enumerate(points):
+        under.setdefault(c, {})[v], at.setdefault(c, {})[v] = counted[f"u{i}"], counted[f"a{i}"]
+    for r in ranks:
+        r.split(*cuts[r.column, r.rank], under[r.column], at[r.column])
+
+
+def _pick(df: DataFrame, ranks: list[_Rank]) -> None:
     """The values at the wanted ranks.
 
     Inside a bracket a rank is known exactly, and a discrete percentile aimed at the
     middle of its step cannot slip to a neighbour.
     """
-    if not brackets:
+    if not ranks:
         return
     row = (
-        df.select(*[_inside(df, b).alias(f"v{i}") for i, b in enumerate(brackets)])
+        df.select(*[_inside(df, r).alias(f"v{i}") for i, r in enumerate(ranks)])
         .agg(
             *[
                 F.expr(
-                    f"percentile_disc({(b.rank - b.below + 0.5) / b.inside!r}D) "
+                    f"percentile_disc({(r.rank - r.below + 0.5) / r.inside!r}D) "
                     f"WITHIN GROUP (ORDER BY v{i})"
                 )
-                for i, b in enumerate(brackets)
+                for i, r in enumerate(ranks)
             ]
         )
         .first()
     )
-    for b, value in zip(brackets, row):
-        b.value = value
+    for r, value in zip(ranks, row):
+        r.value = value

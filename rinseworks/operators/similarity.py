@@ -1,10 +1,13 @@
 """Pairs of similar vectors and greedy clusters, exact and without a table of all pairs.
 
 Equal vectors are collapsed first, so a group of copies costs one row. The rest is a
-metric similarity join: every vector belongs to its nearest pivot, and by the triangle
-inequality on angles it has to be compared outside its own cell only with cells whose
-radius plus the wanted angle reaches it. Cells are cut into blocks of bounded size and a
-task compares one block with another, emitting only the pairs found.
+metric similarity join over two levels of pivots: every vector belongs to its nearest
+pivot and there to the nearest pivot of the second level, and by the triangle inequality on
+angles it has to be compared outside its own cell only with cells whose radius plus the
+wanted angle reaches it. Each level has about the square root of the wanted number of cells,
+so a task holds few pivots while cells stay small however many vectors there are. Cells are
+cut into blocks of bounded size all the same, and a task compares one block with another,
+emitting only the pairs found.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinseworks.frames import durable, small_frame
@@ -22,7 +25,8 @@ from rinseworks.functions.expr import dot, ref
 from rinseworks.types import ISSUE_SCHEMA
 
 BLOCK = 2048
-MAX_PIVOTS = 256
+#: Rows that meet the pivots of the second level in one task.
+PART = 65_536
 _SLACK = 1e-6
 
 
@@ -50,19 +54,20 @@ def similar_pairs(
     embedding: str,
     threshold: float = 0.85,
     block: int = BLOCK,
-    max_pivots: int = MAX_PIVOTS,
+    fan: int | None = None,
 ) -> DataFrame:
     """Unordered pairs with a cosine above the threshold.
 
     ``(id_a, id_b, copies_a, copies_b, pairs, similarity)`` over distinct vectors, each
     named by its smallest key; ``pairs`` counts the pairs of rows behind the entry. The
-    pairs within a group of copies are one entry with ``id_a = id_b``.
+    pairs within a group of copies are one entry with ``id_a = id_b``. ``fan`` bounds the
+    pivots of a level and of one of its cells.
     """
     vectors = durable(distinct_vectors(df, key, embedding).drop("vector"))
-    return _pairs(vectors, threshold, block, max_pivots)
+    return _pairs(vectors, threshold, block, fan)
 
 
-def _pairs(vectors: DataFrame, threshold: float, block: int, max_pivots: int) -> DataFrame:
+def _pairs(vectors: DataFrame, threshold: float, block: int, fan: int | None) -> DataFrame:
     copies = vectors.where((F.col("copies") > 1) & F.lit(threshold < 1)).select(
         F.col("id").alias("id_a"),
         F.col("id").alias("id_b"),
@@ -71,62 +76,139 @@ def _pairs(vectors: DataFrame, threshold: float, block: int, max_pivots: int) ->
         (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("pairs"),
         F.lit(1.0).alias("similarity"),
     )
-    return copies.unionByName(_distinct_pairs(vectors, threshold, block, max_pivots))
+    return copies.unionByName(_distinct_pairs(vectors, threshold, block, fan))
 
 
-def _distinct_pairs(vectors, threshold, block, max_pivots):
-    kind = vectors.schema["id"].dataType.simpleString()
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + _SLACK
-    total = vectors.count()
-    wanted = max(1, min(max_pivots, math.ceil(total / block)))
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).select("unit").collect()
-    pivots = np.array([r["unit"] for r in chosen]).reshape(len(chosen), -1)
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def _near_pivots(rows: DataFrame, pivots: DataFrame, schema: str, choose) -> DataFrame:
+    """Stream rows ``(id, copies, unit, top, part, home)`` past the pivots of their top.
 
-    def angles(units: pd.Series) -> np.ndarray:
-        return np.arccos(np.clip(np.stack(units.to_numpy()) @ pivots.T, -1.0, 1.0))
+    ``pivots`` has ``(top, part, sub, unit, radius)``; those of a top come before its rows.
+    ``choose(pivots, rows)`` gets both as pandas frames, the rows in batches.
+    """
+    held = pivots.select(
+        "top", "part", F.lit(False).alias("is_row"), "sub", "unit", "radius",
+        *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "copies", "home")),
+    )
+    passing = rows.select(
+        "top", "part", F.lit(True).alias("is_row"), F.lit(None).cast("int").alias("sub"), "unit",
+        F.lit(None).cast("double").alias("radius"), "id", "copies", "home",
+    )
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, known = None, []
+        for batch in batches:
+            place = batch["top"].to_numpy() * 2**32 + batch["part"].to_numpy()
+            mark = place * 2 + batch["is_row"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                run_ = batch.iloc[a:b]
+                if place[a] != now:
+                    now, known = place[a], []
+                if run_["is_row"].iloc[0]:
+                    known = [pd.concat(known)] if len(known) > 1 else known
+                    yield choose(known[0], run_)
+                else:
+                    known.append(run_)
+
+    both = held.unionByName(passing).repartition("top", "part").sortWithinPartitions("top", "part", "is_row", "sub")
+    return both.mapInPandas(run, schema)
+
+
+def _cells(vectors: DataFrame, reach: float, block: int, fan: int | None) -> tuple[DataFrame, DataFrame]:
+    """Members ``(id, copies, unit, cell)`` and visitors, the same for the cells a vector
+    has to be compared with beside its own; of two cells the earlier visits the later.
+
+    The cell numbers are ordered by top and sub. Both frames are written.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    wanted = math.ceil(4 * vectors.count() / block)  # a quarter of a block, for cells are uneven
+    first = max(1, math.ceil(math.sqrt(wanted)))
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(min(first, fan or first)).select("unit").collect()
+    tops = np.array([r["unit"] for r in chosen]).reshape(len(chosen), -1)
+
+    def at_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                turn = angles(rows["unit"])
-                home = turn.argmin(axis=1)
-                yield pd.DataFrame({"home": home, "turn": turn[np.arange(len(rows)), home]})
-
-    cells = {
-        r["home"]: (r["radius"], r["n"])
-        for r in vectors.select("unit")
-        .mapInPandas(place, "home int, turn double")
-        .groupBy("home")
-        .agg(F.max("turn").alias("radius"), F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    radius = np.array([cells.get(c, (-math.inf, 0))[0] for c in range(len(pivots))])
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                turn = _angles(np.stack(rows["unit"].to_numpy()), tops)
+                top = turn.argmin(axis=1)
+                yield rows.assign(top=top, turn=turn[np.arange(len(rows)), top])
+
+    base = f"id {kind}, copies bigint, unit array<double>"
+    placed = durable(vectors.select("id", "copies", "unit").mapInPandas(at_top, f"{base}, top bigint, turn double"))
+    found = placed.groupBy("top").agg(F.max("turn").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    radius = np.full(len(tops), -math.inf)
+    for r in found:
+        radius[r.top] = r.radius
+    sizes = small_frame(vectors.sparkSession, [
+        (r.top, r.n, min(fan or r.n, math.ceil(4 * r.n / block)), math.ceil(r.n / PART)) for r in found
+    ], "top bigint, n bigint, subs bigint, parts bigint")
+    sized = placed.join(F.broadcast(sizes), "top")
+
+    # Pivots of the second level: rows of the cell, or its own pivot if chance picks none.
+    order = F.row_number().over(Window.partitionBy("top").orderBy("id")) - 1
+    subs = sized.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.col("n")) < F.col("subs"))
+    subs = subs.select("top", order.cast("int").alias("sub"), "unit")
+    own = vectors.sparkSession.createDataFrame(
+        [(int(r.top), 0, tops[r.top].tolist()) for r in found], "top bigint, sub int, unit array<double>"
+    )
+    subs = durable(subs.unionByName(own.join(subs.select("top").distinct(), "top", "left_anti")))
+    of_parts = F.broadcast(sizes.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+
+    def home(pivots: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        turn = _angles(np.stack(rows["unit"].to_numpy()), np.stack(pivots["unit"].to_numpy()))
+        sub = turn.argmin(axis=1)
+        return rows[["id", "copies", "unit"]].assign(
+            cell=rows["top"] * 2**32 + pivots["sub"].to_numpy(int)[sub], turn=turn[np.arange(len(rows)), sub]
+        )
+
+    members = durable(_near_pivots(
+        sized.select("id", "copies", "unit", "top", part, F.lit(None).cast("long").alias("home")),
+        subs.join(of_parts, "top").withColumn("radius", F.lit(0.0)), f"{base}, cell bigint, turn double", home,
+    ))
+    filled = members.groupBy("cell").agg(F.max("turn").alias("radius"))
+    pivots = subs.withColumn("cell", F.col("top") * 2**32 + F.col("sub")).join(filled, "cell").drop("cell")
+
+    def guests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                turn = angles(rows["unit"])
-                home = turn.argmin(axis=1)
-                near = turn < radius + reach + _SLACK
-                later = np.arange(len(pivots)) > home[:, None]
-                guests = [np.flatnonzero(row).astype("int32") for row in near & later]
-                yield rows.assign(home=home, guest=guests)
-
-    placed = durable(
-        vectors.mapInPandas(
-            spread, f"id {kind}, copies bigint, unit array<double>, home int, guest array<int>"
-        )
+                turn = _angles(np.stack(rows["unit"].to_numpy()), tops)
+                mine = rows["cell"].to_numpy() >> 32
+                later = np.arange(len(tops)) >= mine[:, None]
+                row, top = np.nonzero(later & (turn < radius + reach + _SLACK))
+                yield rows.iloc[row][["id", "copies", "unit", "cell"]].rename(columns={"cell": "home"}).assign(top=top)
+
+    def visited(pivots: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        turn = _angles(np.stack(rows["unit"].to_numpy()), np.stack(pivots["unit"].to_numpy()))
+        cell = rows["top"].to_numpy()[:, None] * 2**32 + pivots["sub"].to_numpy(int)
+        row, sub = np.nonzero((cell > rows["home"].to_numpy()[:, None]) & (turn < pivots["radius"].to_numpy() + reach + _SLACK))
+        return rows.iloc[row][["id", "copies", "unit"]].assign(cell=cell[row, sub])
+
+    routed = members.drop("turn").mapInPandas(guests, f"{base}, home bigint, top bigint")
+    visitors = _near_pivots(
+        routed.join(F.broadcast(sizes), "top").select("id", "copies", "unit", "top", part, "home"),
+        pivots.join(of_parts, "top"), f"{base}, cell bigint", visited,
+    )
+    return members.drop("turn"), durable(visitors)
+
+
+def _distinct_pairs(vectors, threshold, block, fan):
+    kind = vectors.schema["id"].dataType.simpleString()
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + _SLACK
+    members, visitors = _cells(vectors, reach, block, fan)
+
+    def parts(frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    sizes = parts(members, "own").join(parts(visitors, "visiting"), "cell", "left").select(
+        "cell", "own", F.coalesce("visiting", F.lit(0)).alias("visiting")
     )
-    guests = {
-        r["cell"]: r["n"]
-        for r in placed.select(F.explode("guest").alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    size = range(len(pivots))
-    own = F.array(*[F.lit(max(1, math.ceil(cells.get(c, (0, 0))[1] / block))) for c in size])
-    visiting = F.array(*[F.lit(math.ceil(guests.get(c, 0) / block)) for c in size])
 
     def part(count):
         return F.pmod(F.xxhash64("id"), count).cast("int")
@@ -137,12 +219,8 @@ def _distinct_pairs(vectors, threshold, block, max_pivots):
         )
 
     carried = ["id", "copies", "unit"]
-    members = placed.select(
-        *carried,
-        F.col("home").alias("cell"),
-        part(F.get(own, F.col("home"))).alias("part"),
-        F.get(own, F.col("home")).alias("own"),
-        F.get(visiting, F.col("home")).alias("visiting"),
+    members = members.join(sizes, "cell").select(
+        *carried, "cell", part(F.col("own")).alias("part"), "own", "visiting"
     )
     within = members.select(
         *carried,
@@ -167,14 +245,14 @@ def _distinct_pairs(vectors, threshold, block, max_pivots):
         F.explode(span(F.col("visiting"))).alias("b"),
     )
     visitors = (
-        placed.select(*carried, F.explode("guest").alias("cell"))
+        visitors.join(sizes, "cell")
         .select(
             *carried,
             F.lit(1).alias("part"),
             "cell",
             F.lit(True).alias("visit"),
-            part(F.get(visiting, F.col("cell"))).alias("b"),
-            F.explode(span(F.get(own, F.col("cell")))).alias("a"),
+            part(F.col("visiting")).alias("b"),
+            F.explode(span(F.col("own"))).alias("a"),
         )
         .select(*carried, "part", "cell", "visit", "a", "b")
     )
@@ -249,7 +327,7 @@ def detect_semantic_duplicates(
 
 def cluster_similar(
     df: DataFrame, key: str, embedding: str, threshold: float = 0.8, block: int = BLOCK,
-    max_pivots: int = MAX_PIVOTS,
+    fan: int | None = None,
 ) -> DataFrame:
     """``(leader, member)`` of greedy leader clusters with more than one member.
 
@@ -260,9 +338,9 @@ def cluster_similar(
     """
     groups = durable(distinct_vectors(df, key, embedding))
     edges = durable(
-        _distinct_pairs(groups.drop("vector"), threshold, block, max_pivots).select("id_a", "id_b")
+        _distinct_pairs(groups.drop("vector"), threshold, block, fan).select("id_a", "id_b")
     )
-    taken = _taken(edges)
+    taken, _ = _taken(edges)
     leading = edges.join(
         taken.select(F.col("id_b").alias("id_a")), "id_a", "left_anti"
     )
@@ -284,21 +362,48 @@ def cluster_similar(
     )
 
 
-def _taken(edges: DataFrame) -> DataFrame:
-    """``(id_b)``: the vectors that do not lead."""
-    rounds = []
-    open_ = edges
+def _taken(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(id_b)``, the vectors that do not lead, and the number of rounds that found them.
+
+    A vector leads unless a smaller neighbour does. What is open about it is a set of
+    conditions ``(on, flip)``: it is taken if ``on`` leads, or with ``flip`` if it does
+    not. A vector on which nothing smaller is open leads; that settles the conditions on it.
+    A vector with a single condition is the opposite of what that says, so conditions on it
+    are put on the vector behind it instead. So the way along a chain of neighbours
+    halves in each round. Opposite conditions on one vector take theirs at once.
+    """
+    open_ = durable(edges.select("id_b", F.col("id_a").alias("on"), F.lit(False).alias("flip")).distinct())
+    settled: list[DataFrame] = []
+    before = None  # what the last round took
+    rounds = 0
     while not open_.isEmpty():
-        smaller = open_.select(F.col("id_b").alias("id_a")).distinct()
-        leads = open_.select("id_a").distinct().join(smaller, "id_a", "left_anti")
-        taken = durable(open_.join(leads, "id_a", "left_semi").select("id_b").distinct())
-        rounds.append(taken)
-        open_ = durable(
-            open_.join(leads, "id_a", "left_anti")
-            .join(taken.select(F.col("id_b").alias("id_a")), "id_a", "left_anti")
-            .join(taken, "id_b", "left_anti")
+        rounds += 1
+        each = open_.groupBy("id_b", "on").agg(F.count("*").alias("n"), F.first("flip").alias("flip"))
+        per = durable(each.groupBy("id_b").agg(
+            F.count("*").alias("n"), F.max("n").alias("most"), F.first("on").alias("behind"), F.first("flip").alias("turned")
+        ))
+        torn = per.where("most > 1").select("id_b")
+        leads = open_.select("on").distinct().join(per.select(F.col("id_b").alias("on")), "on", "left_anti")
+        known = leads.select("on", F.lit(True).alias("leads"))
+        if before is not None:
+            known = known.join(before.select(F.col("id_b").alias("on")), "on", "left_anti").unionByName(
+                before.select(F.col("id_b").alias("on"), F.lit(False).alias("leads"))
+            )
+        known = durable(known)
+        # What is settled now settles the conditions on it; nothing is put on it any more.
+        single = per.where("n = 1 and most = 1").select(F.col("id_b").alias("on"), "behind", "turned").join(
+            known.select(F.col("on").alias("behind")), "behind", "left_anti"
         )
+        state = durable(open_.join(known, "on", "left"))
+        taken = durable(state.where("leads <> flip").select("id_b").unionByName(torn).distinct())
+        settled.append(taken)
+        left = state.where("leads is null").drop("leads").join(taken, "id_b", "left_anti").join(single, "on", "left")
+        before = taken
+        open_ = durable(left.select(
+            "id_b", F.coalesce("behind", "on").alias("on"),
+            F.when(F.col("behind").isNull(), F.col("flip")).otherwise(F.expr("flip = turned")).alias("flip"),
+        ).distinct())
     out = edges.select("id_b").limit(0)
-    for taken in rounds:
+    for taken in settled:
         out = out.unionByName(taken)
-    return out
+    return out, rounds

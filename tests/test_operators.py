@@ -1,6 +1,7 @@
 """Operators against brute force, by hand, and on awkward tables."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -61,21 +62,49 @@ def test_quantiles_match_numpy(spark, limit):
         assert np.allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
 
 
-@pytest.mark.parametrize("sample_values", [30, 2000])
-def test_quantiles_narrow_by_samples_and_halves(spark, sample_values):
+@pytest.mark.parametrize("accuracy", [20, 2000])
+def test_quantiles_narrow_by_sketches(spark, accuracy):
     rng = np.random.default_rng(2)
     n = 10_000
     half = np.where(np.arange(n) < n // 2, 0.0, np.arange(n) + 0.5)  # a rank at the edge of a frequent value
     pdf = pd.DataFrame({
         "half": half, "same": np.full(n, 3.0), "two": np.where(rng.random(n) < 0.3, -1.0, 1e300),
         "wide": 10.0 ** rng.uniform(-300, 300, n), "edge": np.r_[np.zeros(n - 2), 1.0, 2.0],
+        "ends": np.r_[np.full(n // 3, -np.inf), np.arange(n - 2 * (n // 3)), np.full(n // 3, np.inf)],
     })
     probs = [0.0, 0.5, 0.50005, 1.0]
     got = quantiles.exact_quantiles(
-        spark.createDataFrame(pdf), list(pdf), probs, direct_limit=200, sample_values=sample_values
+        spark.createDataFrame(pdf), list(pdf), probs, direct_limit=200, accuracy=accuracy
     )
     for c in pdf:
-        assert np.allclose(got[c], pdf[c].quantile(probs), rtol=1e-9), c
+        want = pdf[c].quantile(probs)
+        if c == "ends":  # the reference takes the difference of two infinities
+            want[0.0], want[1.0] = -np.inf, np.inf
+        assert np.allclose(got[c], want, rtol=1e-9), c
+
+
+def jobs_of(spark, work):
+    """The result of ``work`` and how many jobs it ran."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_columns_take_four_scans(spark):
+    """300,000 values a column: counts, sketches, cut points, values left; for any number of columns."""
+    df = spark.range(300_000).select(*[(F.col("id") * (2 * i + 7) % 299_993).cast("double").alias(f"c{i}") for i in range(8)])
+    df = df.repartition(4).cache()
+    df.count()
+    probs = [0.25, 0.5, 0.75]
+    got, jobs = jobs_of(spark, lambda: quantiles.exact_quantiles(df, df.columns, probs))
+    pdf = df.toPandas()
+    df.unpersist()
+    for c in pdf:
+        assert np.allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
+    assert jobs <= 8  # two jobs for a scan and its merge under adaptive execution
 
 
 def test_awkward_tables(spark):
@@ -111,6 +140,39 @@ def test_duplicates_with_nulls(spark):
     assert duplicates.drop_duplicates(df, keep=False).count() == 2
 
 
+def test_row_digest_is_equality_of_rows(spark):
+    rows = [
+        (0.0, "ab", "c", [1, None], None), (-0.0, "ab", "c", [1, None], None), (0.0, "a", "bc", [1, None], None),
+        (0.0, "ab", "c", [1], None), (float("nan"), None, "", None, b"x"), (float("nan"), None, "", None, b"x"),
+        (None, "", None, None, b"x"), (None, None, "", None, b"x"), (None, None, "-", None, b"x"), (1.0, "2:ab", "c", [], b""),
+    ]
+    df = spark.createDataFrame(rows, "a double, b string, c string, d array<int>, e binary")
+    df = df.withColumn("t", F.timestamp_micros(F.lit(1)))
+    assert duplicates.count_duplicate_rows(df) == len(rows) - df.distinct().count() == 2
+    plan = duplicates.duplicate_row_count(df.cache())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1 and "Join" not in plan
+    assert duplicates.duplicate_row_count(spark.createDataFrame([], "a int")).first() == (0, 0)
+    hour = spark.range(1729987200, 1730001600, 3600).select(F.timestamp_seconds("id").alias("t"))  # clocks set back between
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert duplicates.count_duplicate_rows(hour) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_column_samples_are_the_smallest(spark):
+    rows = [(i % 700, f"v{i % 13:02}" if i % 5 else None, float("nan") if i % 2 else i / 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, c double").repartition(7)
+    got = {}
+    for r in profile.column_samples(df, 4).orderBy("column", "rank").collect():
+        got.setdefault(r.column, []).append((r["rank"], r.value))
+    want = {
+        c: sorted({str(r[i]) for r in rows if r[i] is not None and r[i] == r[i]})[:4] for i, c in enumerate("abc")
+    }
+    assert got == {c: list(enumerate(v, 1)) for c, v in want.items()}
+    assert profile.column_samples(df.limit(0)).count() == 0
+
+
 def test_consistency(spark):
     df = spark.createDataFrame(
         [("2024-01-15", "1,5", "$5", "Foo"), ("01/15/2024", "1.5", "5", "foo")],
@@ -172,6 +234,38 @@ def test_knn_matches_brute_force(spark):
     assert np.allclose(out[["a", "b", "c"]].to_numpy(), want)
 
 
+def test_knn_looks_at_few_cells(spark):
+    """Pairs compared are far fewer than donors times receivers, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    n, k = 6_000, 5
+    x = np.column_stack([rng.normal(size=(n, 2)) @ np.diag([5.0, 1.0]), rng.integers(0, 50, n)]).round(3)
+    x[rng.random(n) < 0.02, 2] = np.nan
+    x[rng.random(n) < 0.1, 0] = np.nan
+    x[17] = [np.nan, np.nan, 4.0]
+    x[18] = np.nan
+    rows = [(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, "id bigint, x array<double>").repartition(4)
+    got = {}
+    for r in impute.nearest_donors(points, 2, 3, k).collect():
+        got.setdefault(r.receiver, []).append((r.distance, r.donor))
+    receivers, donors = np.flatnonzero(np.isnan(x[:, 2])), np.flatnonzero(~np.isnan(x[:, 2]))
+    for i in receivers:
+        both = ~np.isnan(x[i]) & ~np.isnan(x[donors])
+        shared = both.sum(axis=1)
+        at = np.flatnonzero(shared)
+        far = np.sqrt(np.where(both, (x[donors] - x[i]) ** 2, 0).sum(axis=1)[at] * (3 / shared[at]))
+        want = sorted(zip(far, donors[at]))[:k]
+        assert [d for _, d in sorted(got.get(i, []))] == [d for _, d in want], i
+    index = impute.DonorIndex.build(points, 2, 3, impute.SAMPLE, impute.LEAF, impute.DONOR_BLOCK)
+    asking = points.where("x[2] is null")
+    reach = {i: max(d for d, _ in v) if len(v) == k else np.inf for i, v in got.items()}
+    reach = spark.createDataFrame([(int(i), float(reach.get(i, np.inf))) for i in receivers], "id bigint, reach double")
+    size = dict(zip(index.boxes.number.tolist(), index.boxes.size.tolist()))
+    seen = [index.visits(asking, k, True), index.visits(asking.join(reach, "id").select("id", "x", "reach"), k, False)]
+    pairs = sum(size[r.cell] for v in seen for r in v.select("cell").collect())
+    assert pairs < 0.2 * len(receivers) * len(donors)
+
+
 def test_iterative_recovers_a_plane(spark):
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=300), rng.normal(size=300)
@@ -226,7 +320,7 @@ def test_similar_pairs_match_brute_force(spark):
     same = {}
     for i, v in enumerate(data):
         same.setdefault(tuple(v), []).append(i)
-    for block, pivots in ((1000, 1), (9, 6)):
+    for block, pivots in ((1000, 1), (9, 6), (24, None)):
         got = set()
         total = 0
         groups = {g[0]: g for g in same.values()}
@@ -239,6 +333,39 @@ def test_similar_pairs_match_brute_force(spark):
         assert got == want and total == len(want)
 
 
+def test_pivot_cells_stay_small(spark):
+    """10,000 vectors and at most four pivots a level: no cell is larger than a block."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))[rng.integers(0, 40, 10_000)] + 0.5 * rng.normal(size=(10_000, 6))
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(10_000), "copies": 1, "unit": list(units)})).repartition(5)
+    members, visitors = similarity._cells(df, math.acos(0.995), similarity.BLOCK, 4)
+    sizes = {r.cell: r["count"] for r in members.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 10_000 and 8 <= len(sizes) <= 16 and max(sizes.values()) <= similarity.BLOCK
+    found = similarity._distinct_pairs(df, 0.995, similarity.BLOCK, 4).count()
+    assert found == int((np.triu(units @ units.T, 1) > 0.995).sum())
+    members, visitors = similarity._cells(df, math.acos(0.995), 256, None)  # as many pivots as the vectors need
+    sizes = {r.cell: r["count"] for r in members.groupBy("cell").count().collect()}
+    visits = {r.cell: r["count"] for r in visitors.groupBy("cell").count().collect()}
+    assert len(sizes) > 100 and max(sizes.values()) <= 2 * 256  # a larger one would be cut into blocks
+    pairs = sum(n * (n - 1) / 2 + n * visits.get(c, 0) for c, n in sizes.items())
+    assert pairs < 0.3 * 10_000 * 9_999 / 2
+
+
+def test_leaders_of_a_chain_in_few_rounds(spark):
+    chain = spark.range(1_000).select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
+    taken, rounds = similarity._taken(chain)
+    assert sorted(one(taken, "id_b")) == list(range(1, 1_001, 2)) and rounds <= 12
+    rng = random.Random(6)
+    for n, m in ((12, 14), (60, 90), (200, 230), (60, 600)):
+        edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        leads, want = set(), set()
+        for b in range(n):
+            (want if any((a, b) in edges for a in leads) else leads).add(b)
+        got, _ = similarity._taken(spark.createDataFrame(sorted(edges), "id_a bigint, id_b bigint"))
+        assert sorted(one(got, "id_b")) == sorted(want), (n, m)
+
+
 def test_clusters_match_greedy(spark):
     data = vectors()
     df = spark.createDataFrame(list(enumerate(data)), "id bigint, e array<float>")

@@ -45,7 +45,7 @@ _STEPS = (
     (r"\p{N}(?<![\p{L}\p{N}]\p{N})(?<!\p{N}[.,:/]\p{N})\p{N}*+(?:[.,:/]\p{N}++)*+(?!\p{L})", f"{_NUMBER}$0"),
     (rf"(?<![\p{{L}}\p{{N}}])(?i:{_NUMBER_WORDS})(?![\p{{L}}\p{{N}}])", f"{_NUMBER}$0"),
     (rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}\x02]\p{{Lu}})\p{{Ll}}++\p{{L}}*+(?<!(?<!\p{{L}})(?:{_STARTS}))", f"{_NAME}$0"),
-    (rf"(?i:{_UNITS})(?!\p{{L}})(?<=\x02[^\s\x01-\x03]{{1,20}}\s\p{{L}}{{1,12}})", f"{_UNIT}$0"),
+    (rf"(\x02[^\s\x01-\x03]++\s)((?i:{_UNITS})(?!\p{{L}}))", f"$1{_UNIT}$2"),
     (r"[^\p{L}\p{N}\s\x01-\x03](?!(?<=\p{N}.)\p{N})", " "),
 )
 
@@ -58,47 +58,51 @@ def marked_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def template(words: Column) -> Column:
-    """The words with placeholders in place of marked words."""
-    return F.transform(words, lambda w: F.when(w < _LAST, F.substring(w, 1, 1)).otherwise(w))
+def _parts(window: int) -> list[int]:
+    """Window lengths whose hashes make those of all windows up to ``window``: 1, 2, 4, ..."""
+    return [1 << k for k in range(window.bit_length())]
 
 
-def _with_words(frame: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the marked words, their template, the plain words and which are marked."""
+def _joined(a: str, b: str, apart: int) -> str:
+    """A hash for each pair of an element of ``a`` and the one of ``b`` that lies ``apart`` places on."""
+    n = f"greatest(size({b}) - {apart}, 0)"
+    return f"zip_with(slice({a}, 1, {n}), slice({b}, {apart + 1}, {n}), (x, y) -> xxhash64(x, y))"
+
+
+def _with_words(frame: DataFrame, window: int, *keep: str) -> DataFrame:
+    """``keep``, the marked words ``w``, and hashes of runs of words: ``t1, t2, t4, ...`` of the
+    template and ``p1, p2, p4, ...`` of the plain words. Each word is hashed once for each."""
     frame = frame.select(*keep, marked_words(F.col("text")).alias("w"))
-    return frame.select(
-        *keep, "w", template(F.col("w")).alias("t"), F.transform("w", lambda x: F.ltrim(x, F.lit(_NAME + _NUMBER + _UNIT))).alias("p"),
-        F.transform("w", lambda x: x < _LAST).alias("m"),
-    )
+    plain = F.transform("w", lambda x: F.xxhash64(F.ltrim(x, F.lit(_NAME + _NUMBER + _UNIT))))
+    masked = F.transform("w", lambda x: F.xxhash64(F.when(x < _LAST, F.substring(x, 1, 1)).otherwise(x)))
+    frame = frame.select(*keep, "w", masked.alias("t1"), plain.alias("p1"))
+    for half in _parts(window)[:-1]:
+        frame = frame.select("*", *(F.expr(_joined(f"{x}{half}", f"{x}{half}", half)).alias(f"{x}{2 * half}") for x in "tp"))
+    return frame
 
 
-def _places(size: int, marked: bool = False) -> str:
-    """Where windows start, or the windows that hold a marked word."""
-    places = f"sequence(0, size(t) - {size})"
-    if marked:
-        places = f"filter({places}, i -> array_contains(slice(m, i + 1, {size}), true))"
-    wanted = f"size(t) < {size}" + (" or not array_contains(m, true)" if marked else "")
-    return f"if({wanted}, cast(array() as array<int>), {places})"
+def _hashes(words: str, size: int) -> str:
+    """Hashes of all windows of a size: two overlapping runs of half of it or more."""
+    part = 1 << size.bit_length() - 1
+    return f"{words}{part}" if part == size else _joined(f"{words}{part}", f"{words}{part}", size - part)
 
 
-def _hashes(size: int) -> str:
-    """Hashes of all windows of the template ``t``, and of the plain words ``p`` where these
-    differ from it."""
-    return (
-        f"concat(transform({_places(size)}, i -> xxhash64({size}, slice(t, i + 1, {size}))),"
-        f" transform({_places(size, True)}, i -> xxhash64({size}, slice(p, i + 1, {size}))))"
-    )
+def _whole() -> str:
+    """The whole text as a window, if it is shorter than the shortest window."""
+    return f"""if(size(w) between 1 and {SHORTEST - 1}, array(struct(0 as at, size(w) as size, xxhash64(p1) as hash,
+        cast(array() as array<string>) as slots)), cast(array() as array<struct<at:int,size:int,hash:bigint,slots:array<string>>>))"""
 
 
 def _windows(size: int) -> str:
-    """All windows of ``t`` with their place and the marked words of ``w`` in them; those
-    with a marked word also as plain words, which must be the same and have no slots. Of
-    windows of which more than half is marked, only the plain words."""
+    """All windows of the template with their place and the marked words in them; those with
+    a marked word also as plain words, which must be the same and have no slots. Of windows
+    of which more than half is marked, only the plain words."""
+    slots = f"filter(slice(w, i + 1, {size}), x -> x < '{_LAST}')"
     return f"""concat(
-        filter(transform({_places(size)}, i -> struct(i as at, {size} as size, xxhash64({size}, slice(t, i + 1, {size})) as hash,
-            filter(slice(w, i + 1, {size}), x -> x < '{_LAST}') as slots)), x -> 2 * size(x.slots) <= {size}),
-        transform({_places(size, True)}, i -> struct(i as at, {size} as size, xxhash64({size}, slice(p, i + 1, {size})) as hash,
-            cast(array() as array<string>) as slots)))"""
+        filter(transform({_hashes("t", size)}, (h, i) -> struct(i as at, {size} as size, h as hash, {slots} as slots)),
+            x -> 2 * size(x.slots) <= {size}),
+        filter(transform({_hashes("p", size)}, (h, i) -> struct(i as at, {size} as size,
+            if(size({slots}) > 0, h, null) as hash, cast(array() as array<string>) as slots)), x -> x.hash is not null))"""
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -116,8 +120,8 @@ def find_contamination(
     Where one value of the item stands in step for several values of the document, windows
     with that value count only if all their values are the item's.
 
-    Items of fewer than ``window`` words are looked for as a whole, down to four words;
-    shorter ones, empty and null ones match nothing. Windows of the same words always match;
+    Items of fewer than ``window`` words are looked for as a whole; those of fewer than four
+    match documents of just their words. Empty and null ones match nothing. Windows of the same words always match;
     with other values, those match of which at most half are placeholders. Null and empty documents hold nothing. Rows that repeat
     a doc_id, or have none, are documents of their own unless their texts are equal too;
     rows that repeat an item_id count as one item. Empty tables give no rows. Other columns
@@ -131,12 +135,13 @@ def _contamination(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The result with the keys of the documents' rows."""
-    items = durable(_with_words(benchmark, "item_id").where(F.size("t") >= SHORTEST))
-    sizes = sorted({r[0] for r in items.select(F.least(F.size("t"), F.lit(window))).distinct().collect()})
+    items = durable(_with_words(benchmark, window, "item_id").where(F.size("w") > 0))
+    sizes = [r[0] for r in items.select(F.least(F.size("w"), F.lit(window))).distinct().collect()]
     if not sizes:
         return _result(docs, benchmark)
-    own_size = F.coalesce(*(F.when(F.least(F.size("t"), F.lit(window)) == s, F.expr(_windows(s))) for s in sizes))
-    known = durable(items.select("item_id", F.size("t").alias("item_words"), F.inline(own_size)))
+    sizes = sorted(s for s in sizes if s >= SHORTEST)  # at most ``window`` sizes
+    own_size = F.coalesce(*(F.when(F.least(F.size("w"), F.lit(window)) == s, F.expr(_windows(s))) for s in sizes), F.expr(_whole()))
+    known = durable(items.select("item_id", F.size("w").alias("item_words"), F.inline(own_size)))
     hashes = known.select("hash").distinct()
     few = known.count() <= broadcast_rows
 
@@ -145,14 +150,15 @@ def _contamination(
 
     key = ["_a", "_b"]
     texts = _keyed(docs.select("doc_id", "text"))
-    tokens = _with_words(texts, *key)
-    all_hashes = F.expr(f"concat({', '.join(map(_hashes, sizes))})")
+    tokens = _with_words(texts, window, *key)
+    whole = f"if(size(w) between 1 and {SHORTEST - 1}, array(xxhash64(p1)), cast(array() as array<bigint>))"
+    all_hashes = F.expr(f"concat({', '.join([whole, *(_hashes(x, s) for s in sizes for x in 'tp')])})")
     hit = durable(tokens.select(*key, F.explode(all_hashes).alias("hash")).join(small(hashes), "hash", "left_semi")
                   .select(*key).distinct())
     suspects = texts.join(F.broadcast(hit) if hit.count() <= broadcast_rows else hit, key, "left_semi")
     key = [*key, "doc_id"]
-    tokens = _with_words(suspects, *key)
-    all_windows = F.expr(f"concat({', '.join(map(_windows, sizes))})")
+    tokens = _with_words(suspects, window, *key)
+    all_windows = F.expr(f"concat({', '.join([_whole(), *map(_windows, sizes)])})")
     found = tokens.select(*key, F.inline(all_windows)).withColumnRenamed("at", "doc_at").withColumnRenamed("slots", "doc_slots")
     found = durable(
         found.join(small(known), ["hash", "size"])

@@ -68,14 +68,20 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     The rank comes from a range-partitioned sort: each row knows its partition and its
     place there, and the partitions' counts, one row each, give the offsets.
     """
+    return _sharded(docs, shards, bits, []).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+
+
+def _sharded(docs: DataFrame, shards: int, bits: int, carry: list[str]) -> DataFrame:
+    """The shards with the columns ``carry`` of the row in the struct ``row``."""
+    row = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("row")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     rows = docs.select(
         "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         hashed_level(F.col("source"), bits).alias("_level_0"), hashed_level(F.col("lang"), bits).alias("_level_1"),
-        size_level(size, bits).alias("_level_2"),
+        size_level(size, bits).alias("_level_2"), row,
     )
     rows = rows.select(
-        "doc_id", "size", "text_crc32", hilbert_index([F.col(f"_level_{i}") for i in range(3)], bits).alias("curve")
+        "doc_id", "size", "text_crc32", hilbert_index([F.col(f"_level_{i}") for i in range(3)], bits).alias("curve"), "row"
     )
     key = ["curve", "text_crc32", "doc_id", "size"]
     placed = durable(
@@ -88,7 +94,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", rank)
     shard = F.expr(f"rank * {shards} div total")
     return ranked.withColumn("shard", shard).select(
-        "doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"),
+        "doc_id", "size", "text_crc32", "curve", "row", F.col("shard").cast("int").alias("shard"),
         F.expr(f"rank - (shard * total + {shards - 1}) div {shards}").alias("slot"),
     )
 
@@ -96,13 +102,13 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
     """Write the documents as one folder of Parquet files for each shard, in slot order.
 
-    Needs unique doc_ids. Rows go to ranges of (shard, slot), so no task holds more than
-    its range, whatever the shards' sizes.
+    Every row is written once, with its own columns and ``curve``, ``shard`` and ``slot``, which
+    replace columns of these names. Rows go to ranges of (shard, slot), so no task holds more
+    than its range, whatever the shards' sizes.
     """
-    placed = hilbert_shards(docs, shards, bits).select("doc_id", "curve", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    kept = [c for c in docs.columns if c not in ("curve", "shard", "slot")]
+    placed = _sharded(docs, shards, bits, kept).select(*(F.col("row")[c].alias(c) for c in kept), "curve", "shard", "slot")
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shards_sql(shards: int = SHARDS, bits: int = BITS) -> str:

@@ -1,11 +1,12 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character
 n-grams, trained with follow-the-regularised-leader and temperature calibration.
 
-Character n-grams are taken from the UTF-8 bytes of the whole text, with A-Z lower-cased,
-and hashed into a fixed number of features. Inverse document frequencies count every
-document. The weights are trained on a bounded sample of labelled rows with FTRL-proximal
-steps, whose L1 part leaves most weights at zero and whose L2 part keeps the rest small;
-a part of the sample that training does not see sets the temperature.
+Character n-grams are runs of code points of the whole text in lower case, hashed into a
+fixed number of features. Inverse document frequencies count all rows that may be learned
+from. The weights are trained on a bounded sample of these with FTRL-proximal
+steps, whose L1 part leaves most weights at zero and whose L2 part keeps the rest small.
+Short pieces of texts that training does not see set the temperature: whole texts are so
+easy to tell apart that any temperature would do.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +29,16 @@ UNDETERMINED = "und"
 BITS = 14
 ORDERS = (1, 2, 3)
 SAMPLE = 4_000
+PIECE = 24
 _RUN = 1 << 18
 
 
 def gram_counts(texts: pa.Array, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, feature and count of every feature that a text has."""
-    data, offsets = bytes_of(texts)
-    low = data.astype(np.uint32)
-    low[(low >= 65) & (low <= 90)] += 32
+    texts = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
+    data, _ = bytes_of(texts)
+    low = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    offsets = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))])
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     slots = []
@@ -111,13 +115,20 @@ def train(
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log-loss, by golden-section search on its logarithm."""
-    if not len(labels):
+    """The temperature with the least log-loss, by golden-section search on its logarithm.
+
+    One more text than there are is taken to be wrong, so that texts without an error, which
+    any low temperature would suit, do not make every score 1.
+    """
+    n, k = logits.shape
+    if not n or k < 2:
         return 1.0
+    doubt = 1 / (n + 2)
+    target = np.full((n, k), doubt / (k - 1))
+    target[np.arange(n), labels] = 1 - doubt
 
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        return -(target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(axis=1).mean()
 
     low, high, ratio = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(60):
@@ -127,30 +138,36 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def learn_language(
-    docs: DataFrame, label: str, learn: Column, sample: int = SAMPLE, bits: int = BITS
+    docs: DataFrame, label: str, learn: Column, sample: int = SAMPLE, bits: int = BITS, piece: int = PIECE
 ) -> LanguageModel | None:
-    """A model from at most ``sample`` rows, spread over the labels; none without labels.
+    """A model from about ``sample`` rows, spread over the labels; none without labels.
 
-    Rows are chosen by a hash of the key, the same share of the bound for each label.
+    Only rows for which ``learn`` holds, with text, label and key, are read. Rows are chosen
+    by a hash of key and text, the same share of the bound for each label; copies of a row
+    count once. A fifth of them is not trained on but calibrates, by pieces of ``piece``
+    characters.
     """
     known = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    keys = known.select("doc_id", F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"))
-    names = keys.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample).collect()
+    known = known.select("text", F.col(label).alias("label"), F.xxhash64("doc_id", "text").alias("h"))
+    names = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(sample).collect()
     if not names:
         return None
     share = max(1, sample // len(names))
     # The share of each label's hashes that gives about the wanted number of rows.
     cut = F.coalesce(*(F.when(F.col("label") == r[0], F.lit(min(1.0, 1.5 * share / r[1]))) for r in names), F.lit(0.0))
     part = (F.col("h") / 2.0**64 + 0.5) < cut
-    chosen = keys.where(part).orderBy("h").limit(2 * sample).select(F.col("doc_id").alias("chosen"), "label")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
-    rows = durable(rows.select("doc_id", "text", "label"))
+    checks = F.pmod("h", F.lit(5)) == 0
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - piece + 1, F.lit(1))).cast("int") + 1
+    rows = known.where(part).dropDuplicates(["h", "label"]).select(
+        F.when(checks, F.substr("text", start, F.lit(piece))).otherwise(F.col("text")).alias("text"), "label", "h", checks.alias("checks")
+    )
+    rows = durable(rows)
 
     def count(part: pa.RecordBatch, counters: np.ndarray) -> None:
         _, feature, _ = gram_counts(part.column("text"), bits)
         counters += np.append(np.bincount(feature, minlength=1 << bits), part.num_rows)
 
-    frequency = summed(docs.select("text"), (1 << bits) + 1, count, limit=_RUN)
+    frequency = summed(known.select("text"), (1 << bits) + 1, count, limit=_RUN)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,26 +177,27 @@ def learn_language(
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").cast(pa.int64()), part.column("label"),
+                        *part.columns[1:],
                         pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))),
                         pa.ListArray.from_arrays(cuts, pa.array(value.astype(np.float32))),
                     ],
-                    ["doc_id", "label", "feature", "value"],
+                    [*part.schema.names[1:], "feature", "value"],
                 )
 
-    table = rows.mapInArrow(features, "doc_id long, label string, feature array<int>, value array<float>").orderBy(
-        F.xxhash64("doc_id"), "doc_id", "label"
+    table = rows.mapInArrow(features, "label string, h long, checks boolean, feature array<int>, value array<float>").orderBy(
+        "h", "label"
     ).limit(2 * sample).toArrow()
     languages = sorted({r["label"] for r in table.select(["label"]).to_pylist()})
     code = {v: i for i, v in enumerate(languages)}
     y = np.array([code[v] for v in table.column("label").to_pylist()], np.int64)
+    held = table.column("checks").to_numpy()
     data = [
         (np.array(f.values), np.array(v.values, np.float64))
         for f, v in zip(table.column("feature").combine_chunks(), table.column("value").combine_chunks())
     ]
-    weights, bias = train([d for i, d in enumerate(data) if i % 5], y[np.arange(len(y)) % 5 > 0], 1 << bits, len(languages))
-    seen = np.array([d[1] @ weights[d[0]] + bias for d in data[::5]]).reshape(-1, len(languages))
-    return LanguageModel(languages, idf, weights, bias, calibrate(seen, y[::5]), bits)
+    weights, bias = train([d for d, c in zip(data, held) if not c], y[~held], 1 << bits, len(languages))
+    seen = np.array([d[1] @ weights[d[0]] + bias for d, c in zip(data, held) if c]).reshape(-1, len(languages))
+    return LanguageModel(languages, idf, weights, bias, calibrate(seen, y[held]), bits)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

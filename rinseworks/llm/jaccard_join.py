@@ -179,6 +179,7 @@ def _components(
 ) -> DataFrame:
     """The components with ``keys``, long columns of the rows, the digest ``entry`` of the
     row's set and ``root``, the entry that names its component; null without grams."""
+    docs = docs.withColumn("_hash", F.xxhash64("text"))  # with doc_id it finds a row's text again
     lengths = list_lengths(docs, size, sketch_bits)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def _components(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
-                        *(part.column(k) for k in keys),
+                        *(part.column(k) for k in [*keys, "_hash"]),
                         pa.array(n),
                         pa.array([set_digest(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(
@@ -198,17 +199,17 @@ def _components(
                             signed(np.concatenate([s[:k] for s, k in zip(sets, shortest)] or [np.zeros(0, np.uint64)])),
                         ),
                     ],
-                    ["doc_id", *keys, "n_shingles", "entry", "lists"],
+                    ["doc_id", *keys, "_hash", "n_shingles", "entry", "lists"],
                 )
 
-    carried = "".join(f"{k} long, " for k in keys)
+    carried = "".join(f"{k} long, " for k in [*keys, "_hash"])
     marked = durable(docs.mapInArrow(grams, f"doc_id long, {carried}n_shingles long, entry long, lists array<long>"))
     postings = marked.select("entry", F.col("n_shingles").alias("n"), F.explode("lists").alias("list"))
     shared = postings.groupBy("list").agg(
         F.min("entry").alias("pivot"), F.max("entry").alias("last"), F.count("*").alias("length")
     )
     shared = durable(shared.where("pivot <> last").select("list", "pivot", "length"))
-    met = postings.join(shared, "list")
+    met = postings.join(shared.hint("merge"), "list")  # the same way at every size
 
     few = met.where(F.col("length") <= short).groupBy("list").agg(
         F.array_sort(F.collect_set(F.struct("entry", "n"))).alias("e")  # at most ``short``
@@ -235,10 +236,12 @@ def _components(
     # One text for each entry that is in a cell.
     wanted = cells.select("entry").union(cells.select(F.col("pivot").alias("entry"))).distinct()
     wanted = durable(
-        marked.groupBy("entry").agg(F.min("doc_id").alias("id")).join(wanted, "entry", "left_semi")
+        marked.groupBy("entry").agg(F.min(F.struct("doc_id", "_hash")).alias("k")).join(wanted, "entry", "left_semi")
+        .select("entry", F.col("k.doc_id").alias("id"), F.col("k._hash").alias("hash"))
     )
     small = wanted.count() <= broadcast_rows
-    texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(wanted.id)).select("entry", "text")
+    same = docs.doc_id.eqNullSafe(wanted.id) & (docs["_hash"] == wanted["hash"])
+    texts = docs.join(F.broadcast(wanted) if small else wanted, same).select("entry", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +252,8 @@ def _components(
                     [part.column("entry"), pa.array([s.tobytes() for s in sets], pa.binary())], ["entry", "grams"]
                 ).filter(pa.array(right, pa.bool_()))
 
-    sets = durable(texts.mapInArrow(to_sets, "entry long, grams binary"))
+    # Rows equal in doc_id and text all give their set: one of them stays.
+    sets = durable(texts.mapInArrow(to_sets, "entry long, grams binary").dropDuplicates(["entry"]))
 
     def within(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry")
@@ -338,26 +342,3 @@ def one_per_component(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **o
         twice = kept.join(again, key, "left_semi").dropDuplicates(key)
         kept = kept.join(again, key, "left_anti").unionByName(twice)
     return kept.select(*docs.columns)
-
-
-def deduplicate(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """The rows of ``docs`` with one document for each component, the one of the smallest
-    doc_id, with all their columns.
-
-    Of rows that repeat a doc_id one stays, unless all of them are linked to a smaller one.
-    Rows with a null doc_id cannot be told apart and stay, as do texts without words.
-    """
-    found = durable(jaccard_components(docs, broadcast_rows=broadcast_rows, **options))
-    gone = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(
-        F.min("component_id").alias("least"), F.max("component_id").alias("most")
-    )
-    gone = durable(gone.where("least <> _gone and most <> _gone").select("_gone"))
-    few = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = durable(
-        found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    )
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(twice)

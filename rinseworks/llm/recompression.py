@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,19 +105,21 @@ def standing(numbers: np.ndarray, first: np.ndarray, window: int, rounds: int) -
     return starts, key, place
 
 
-def window_prints(numbers: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit fingerprints of the windows that begin at ``starts``."""
-    up, down = powers(len(numbers) + 1)
+def window_prints(numbers: tuple[np.ndarray, np.ndarray], starts: np.ndarray, window: int) -> list[np.ndarray]:
+    """64-bit fingerprints of the windows that begin at ``starts``, one from each of two
+    independent numberings of the words."""
     out = []
-    for values in (numbers, mix(numbers + np.uint64(0xD1B54A32D192ED03))):
-        sums = np.zeros(len(numbers) + 1, np.uint64)
-        np.cumsum(values * up[: len(numbers)], out=sums[1:])
+    for seed, values in enumerate(numbers):
+        up, down = powers(len(values) + 1, seed)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
         out.append(mix((sums[starts + window] - sums[starts]) * down[starts]))
-    return out[0], out[1]
+    return out
 
 
-def _entry(numbers: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(numbers.tobytes()) - (1 << 63)
+def _entry(words: list[bytes]) -> bytes:
+    """128 bits that name a text by its words."""
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
 
 
 def _sha(words: list[bytes]) -> str:
@@ -138,8 +139,9 @@ def remove_repeats(
     key like others. An empty table gives no rows. Other columns are ignored.
 
     Texts of the same words are one entry from the start: all their windows are repeated.
+    Entries are named by 128 bits of SHA-256, windows by two independent fingerprints.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,23 +158,24 @@ def remove_repeats(
                     keys.append(mine[order])
                     counts.append(len(mine))
                     again.append(int((times > 1).sum()))
-                texts = part.column("text").to_pylist()
+                whole = [hashlib.sha256(b" ".join((t or "").encode().split())) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("hash"),
                         pa.array(np.diff(first).astype(np.int64)),
-                        pa.array([_entry(numbers[a:b]) for a, b in zip(first[:-1], first[1:])], pa.int64()),
-                        pa.array([_sha((t or "").encode().split()) for t in texts], pa.string()),
+                        pa.array([h.digest()[:16] for h in whole], pa.binary()),
+                        pa.array([h.hexdigest() for h in whole], pa.string()),
                         pa.ListArray.from_arrays(
                             np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), signed(np.concatenate(keys))
                         ),
                         pa.array(again, pa.int32()),
                     ],
-                    ["doc_id", "n_words", "entry", "whole", "keys", "again"],
+                    ["doc_id", "hash", "n_words", "entry", "whole", "keys", "again"],
                 )
 
     marked = durable(docs.mapInArrow(
-        mark, "doc_id long, n_words long, entry long, whole string, keys array<long>, again int"
+        mark, "doc_id long, hash long, n_words long, entry binary, whole string, keys array<long>, again int"
     ))
     symbols = marked.select("entry", F.posexplode("keys").alias("at", "key"), "again").select(
         "entry", "key", (F.col("at") < F.col("again")).alias("again")
@@ -182,7 +185,8 @@ def remove_repeats(
     small = shared.count() <= broadcast_rows
     hits = symbols.join(F.broadcast(shared) if small else shared, "key").select("entry", "key").distinct()
     hits = hits.groupBy("entry").agg(F.collect_list("key").alias("keys"))  # at most a text's own symbols
-    classes = marked.groupBy("entry").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "hash")).alias("k"), F.count("*").alias("copies"))
+    classes = classes.select("entry", F.col("k.doc_id").alias("id"), F.col("k.hash").alias("of"), "copies")
     suspects = durable(hits.join(classes, "entry"))
     copies = classes.where("copies > 1")
 
@@ -190,7 +194,7 @@ def remove_repeats(
         """The frame's rows with the text of their entry; ``load`` measures a row."""
         rows, total = frame.agg(F.count("*"), F.sum(F.expr(load))).first()
         side = F.broadcast(frame) if rows <= broadcast_rows and (total or 0) <= 4 * broadcast_rows else frame
-        return docs.join(side, docs.doc_id.eqNullSafe(side["id"])).drop("doc_id", "id")
+        return docs.join(side, docs.doc_id.eqNullSafe(side["id"]) & (docs["hash"] == side["of"])).drop("doc_id", "id", "hash", "of")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,26 +203,27 @@ def remove_repeats(
                 starts, key, _ = standing(numbers, first, window, rounds)
                 cuts = np.searchsorted(starts, first)
                 entries, wanted = part.column("entry").to_pylist(), part.column("keys")
+                texts = part.column("text").to_pylist()
                 chosen, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, entry in enumerate(entries):
-                    if _entry(numbers[first[i] : first[i + 1]]) == entry:
+                    if _entry((texts[i] or "").encode().split()) == entry:
                         mine = np.array(wanted[i].values, np.int64).view(np.uint64)
                         at = np.flatnonzero(np.isin(key[cuts[i] : cuts[i + 1]], mine)) + cuts[i]
                         chosen.append(at)
                         owner.append(np.full(len(at), i))
                 at, owner = starts[np.concatenate(chosen)], np.concatenate(owner)
-                a, b = window_prints(numbers, at, window)
+                a, b = window_prints((numbers, word_numbers(part.column("text"), seed=1)[0]), at, window)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.array(entries, np.int64)[owner]), pa.array((at - first[owner]).astype(np.int32)),
+                        part.column("entry").take(pa.array(owner)), pa.array((at - first[owner]).astype(np.int32)),
                         signed(a), signed(b), part.column("many").take(pa.array(owner)),
                     ],
                     ["entry", "at", "a", "b", "many"],
                 )
 
-    suspects = suspects.select("id", "entry", "keys", (F.col("copies") > 1).alias("many"))
+    suspects = suspects.select("id", "of", "entry", "keys", (F.col("copies") > 1).alias("many"))
     found = durable(with_texts(suspects, "size(keys)").mapInArrow(
-        compare, "entry long, at int, a long, b long, many boolean"
+        compare, "entry binary, at int, a long, b long, many boolean"
     ))
     twice = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("many").alias("many"))
     twice = durable(twice.where("n > 1 or many").select("a", "b"))  # written, so that the join can split a hot window
@@ -237,19 +242,18 @@ def remove_repeats(
                 [batch.column("entry"), pa.array(out, pa.list_(pa.int32()))], ["entry", "runs"]
             )
 
-    covered = covered.mapInArrow(runs, "entry long, runs array<int>")
-    covered = durable(covered.join(classes, "entry").select("id", "entry", "runs"))
+    covered = covered.mapInArrow(runs, "entry binary, runs array<int>")
+    covered = durable(covered.join(classes, "entry").select("id", "of", "entry", "runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                numbers, first = word_numbers(part.column("text"))
                 rows = []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     entry = part.column("entry")[i].as_py()
-                    if _entry(numbers[first[i] : first[i + 1]]) != entry:
-                        continue
                     words, kept, last = (text or "").encode().split(), [], 0
+                    if _entry(words) != entry:
+                        continue
                     ends = part.column("runs")[i].as_py()
                     for a, b in zip(ends[::2], ends[1::2]):
                         kept += words[last:a]
@@ -257,10 +261,10 @@ def remove_repeats(
                     kept += words[last:]
                     rows.append((entry, len(words) - len(kept), _sha(kept), b" ".join(kept).decode() if with_text else None))
                 columns = list(zip(*rows)) or [()] * 4
-                kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
+                kinds = pa.binary(), pa.int64(), pa.string(), pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["entry", "n_removed", "kept", "kept_text"])
 
-    partly = with_texts(covered, "size(runs)").mapInArrow(cut, "entry long, n_removed long, kept string, kept_text string")
+    partly = with_texts(covered, "size(runs)").mapInArrow(cut, "entry binary, n_removed long, kept string, kept_text string")
     partly = partly.groupBy("entry").agg(*(F.first(c).alias(c) for c in ("n_removed", "kept", "kept_text")))
     wholly = copies.select("entry", F.lit(None).cast("long").alias("n_removed"), F.lit(_sha([])).alias("kept"), F.lit("").alias("kept_text"))
     outcome = partly.unionByName(wholly)

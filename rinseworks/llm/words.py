@@ -12,11 +12,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_BASES = (_BASE, 0xD6E8FEB86659FD93)
+#: Sums of powers tell words of up to so many bytes apart; of longer ones whole patterns coincide
+#: modulo 2**64, so these are hashed one by one.
+_SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +39,19 @@ def _letters(lower: bool, seed: int) -> np.ndarray:
     return values
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of an odd base modulo 2**64, and their inverses."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    if seed not in _powers or len(_powers[seed][0]) < n:
+        size = 1 << int(max(n, 2) - 1).bit_length()
+        _powers[seed] = []
+        for base in (_BASES[seed], pow(_BASES[seed], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[seed].append(np.multiply.accumulate(steps))
+    return _powers[seed][0][:n], _powers[seed][1][:n]
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +80,22 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_numbers(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit number per word, equal for equal words, and each text's first word."""
+def word_numbers(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number per word, equal for equal words, and each text's first word.
+
+    Numbers of seeds 0 and 1 are independent of each other.
+    """
     data, starts, ends, first = split(texts)
-    up, down = powers(len(data) + 1)
+    up, down = powers(len(data) + 1, seed)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters(lower, 0)[data] * up[:-1], out=sums[1:])
-    numbers = (sums[ends] - sums[starts]) * down[starts]
-    return mix(numbers + (ends - starts).astype(np.uint64)), first
+    np.cumsum(_letters(lower, seed)[data] * up[:-1], out=sums[1:])
+    numbers = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > _SHORT):
+        word = data[starts[i] : ends[i]]
+        if lower:
+            word = np.where((word >= 65) & (word <= 90), word + 32, word).astype(np.uint8)
+        numbers[i] = xxhash.xxh3_64_intdigest(word.tobytes(), seed)
+    return numbers, first
 
 
 def windows(numbers: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,7 +73,7 @@ def test_jaccard_components(spark, limits):
                 parent[y] = x
     got = by_id(jaccard_join.jaccard_components(frame(spark, rows), **limits))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), top(i)) for i, s in sets.items()}
-    kept = jaccard_join.deduplicate(frame(spark, rows), **limits)
+    kept = jaccard_join.one_per_component(frame(spark, rows), **limits)
     assert kept.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({top(i) for i in sets})
 
@@ -83,7 +84,6 @@ def test_jaccard_awkward_keys(spark):
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter(
         {(None, 5): 1, (5, 5): 1, (7, 7): 3, (None, None): 1}
     )
-    assert Counter(r.doc_id for r in jaccard_join.deduplicate(frame(spark, rows)).collect()) == Counter({5: 1, 7: 1, None: 2})
     assert jaccard_join.jaccard_components(frame(spark, rows).where("false")).count() == 0
 
 
@@ -189,8 +189,11 @@ def test_hilbert_shards(spark, tmp_path):
     key = ["doc_id", "size", "text_crc32", "shard", "slot"]
     assert sorted(map(tuple, got[key].fillna(-1).astype(int).values)) == sorted(map(tuple, want[key].fillna(-1).astype(int).values))
     assert hilbert_shards(df.where("false")).count() == 0
-    write_shards(df.where("doc_id is not null"), str(tmp_path / "out"), shards=3)
-    assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
+    again = df.unionByName(df.limit(3)).withColumn("slot", F.lit("x"))
+    write_shards(again, str(tmp_path / "out"), shards=3)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.groupBy("shard").count().count() == 3 and not again.drop("slot").exceptAll(out.select(df.columns)).count()
+    assert out.count() == again.count() and sorted(r.slot for r in out.where("shard = 1").collect()) == list(range(out.where("shard = 1").count()))
 
 
 def test_hilbert_neighbours_touch(spark):
@@ -453,6 +456,95 @@ def test_language_runs_of_empty_texts_are_short():
         assert [(int(f), int(c)) for f, c in zip(feature, count)] == [(int(f), int(c)) for a in alone for f, c in zip(a[1], a[2])]
 
 
+def test_language_learns_from_its_folds_alone(spark):
+    """Held-out texts and rows without a language change nothing; ids that two languages share mix nothing up."""
+    rng = random.Random(3)
+    pools = {"aa": "bal dor kin tuv".split(), "bb": "shel wro gly phn".split()}
+    rows = [(i // 2, " ".join("".join(rng.choices(pools[v], k=2)) for _ in range(9)), v) for i, v in enumerate("aa bb".split() * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred): r for r in language.language(df).collect()}
+    assert set(got) == {(i, v) for i, _, v in rows}
+    other = df.withColumn("text", F.when(fold(3) == 1, F.lit("something else, éé 77")).otherwise(F.col("text")))
+    other = other.unionByName(spark.createDataFrame([(7, "zzz " * 99, None)], df.schema))
+    for r in language.language(other).collect():
+        if not r.held_out and (r.doc_id, r.score) != (7, 0.0) and (r.doc_id, r.lang_pred) in got:
+            same = got[r.doc_id, r.lang_pred]
+            assert r.score == same.score or r.doc_id == 7
+    scores = [r.score for r in got.values()]
+    assert np.mean(np.array(scores) > 0.9999) < 0.5 and min(scores) > 0.5
+
+
+def test_language_scores_are_dense_products(spark):
+    """TF-IDF, logits and temperature by plain loops over code points."""
+    rng = random.Random(8)
+    texts = ["Été ÉTÉ", "abc abd", "", None, "日本語 abc", "x" * 5] + [prose(rng, 9) for _ in range(20)]
+    weights = np.random.default_rng(1).normal(size=(1 << 14, 3))
+    model = language.LanguageModel(["a", "b", "c"], np.random.default_rng(2).uniform(1, 4, 1 << 14), weights, np.array([0.1, 0.2, -0.3]), 1.7)
+    for text, logits in zip(texts, model.logits(pa.array(texts))):
+        counts = Counter()
+        low = (text or "").lower()
+        for order in (1, 2, 3):
+            for i in range(len(low) - order + 1):
+                gram = 0
+                for c in low[i : i + order]:
+                    gram = (gram * 0x01000193 + ord(c) + order) % 2**32
+                gram = (gram ^ gram >> 15) * 0x2C1B3C6D % 2**32
+                counts[gram >> 18] += 1
+        x = np.zeros(1 << 14)
+        for f, n in counts.items():
+            x[f] = (1 + np.log(n)) * model.idf[f]
+        x /= np.linalg.norm(x) or 1
+        assert np.allclose(logits, x @ weights + model.bias)
+
+
+def thue_morse(letters, n):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words_of_one_pattern_differ(spark, n):
+    a, b = thue_morse("ab", n), thue_morse("ba", n)
+    rows = [(1, a), (2, b), (3, a.upper()), (4, b + " x")]
+    got = by_id(jaccard_join.jaccard_components(frame(spark, rows)))
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    tail = prose(random.Random(1), 40)
+    got = by_id(recompression.remove_repeats(frame(spark, [(1, f"{a} {tail}"), (2, f"{b} {tail}")])))
+    assert {i: r.n_removed for i, r in got.items()} == {1: 40, 2: 40}
+
+
+def test_five_thousand_rows_of_one_null_key(spark):
+    """Rows find their own text again, not those of all rows of the key."""
+    rng = random.Random(2)
+    passage = prose(rng, 45)
+    texts = [f"{prose(rng, 30)} {i} {passage}" for i in range(2_500)] * 2
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    start = time.time()
+    got = recompression.remove_repeats(df).collect()
+    assert all(r.n_removed == r.n_words for r in got) and len(got) == 5_000
+    assert jaccard_join.one_per_component(df).count() == 2_500
+    assert time.time() - start < 120
+
+
+def test_pii_positions_in_a_text_of_many_numbers(spark):
+    """200,000 matches: positions come from running sums, not from growing arrays."""
+    n = 200_000
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.expr(
+        f"concat('é ', array_join(transform(sequence(1, {n}), i -> string(i)), ' '), ' x +49 170 1234567 ip 1.2.3.4')").alias("text"))
+    start = time.time()
+    row = pii.base_spans(df).selectExpr("_phone", "_ip", "text").first()
+    assert time.time() - start < 20
+    (phone,), (ip,) = row._phone, [x for x in row._ip if x.v == "1.2.3.4"]
+    assert row.text[phone.s : phone.e] == phone.v and row.text[ip.s : ip.e] == "1.2.3.4"
+
+
+def test_decontamination_finds_short_items_as_whole_texts(spark):
+    items = spark.createDataFrame([(1, "Why so?"), (2, "Paris"), (3, "one two three four five")], "item_id long, text string")
+    docs = frame(spark, [(1, "why  so"), (2, "he asked why so often"), (3, "PARIS!"), (4, "Paris is big"), (5, "and one two three four five six"), (6, None), (7, "")])
+    got = {(r.doc_id, r.item_id) for r in find_contamination(docs, items).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3)}
+    assert sorted(r.doc_id for r in remove_contaminated(docs, items).collect()) == [2, 4, 6, 7]
+
+
 def test_fold_of_a_null_key(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(fold(3)).first()[0] is None
 

@@ -95,6 +95,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable_text(df: DataFrame) -> str:
+    """Write a frame of one text column as lines to the shared folder; returns where."""
+    path = f"{shared_folder(df.sparkSession)}/rinseworks-{uuid.uuid4().hex}"
+    df.write.text(path)
+    _written.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediates this process wrote, once no frame reads them any more."""
     while _written:

@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinseworks.frames import durable, durable_text
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import ref, strip
+from rinseworks.sources.splits import (
+    BROKEN, LineRecords, ObjectRecords, brace_step, quote_step, read_pieces, records, split_effects, split_starts,
+)
 
 _OVERFLOW = "__overflow"
 _CORRUPT = "__corrupt"
+#: Splits whose first states are broadcast; beyond it a file is read by one task.
+BROADCAST_SPLITS = 500_000
 
 
-def csv_header(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> list[str]:
+def csv_header(
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", multi_line: bool = False
+) -> list[str]:
     """Column names of a delimited file, made unique the way ``name``, ``name.1`` are."""
-    frame = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, inferSchema=False, quote='"', escape='"')
+    frame = spark.read.csv(
+        path, header=True, sep=delimiter, encoding=encoding, inferSchema=False, quote='"', escape='"', multiLine=multi_line
+    )
     return frame.columns
 
 
@@ -25,31 +35,44 @@ def read_csv_permissive(
     schema: T.StructType | str | None = None,
     delimiter: str = ",",
     encoding: str = "UTF-8",
-    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text whose lines may have too many or too few fields.
 
     Lines with too many fields are skipped, short ones padded with nulls, and the usual
-    tokens for a missing value become null. A quote inside quotes is written twice. Quoted
-    fields may hold line ends only with ``multi_line``, which reads each file in one task;
-    without it files are split, and a quote left open at a line's end is an error. Without a schema, columns in which every
+    tokens for a missing value become null. A quote inside quotes is written twice; inside a
+    field that does not begin with one it is data. Quoted fields may hold line ends, and
+    files are read in splits all the same. Without a schema, columns in which every
     value is a number become bigint or double, which costs one scan. Files that are not
-    valid in the given encoding are read as Latin-1.
+    valid in the given encoding are read as Latin-1. The scan that finds this out also finds
+    the state in which each split begins.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if encoding.upper() == "UTF-8" and _broken_utf8(spark, path):
-        encoding = "ISO-8859-1"
-    if not multi_line and _open_quotes(spark, path, encoding):
-        raise ValueError("a quoted field goes on over a line end; read with multi_line")
-    names = schema.names if schema else csv_header(spark, path, delimiter, encoding)
-    texts = T.StructType(
-        [T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]]
-    )
-    raw = spark.read.csv(
-        path, schema=texts, header=True, sep=delimiter, encoding=encoding, mode="PERMISSIVE",
-        enforceSchema=True, multiLine=multi_line, quote='"', escape='"',
-    )
+    if 'a"\n'.encode(encoding) == b'a"\n':
+        lines = read_pieces(spark, path, "\n")
+        effects = durable(split_effects(lines, quote_step(delimiter), '"'))
+        if encoding.upper() == "UTF-8" and not effects.where("not valid").isEmpty():
+            encoding = "ISO-8859-1"
+        starts = durable(split_starts(effects))
+        spans = not starts.where("sum > 0").isEmpty()
+        cut = spans and starts.count() <= BROADCAST_SPLITS
+        whole = spans and not cut
+    else:  # not made of ASCII's bytes
+        cut, whole = False, True
+    names = schema.names if schema else csv_header(spark, path, delimiter, encoding, cut or whole)
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
+    if cut:
+        rows = records(lines, starts, lambda inside, *_: LineRecords(delimiter, inside), b"\n")
+        rows = rows.where("not (block = 0 and seq = 0)")  # each file's header
+        text = F.rtrim(F.decode("value", encoding), F.lit("\r"))
+        kinds = ", ".join(f"`{n.replace('`', '``')}` string" for n in texts.names)
+        fields = F.from_csv(text, kinds, {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+        raw = rows.select(fields.alias("r")).select("r.*")
+    else:
+        raw = spark.read.csv(
+            path, schema=texts, header=True, sep=delimiter, encoding=encoding, mode="PERMISSIVE",
+            enforceSchema=True, multiLine=whole, quote='"', escape='"',
+        )
     kept = raw.where(ref(_OVERFLOW).isNull()).drop(_OVERFLOW)
     known = kept.select(
         *[F.when(~ref(n).isin(K.NA_TOKENS), ref(n)).alias(n) for n in names]
@@ -63,17 +86,6 @@ def read_csv_permissive(
     )
 
 
-def _broken_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether some line is not valid UTF-8."""
-    return not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
-
-
-def _open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether some line has an odd number of quotes."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    return not lines.where("char_length(value) % 2 <> char_length(replace(value, '\"', '')) % 2").isEmpty()
-
-
 def _infer(df: DataFrame) -> dict[str, str]:
     """Column kinds from one scan; a whole column of integers with gaps is still double."""
     whole = r"^\s*[-+]?\d{1,18}\s*$"
@@ -95,22 +107,18 @@ def _infer(df: DataFrame) -> dict[str, str]:
     return kinds
 
 
-def read_json(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None
-) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Objects as rows: one for each line, an array of objects, or one object as one row.
 
-    Lines are split over tasks; a document that spans lines is read in one task a file.
-    Which of them the input is shows in its first lines unless ``multi_line`` tells.
-    Anything else, broken input included, is an error.
+    All are read in splits. Objects that are no lines of their own are cut out at the brackets
+    outside strings and written as lines first, a split by itself. Which of them the input is
+    shows in its first line. Anything else, broken input included, is an error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if multi_line is None:
-        multi_line = not _one_object_a_line(spark, path)
-    reader = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", _CORRUPT
-    )
+    if not _one_object_a_line(spark, path):
+        path = _objects_as_lines(spark, path)
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
     if schema is None:
         schema = T.StructType([f for f in reader.json(path).schema if f.name != _CORRUPT])
     if not schema.fields:
@@ -121,6 +129,26 @@ def read_json(
     return frame.drop(_CORRUPT)
 
 
+def _objects_as_lines(spark: SparkSession, path: str) -> str:
+    pieces = read_pieces(spark, path, "}")
+    starts = durable(split_starts(split_effects(pieces, brace_step)))
+    files = starts.groupBy("file").agg(
+        F.max_by(F.col("total") + F.col("sum"), "block").alias("depth"), F.max_by("end", "block").alias("open"),
+        F.max("first").alias("first"), (F.max("size") - F.sum("bytes")).isin(0, 3).alias("closed"),  # 3: a byte order mark
+    )
+    # The last piece counts a brace that is not there, unless a brace is the file's last byte.
+    well = F.when(F.col("closed"), (F.col("depth") == 0) & (F.col("first") == "{")).otherwise(F.col("depth") == -1)
+    if not files.where(~well | F.col("open") | ~F.col("first").isin("{", "[")).isEmpty():
+        raise ValueError("expected JSON objects, an array of them or a single one")
+    if starts.count() > BROADCAST_SPLITS:
+        raise ValueError(f"more than {BROADCAST_SPLITS} splits: write the objects as lines, or read fewer files at once")
+    cut = durable(records(pieces, starts, ObjectRecords, b""))
+    if not cut.where(F.col("part") == BROKEN).isEmpty():
+        raise ValueError("expected JSON objects, an array of them or a single one")
+    # A line end inside a string would be written as \\n, so those left are blanks.
+    return durable_text(cut.select(F.translate(F.decode("value", "UTF-8"), "\r\n", "  ").alias("value")))
+
+
 def _one_object_a_line(spark: SparkSession, path: str) -> bool:
     """Whether the first line that is not blank is an object by itself."""
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(

@@ -13,8 +13,7 @@ from rinseworks.frames import small_frame
 def write_cleaned(df: DataFrame, path: str, kind: str = "csv") -> None:
     """Write in the given format: csv with header, json records or parquet.
 
-    In csv a quote inside quotes is written twice; text with line ends needs ``multi_line``
-    to be read back.
+    In csv a quote inside quotes is written twice, and text with line ends is quoted.
     """
     writer = df.write.mode("overwrite")
     if kind == "csv":

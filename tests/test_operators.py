@@ -1,5 +1,8 @@
 """Operators against brute force, by hand, and on awkward tables."""
 
+import csv
+import io
+import json
 import math
 import random
 
@@ -15,7 +18,7 @@ from rinseworks.operators import (
     profile, quality, quantiles, repair, sections, similarity, spelling,
 )
 from rinseworks.plans import auto, engine, strategies
-from rinseworks.sources import inventory, readers, writers
+from rinseworks.sources import inventory, readers, splits, writers
 from rinseworks.types import Issue
 
 
@@ -568,9 +571,7 @@ def test_readers_take_back_what_writers_write(spark, tmp_path):
         assert sorted(map(tuple, readers.load(spark, str(tmp_path / kind), kind).select("id", "t").collect())) == rows
     broken = spark.createDataFrame([(1, "one\ntwo"), (2, "x")], "id bigint, t string")
     writers.write_cleaned(broken, str(tmp_path / "lines"), "csv")
-    with pytest.raises(ValueError):
-        readers.read_csv_permissive(spark, str(tmp_path / "lines"))
-    back = readers.read_csv_permissive(spark, str(tmp_path / "lines"), multi_line=True)
+    back = readers.read_csv_permissive(spark, str(tmp_path / "lines"))
     assert sorted(map(tuple, back.collect())) == [(1, "one\ntwo"), (2, "x")]
     (tmp_path / "bad.json").write_text('[{"a":1},{"a":2')
     for schema in (None, "a bigint"):
@@ -580,6 +581,72 @@ def test_readers_take_back_what_writers_write(spark, tmp_path):
     assert readers.read_json(spark, str(tmp_path / "wide.json")).count() == 1
 
 
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "256", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_over_many_splits(spark, tmp_path, small_splits, end):
+    """Against Python's reader: quoted line ends, doubled and stray quotes, whatever the splits cut."""
+    rng = random.Random(len(end))
+    fields = ["x", "two words", 'say ""so""', f"line{end}line", f"{end}", ",", '""', "é" * 9, "long " * 90 + end + "tail", ""]
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    want = []
+    for name in ("a", "b"):
+        lines = ["id,t,u"]
+        for i in range(60):
+            quoted = f'"{rng.choice(fields)}"'
+            lines.append(f"{i},{quoted}," + rng.choice(['12"" vinyl', 'a "b" c', "plain", f'"{rng.choice(fields)}"']))
+            if rng.random() < 0.1:
+                lines.append("")
+        text = end.join(lines) + end * rng.randint(0, 1)
+        (folder / f"{name}.csv").write_bytes(text.encode())
+        found = [r for r in csv.reader(io.StringIO(text, newline="")) if r][1:]
+        want += [(int(i), t, u) for i, t, u in found]
+    got = [tuple(r) for r in readers.read_csv_permissive(spark, str(folder), "id bigint, t string, u string").collect()]
+    empty = lambda rows: sorted(tuple("" if v is None else v for v in r) for r in rows)
+    assert empty(got) == empty(want)
+    pieces = splits.read_pieces(spark, str(folder), "\n")
+    starts = splits.split_starts(splits.split_effects(pieces, splits.quote_step(","), '"'))
+    assert starts.count() > 8 and starts.where("inside").count() > 0 and pieces.rdd.getNumPartitions() > 8
+
+
+def test_stray_quotes_in_unquoted_fields(spark, tmp_path):
+    path = tmp_path / "v.csv"
+    path.write_text('name,n\n12" vinyl,3\n7" single,4\n')
+    assert sorted(map(tuple, readers.read_csv_permissive(spark, str(path)).collect())) == [('12" vinyl', 3), ('7" single', 4)]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_arrays_over_many_splits(spark, tmp_path, small_splits, indent):
+    rng = random.Random(4)
+    odd = ['}{"', "[]", '\\"', "\\", "line\nline", "é}", "]", ", {", "x" * 700, ""]
+    objects = [{"id": i, "t": rng.choice(odd), "in": {"k": rng.choice(odd), "v": [1, {"w": rng.choice(odd)}]}} for i in range(80)]
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(objects[:50], indent=indent, ensure_ascii=False))
+    (folder / "b.json").write_text("\ufeff" + json.dumps(objects[50:79], indent=indent) + "\n")
+    (folder / "c.json").write_text(json.dumps(objects[79], indent=indent))
+    (folder / "d.json").write_text("[]\n")
+    spans = splits.read_pieces(spark, str(folder), "}").rdd.getNumPartitions()
+    assert spans > 8  # an array file is read by many tasks
+    for schema in (None, "id bigint, t string, `in` struct<k:string,v:array<string>>"):
+        got = {r.id: r for r in readers.read_json(spark, str(folder), schema).collect()}
+        assert sorted(got) == list(range(80))
+        assert all(got[o["id"]].t == o["t"] and got[o["id"]]["in"].k == o["in"]["k"] for o in objects)
+    for broken in ('[{"a":1} {"b":', '{"a":1', '[{"a":1}]]', '[{"a":1}, 7, {"a":2}]', '{"a":{"b":1}', '[{"a":"x}]', ' 7 '):
+        (tmp_path / "broken.json").write_text(broken)
+        with pytest.raises(ValueError):
+            readers.read_json(spark, str(tmp_path / "broken.json")).collect()
+
+
 def test_writers_and_inventory(spark, tmp_path):
     df = spark.createDataFrame([(1, " a"), (2, None)], "id bigint, t string")
     for kind in ("csv", "json", "parquet"):

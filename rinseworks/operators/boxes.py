@@ -11,12 +11,9 @@ from pyspark.sql import types as T
 
 from rinseworks.frames import durable
 from rinseworks.functions import constants as K
-from rinseworks.functions.expr import ref, strip
+from rinseworks.functions.expr import let, ref, strip
 from rinseworks.operators.sections import extract_patterns
 
-LINES_PER_CHUNK = 256
-
-
 def _joined(order: list[str], word: str) -> Column:
     """Words of a group in order, separated by blanks."""
     items = F.array_sort(F.collect_list(F.struct(*order, word)))
@@ -30,38 +27,31 @@ def word_boxes_to_blocks(
     """Runs of confident, non-empty words as blocks with their mean confidence.
 
     ``(doc, block, text, confidence, word_count)`` in reading order by line and word. The
-    run a word belongs to is the number of breaks before it. That count is built from
-    breaks per chunk of lines and a running sum over the chunks, so the words of even a
-    very long document spread over many tasks.
+    run a word belongs to is the number of breaks before it in its document. Words are sorted
+    by range, so documents and lines of any length spread over tasks; breaks are counted
+    within each part of a document, and a row for each part gives the breaks before it.
     """
+    key = ["doc", "line", "word"]
     marked = df.select(
-        ref(doc).alias("doc"),
-        ref(line).alias("line"),
-        ref(word).alias("word"),
-        F.floor(ref(line) / LINES_PER_CHUNK).alias("chunk"),
-        strip(ref(text)).alias("text"),
-        ref(conf).cast("double").alias("conf"),
+        ref(doc).alias("doc"), ref(line).alias("line"), ref(word).alias("word"),
+        strip(ref(text)).alias("text"), ref(conf).cast("double").alias("conf"),
     ).withColumn(
         "good", F.coalesce((F.col("text") != "") & (F.col("conf") > 30), F.lit(False))
     )
-    breaks = (~F.col("good")).cast("bigint")
-    within = Window.partitionBy("doc", "chunk").orderBy("line", "word")
-    runs = marked.withColumn("run", F.sum(breaks).over(within)).where("good")
-    if marked.agg(F.max("chunk")).first()[0]:
-        # long documents: add the breaks of the chunks before
-        chunks = marked.groupBy("doc", "chunk").agg(F.sum(breaks).alias("inside"))
-        earlier = (
-            Window.partitionBy("doc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = chunks.select(
-            "doc", "chunk", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before")
-        )
-        runs = runs.join(offsets, ["doc", "chunk"]).withColumn("run", F.col("run") + F.col("before"))
-        keys = ["doc", "run"]
-    else:  # one chunk each: the window has already brought the words together
-        keys = ["doc", "chunk", "run"]
-    blocks = runs.groupBy(*keys).agg(
-        _joined(["line", "word"], "text").alias("text"),
+    placed = durable(
+        marked.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id())
+    ).withColumn("part", F.shiftright("place", 33))
+    breaks = F.sum((~F.col("good")).cast("bigint"))
+    earlier = Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("doc", "part").agg(breaks.alias("inside"))
+    before = F.coalesce(F.sum("inside").over(earlier), F.lit(0))
+    offsets = parts.select(F.col("doc").alias("d"), F.col("part").alias("p"), before.alias("before"))
+    within = Window.partitionBy("doc", "part").orderBy("place")
+    runs = placed.withColumn("run", breaks.over(within)).where("good").join(
+        offsets, F.col("doc").eqNullSafe(F.col("d")) & (F.col("part") == F.col("p"))
+    )
+    blocks = runs.groupBy("doc", (F.col("run") + F.col("before")).alias("run")).agg(
+        _joined(["place"], "text").alias("text"),
         F.avg("conf").alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
@@ -124,6 +114,11 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
     words or two header cells have no table. A line travels as one row, as it does in
     the result; pages are never gathered.
     """
+    return _table_cells(df, doc).where(F.col("value") != "").drop("position").withColumnRenamed("doc", doc)
+
+
+def _table_cells(df: DataFrame, doc: str) -> DataFrame:
+    """All cells of the tables, empty ones too, with the ``position`` of their column."""
     line = ["doc", "block_num", "par_num", "line_num"]
     words = df.select(
         ref(doc).alias("doc"),
@@ -172,10 +167,10 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
         )
         return F.get("names", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
 
-    def cell(name):
+    def cell(name, position):
         here = F.filter("placed", lambda w: w["column"] == name)
         text = F.array_join(F.transform(here, lambda w: w["text"]), " ")
-        return F.struct(name.alias("column"), text.alias("value"))
+        return F.struct(name.alias("column"), text.alias("value"), position.alias("position"))
 
     return (
         lines.join(layout, "doc")
@@ -187,8 +182,6 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
             ),
         )
         .select(*line, F.inline(F.transform("names", cell)))
-        .where(F.col("value") != "")
-        .withColumnRenamed("doc", doc)
     )
 
 
@@ -206,20 +199,62 @@ def _as_number(v: Column) -> Column:
     )
 
 
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = (
+    "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|"
+    "nov(?:ember)?|dec(?:ember)?)"
+)
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+_TIME = r"(?:(?:t|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?\s*([ap]m)?\s*(z|utc|[-+]\d{2}:?\d{2})?)?$"
+#: Patterns with the groups of year, first and second part of the date, and of the first part of the time.
+_DATES = (
+    (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME, 1, 3, 4, 5),
+    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME, 4, 1, 3, 5),
+    (r"^(?:[a-z]{3,9},?\s+)?" + _DAY + r"[-\s]" + _MONTH + r"\.?,?[-\s](\d{4})" + _TIME, 3, 2, 1, 4),
+    (r"^(?:[a-z]{3,9},\s+)?" + _MONTH + r"\.?\s+" + _DAY + r",?\s+(\d{4})" + _TIME, 3, 1, 2, 4),
+)
+
+
 def parsed_date(v: Column) -> Column:
-    """Year-first or month-first dates, with or without a time; else null.
+    """A date in one of the usual orders, with or without a time and a zone; else null.
 
-    The shape is tested first, since a failed parse is far dearer than a pattern.
+    Year first, or the year last with the month before the day unless only the other order is
+    a date, or with the month's name before or after the day. Separators are ``-``, ``/`` or
+    ``.``; a time follows a ``T``, a comma or blanks, may have a fraction and am or pm, and with
+    a zone is an instant. The parts come from the tokens of one pattern for each order, tested
+    first, and are checked by the calendar.
     """
-    shapes = {
-        r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-        r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-        r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-        r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$": "M/d/yyyy HH:mm:ss",
-    }
-    return F.coalesce(
-        *[F.when(v.rlike(p), F.try_to_timestamp(v, F.lit(f))) for p, f in shapes.items()]
-    )
+
+    def read(low: Column) -> Column:
+        found = []
+        for pattern, year, first, second, time in _DATES:
+            part = lambda i: F.regexp_extract(low, pattern, i)  # noqa: E731, B023
+            number = lambda i: part(i).try_cast("int")  # noqa: E731, B023
+            a, b = number(first), number(second)
+            if _MONTH in pattern:
+                month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(part(first), 1, 3)).cast("int")
+                day = b
+            elif year > first:  # year last: the day may come first
+                swap = (a > 12) & (b <= 12)
+                month, day = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+            else:
+                month, day = a, b
+            half = part(time + 3)
+            hour = F.coalesce(number(time), F.lit(0))
+            hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+            minute = F.coalesce(number(time + 1), F.lit(0))
+            second_ = F.coalesce(part(time + 2).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+            zone = part(time + 4)
+            digits = F.regexp_replace(zone, "[^0-9]", "")
+            offset = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")).cast("bigint")
+            offset = F.coalesce(offset, F.lit(0)) * F.when(zone.startswith("-"), -1).otherwise(1)
+            plain = F.try_make_timestamp(number(year), month, day, hour, minute, second_)
+            instant = F.try_make_timestamp(number(year), month, day, hour, minute, second_, F.lit("UTC"))
+            instant = F.timestamp_micros(F.unix_micros(instant) - offset * 60_000_000)
+            found.append(F.when(low.rlike(pattern), F.when(zone == "", plain).otherwise(instant)))
+        return F.coalesce(*found)
+
+    return let(F.lower(v), read)
 
 
 def _facts(v: Column) -> Column:
@@ -276,13 +311,32 @@ def role_shares(df: DataFrame) -> DataFrame:
     return known.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def infer_column_roles(df: DataFrame) -> dict[str, str]:
-    """Role -> column: similar names first, then role by role the best column above half."""
+def _named_roles(columns: list[str]) -> dict[str, str]:
+    """Role -> column by similar names, the first column of a role."""
     roles: dict[str, str] = {}
-    for c in df.columns:
+    for c in columns:
         near = difflib.get_close_matches(c, K.ORDER_COLUMNS, n=1, cutoff=0.72)
         if near:
             roles.setdefault(near[0], c)
+    return roles
+
+
+def _shared_roles(roles: dict[str, str], left: list[str], share: dict[tuple[str, str], float]) -> dict[str, str]:
+    """The roles with, role by role, the best of the columns left if it is above half."""
+    roles, left = dict(roles), list(left)
+    for role in K.ROLE_ORDER:
+        if role in roles or not left:
+            continue
+        best = max(left, key=lambda c: share[role, c])
+        if share[role, best] >= 0.5:
+            roles[role] = best
+            left.remove(best)
+    return roles
+
+
+def infer_column_roles(df: DataFrame) -> dict[str, str]:
+    """Role -> column: similar names first, then role by role the best column above half."""
+    roles = _named_roles(df.columns)
     left = [c for c in df.columns if c not in roles.values()]
     if not left:
         return roles
@@ -290,14 +344,45 @@ def infer_column_roles(df: DataFrame) -> dict[str, str]:
         (r["role"], r["column"]): r["share"] or 0.0
         for r in role_shares(df.select(*[ref(c) for c in left])).collect()  # roles x columns
     }
-    for role in K.ROLE_ORDER:
-        if role in roles or not left:
-            continue
-        best = max(left, key=lambda c: share[(role, c)])
-        if share[(role, best)] >= 0.5:
-            roles[role] = best
-            left.remove(best)
-    return roles
+    return _shared_roles(roles, left, share)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _page_roles(columns: pd.Series) -> pd.Series:
+    """Role -> column of each page, from its columns' names and shares in order."""
+
+    def choose(page) -> dict[str, str]:
+        names = [c["column"] for c in page]
+        roles = _named_roles(names)
+        share = {(role, c["column"]): s for c in page for role, s in zip(K.ROLE_ORDER, c["shares"])}
+        return _shared_roles(roles, [n for n in names if n not in roles.values()], share)
+
+    return columns.map(choose)
+
+
+def page_order_tables(df: DataFrame, doc: str) -> DataFrame:
+    """The order table of every page: ``(doc, block_num, par_num, line_num)`` and the nine columns.
+
+    Cells are those of :func:`word_boxes_to_table`. Each page infers the roles of its own
+    columns, all pages in one plan: shares are aggregated by page and column, a page's few
+    columns choose their roles, and the cells are pivoted by role into one row for each
+    line, typed and cleaned as by :func:`normalize_order_table`. Columns without a role are
+    left out; pages without a table have no rows.
+    """
+    cells = durable(_table_cells(df, doc))
+    facts = cells.select("doc", "column", "position", _facts(strip(F.col("value"))).alias("f"))
+    tests = _role_tests(F.col("f"))
+    shares = [F.avg(F.coalesce(tests[role], F.lit(False)).cast("double")) for role in K.ROLE_ORDER]
+    columns = facts.groupBy("doc", "column").agg(F.min("position").alias("position"), F.array(*shares).alias("shares"))
+    pages = columns.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("position", "column", "shares"))).alias("columns"))
+    roles = pages.select(F.col("doc").alias("d"), F.explode(_page_roles("columns")).alias("role", "of"))
+    named = cells.join(roles, F.col("doc").eqNullSafe(F.col("d")) & (F.col("column") == F.col("of")))
+    line = ["doc", "block_num", "par_num", "line_num"]
+    pivoted = named.groupBy(*line).agg(
+        *[F.coalesce(F.max(F.when(F.col("role") == role, F.col("value"))), F.lit("")).alias(role) for role in K.ORDER_COLUMNS]
+    )
+    table = normalize_order_table(pivoted, {role: role for role in K.ORDER_COLUMNS}, keep=tuple(line))
+    return table.withColumnRenamed("doc", doc)
 
 
 def normalize_order_table(

@@ -1,6 +1,7 @@
 """Operators against brute force, by hand, and on awkward tables."""
 
 import csv
+import datetime
 import io
 import json
 import math
@@ -470,7 +471,82 @@ def test_word_box_table(spark):
     assert boxes.word_boxes_to_table(few, "doc").count() == 0
 
 
-def test_word_box_blocks_across_chunks(spark):
+def test_word_box_blocks_of_one_line_over_many_tasks(spark):
+    """A document of one line of 5,000 words, beside small ones, against a loop."""
+    rng = random.Random(5)
+    rows = [(1, 0, i, rng.choice(["", "w", " x "]) if rng.random() < 0.3 else f"w{i}", rng.choice([10, 31, 90, 90, None])) for i in range(5_000)]
+    rows += [(d, i // 3, i % 3, f"w{i}", 90 if i % 4 else 5) for d in (0, 2, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc int, line int, word int, text string, conf int").repartition(3)
+    want = []
+    for d in (0, 1, 2, None):
+        block, run = 0, []
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: r[1:3]) + [(d, 0, 0, "", 0)]:
+            if r[3].strip() and (r[4] or 0) > 30:
+                run.append(r)
+                continue
+            if run:
+                want.append((d, block, " ".join(x[3].strip() for x in run), sum(x[4] for x in run) / len(run), len(run)))
+            block, run = block + 1, []
+    got = [tuple(r) for r in boxes.word_boxes_to_blocks(df, "doc", "line", "word").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [r[:3] + r[4:] for r in sorted(got, key=key)] == [r[:3] + r[4:] for r in sorted(want, key=key)]
+    assert np.allclose([r[3] for r in sorted(got, key=key)], [r[3] for r in sorted(want, key=key)])
+
+
+def test_order_tables_of_pages_choose_roles_page_by_page(spark):
+    """Each page alone through the frame-wide operators gives the rows of all pages in one plan."""
+    heads = {
+        1: ["Order ID", "Itm", "Price"], 2: ["Ref", "Who", "Sum", "Day"], 3: ["aa", "bb", "cc"], 4: ["Payment", "Quantity", "zz"],
+    }
+    values = {
+        1: [["ORD-1", "Soup", "9.5"], ["ORD-2", "Fish", "fry"], ["", "Cake", "1,200"]],
+        2: [["ORD_7", "CUST-1", "12", "15-Jan-2024"], ["ORD8", "CUST2", "300", "2024-02-01T10:30:00Z"], ["x", "CUST-3", "", "5/1/2024"]],
+        3: [["credit", "3", "main dish"], ["cash", "4", "dessert"], ["visa card", "", "side"]],
+        4: [["wallet", "2", "Tea"], ["cash", "a", ""], ["", "7", "Cup"]],
+    }
+    rows = []
+    for d, head in heads.items():
+        for i, line in enumerate([head, *values[d]]):
+            for j, cell in enumerate(line):
+                rows += [
+                    (d, 1, 1, i, 200.0 * j + 30 * k, 20.0 * i, 25.0, 90, w) for k, w in enumerate(cell.split())
+                ]
+    df = spark.createDataFrame(
+        rows, "doc int, block_num int, par_num int, line_num int, left double, top double, width double, conf int, text string"
+    ).repartition(3)
+    got = {}
+    for r in boxes.page_order_tables(df, "doc").collect():
+        got.setdefault(r.doc, {})[r.line_num] = tuple(r)[4:]
+    cells = boxes._table_cells(df, "doc").toPandas()
+    for d in heads:
+        page = cells[cells.doc == d]
+        names = page.sort_values("position").column.unique()
+        wide = spark.createDataFrame(page.pivot(index="line_num", columns="column", values="value")[names].reset_index())
+        roles = boxes.infer_column_roles(wide.drop("line_num"))
+        want = boxes.normalize_order_table(wide, roles, keep=("line_num",)).collect()
+        assert got.get(d, {}) == {r.line_num: tuple(r)[1:] for r in want}, d
+    assert got[2][1][0] == "ORD_7" and got[2][2][7] == datetime.datetime(2024, 2, 1, 10, 30) and got[2][1][7].day == 15
+    assert got[1][2][3] == "Fish fry" and got[1][2][4] is None
+
+
+def test_dates_of_many_orders(spark):
+    day = datetime.datetime(2024, 1, 15)
+    want = {
+        "2024-01-15": day, "2024/1/15": day, "2024.01.15": day, "01/15/2024": day, "15/01/2024": day, "15.1.2024": day,
+        "2/1/2024": datetime.datetime(2024, 2, 1), "15 Jan 2024": day, "15-Jan-2024": day, "15th January 2024": day,
+        "Jan 15, 2024": day, "January 15 2024": day, "Monday, January 15, 2024": day, "Mon 15 Jan 2024": day,
+        "2024-01-15T10:30:05Z": datetime.datetime(2024, 1, 15, 10, 30, 5), "2024-01-15T10:30:05.25+02:00": datetime.datetime(2024, 1, 15, 8, 30, 5, 250000),
+        "2024-01-15 23:30-0130": datetime.datetime(2024, 1, 16, 1, 0), "1/15/2024 1:05 PM": datetime.datetime(2024, 1, 15, 13, 5),
+        "Jan 15, 2024, 12:00 am": day, "2024-01-15 07:08:09": datetime.datetime(2024, 1, 15, 7, 8, 9),
+        "2024-02-30": None, "13/13/2024": None, "2024-1/15": None, "31 Foo 2024": None, "15 Jan": None, "12": None, "": None,
+        "2024-01-15T25:00": None, "1/15/2024 13:05 pm": None, "ORD-2024-01-15": None, "nan": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want] + [(None,)], "v string")
+    got = {r.v: r.d for r in df.select("v", boxes.parsed_date(F.col("v")).alias("d")).collect()}
+    assert got == {**want, None: None}
+
+
+def test_word_box_blocks_across_lines(spark):
     rows = [(1, i, 0, "" if i % 300 == 299 else f"w{i}", 10 if i == 500 else 90) for i in range(700)]
     df = spark.createDataFrame(rows, "doc int, line int, word int, text string, conf int")
     got = boxes.word_boxes_to_blocks(df, "doc", "line", "word").orderBy("block").collect()

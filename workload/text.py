@@ -242,15 +242,17 @@ def word_boxes_to_blocks(t):
     return rounded(boxes.word_boxes_to_blocks(t.word_boxes, "doc_id", "line_num", "word_num"), "confidence")
 
 
+WORD_CELLS = (
+    "good as (select * from v where conf > 35 and doc_id in (select doc_id from v where conf > 35 group by 1 having count(*) >= 8))",
+    "head as (select doc_id, txt as name, x_left as lo, x_left + width as hi from good where line_num = 0)",
+    "near as (select g.doc_id, g.line_num, g.word_num, g.txt, g.x_left, h.name, row_number() over "
+    "(partition by g.doc_id, g.line_num, g.word_num order by greatest(h.lo - (g.x_left + g.width / 2), (g.x_left + g.width / 2) - h.hi, 0), h.lo) as r "
+    "from good g join head h on g.doc_id = h.doc_id where g.line_num > 0)",
+)
+
+
 @query(
-    with_view(
-        "word_boxes",
-        "good as (select * from v where conf > 35 and doc_id in (select doc_id from v where conf > 35 group by 1 having count(*) >= 8))",
-        "head as (select doc_id, txt as name, x_left as lo, x_left + width as hi from good where line_num = 0)",
-        "near as (select g.doc_id, g.line_num, g.word_num, g.txt, g.x_left, h.name, row_number() over "
-        "(partition by g.doc_id, g.line_num, g.word_num order by greatest(h.lo - (g.x_left + g.width / 2), (g.x_left + g.width / 2) - h.hi, 0), h.lo) as r "
-        "from good g join head h on g.doc_id = h.doc_id where g.line_num > 0)",
-    )
+    with_view("word_boxes", *WORD_CELLS)
     + "select doc_id, 1 as block_num, 1 as par_num, line_num, name as \"column\", string_agg(txt, ' ' order by x_left) as value "
     "from near where r = 1 group by 1, 4, 5"
 )
@@ -322,6 +324,42 @@ def normalize_order_table(t):
     return out.withColumn("Order Date", F.date_format("Order Date", "yyyy-MM-dd"))
 
 
+def _pages_sql() -> str:
+    """Cells of every page, empty ones too, the greedy choice of roles by page, and the pivot."""
+    steps = []
+    for i, role in enumerate(K.ROLE_ORDER):
+        free = "".join(f" and not exists (select 1 from r{j} where r{j}.doc_id = s.doc_id and r{j}.c = s.c)" for j in range(i))
+        steps.append(
+            f"r{i} as (select doc_id, c, '{role}' as role from (select doc_id, c, share, row_number() over "
+            f"(partition by doc_id order by share desc, pos) as k from (select doc_id, c, pos, avg(({TESTS[role]})::int) as share "
+            f"from s where true{free} group by 1, 2, 3)) where k = 1 and share >= 0.5)"
+        )
+    value = {role: f"coalesce(max(case when role = '{role}' then x end), '')" for role in K.ORDER_COLUMNS}
+    paid = value["Payment Method"]
+    columns = ", ".join(
+        [f"nullif({value[r]}, '') as \"{r}\"" for r in ("Order ID", "Customer ID", "Category", "Item")]
+        + [f"try_cast(regexp_extract({value[r]}, '[-+]?[0-9]*\\.?[0-9]+') as double) as \"{r}\"" for r in ("Price", "Quantity", "Order Total")]
+        + [f"nullif({value['Order Date']}, '') as \"Order Date\"", f"nullif({paid}, '') as \"Payment Method\""]
+    )
+    cells = WORD_CELLS + (
+        "vals as (select doc_id, line_num, name, string_agg(txt, ' ' order by x_left) as x from near where r = 1 group by 1, 2, 3)",
+        "s as (select l.doc_id, l.line_num, h.name as c, h.lo as pos, coalesce(vals.x, '') as x from "
+        "(select distinct doc_id, line_num from vals) l join head h on h.doc_id = l.doc_id left join vals on "
+        "vals.doc_id = l.doc_id and vals.line_num = l.line_num and vals.name = h.name)",
+    )
+    roles = "roles as (" + " union all ".join(f"select * from r{i}" for i in range(len(K.ROLE_ORDER))) + ")"
+    return with_view("word_boxes", *cells, *steps, roles) + (
+        f"select * from (select s.doc_id, 1 as block_num, 1 as par_num, line_num, {columns} from s join roles "
+        "on roles.doc_id = s.doc_id and roles.c = s.c group by 1, 2, 3, 4) where \"Order ID\" is not null or \"Item\" is not null"
+    )
+
+
+@query(_pages_sql())
+def page_order_tables(t):
+    out = boxes.page_order_tables(t.word_boxes, "doc_id")
+    return out.withColumn("Order Date", F.date_format("Order Date", "yyyy-MM-dd"))
+
+
 # --- spelling ----------------------------------------------------------------
 
 FORMS = (

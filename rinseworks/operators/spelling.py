@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinseworks.frames import small_frame
+from rinseworks.frames import durable, small_frame
 from rinseworks.functions import constants as K
-from rinseworks.functions.expr import ref
+from rinseworks.functions.expr import percent, ref, severity, text_columns
+from rinseworks.operators.consistency import detect_encoding_issues
+from rinseworks.operators.frequency import stacked_text
 from rinseworks.types import ISSUE_SCHEMA
 
+# Bits of the filter over corrections, and rows that a correction is copied to.
+FILTER_BITS = 1 << 20
+SALTS = 16
+
 _WORD = re.compile(r"\w+")
 
 
@@ -33,11 +39,17 @@ def word_counts(df: DataFrame, text: Column) -> DataFrame:
     A run of letters next to an accented letter, digit or underscore is part of a
     longer word and does not count.
     """
-    pieces = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
+    return _counts(df.select(text.alias("value")), "value").drop("column")
+
+
+def _counts(df: DataFrame, text: str) -> DataFrame:
+    """:func:`word_counts` for each value of ``column``, null if there is none."""
+    column = F.col("column") if "column" in df.columns else F.lit(None).cast("string").alias("column")
+    pieces = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")
     return (
-        df.select(F.explode(pieces).alias("word"))
+        df.select(column, F.explode(pieces).alias("word"))
         .where(F.col("word").rlike("^[a-z]+$"))
-        .groupBy("word")
+        .groupBy("column", "word")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
@@ -68,6 +80,39 @@ def detect_spelling_errors(df: DataFrame, column: str, dictionary: DataFrame | N
     return small_frame(df.sparkSession, rows, ISSUE_SCHEMA)
 
 
+def detect_text_anomalies(
+    df: DataFrame, columns: list[str] | None = None, dictionary: DataFrame | None = None
+) -> DataFrame:
+    """Spelling and encoding issues of the text columns, or of those named, in one frame.
+
+    The words of all columns are counted together and meet the dictionary once. Columns that
+    are no text columns of the frame are passed over.
+    """
+    texts = text_columns(df)
+    columns = [c for c in texts if columns is None or c in columns]
+    dictionary = basic_dictionary(df.sparkSession) if dictionary is None else dictionary
+    known = dictionary.select(F.col("term").alias("word"), F.lit(True).alias("known")).dropDuplicates()
+    wrong = F.col("known").isNull() & (F.length("word") > 2)
+    stats = (
+        _counts(stacked_text(df, columns), "value")
+        .join(known, "word", "left")
+        .groupBy("column")
+        .agg(F.sum("cnt").alias("total"), F.coalesce(F.sum(F.when(wrong, F.col("cnt"))), F.lit(0)).alias("errors"))
+        .withColumn("rate", percent(F.col("errors"), F.col("total")))
+    )
+    misspelt = stats.where(F.col("rate") > 5).select(
+        F.lit("spelling_errors").alias("issue_type"),
+        "column",
+        F.col("errors").alias("affected_rows"),
+        F.col("rate").alias("percentage"),
+        severity(F.col("rate"), None, 10).alias("severity"),
+        F.format_string(
+            "Column '%s' has %d spelling errors (%.1f%% error rate)", F.col("column"), F.col("errors"), F.col("rate")
+        ).alias("description"),
+    )
+    return misspelt.unionByName(detect_encoding_issues(df.select(*[ref(c) for c in columns])))
+
+
 def _deletions(word: Column) -> Column:
     """The word and all its forms with one letter left out."""
     cut = F.transform(
@@ -118,36 +163,55 @@ def spelling_corrections(df: DataFrame, column: str, dictionary: DataFrame) -> D
 
 
 def correct_spelling(
-    df: DataFrame, key: str, column: str, dictionary: DataFrame
+    df: DataFrame, key: str, columns: str | list[str], dictionary: DataFrame
 ) -> DataFrame:
-    """The frame with misspelt words of a text column replaced by their correction.
+    """The frame with misspelt words of text columns replaced by their correction.
 
-    Whole words only, lower case; ``key`` must be unique. The distinct words of each row
-    that are long enough for a correction meet the corrections: these are broadcast where
-    Spark finds them small, else both sides are shuffled by word and a hot word is split
-    by adaptive execution.
+    Whole words only, lower case; ``key`` must be unique. Only distinct words of a row that
+    pass a filter over the corrections are shuffled; a word that very many rows hold is
+    spread by salt.
     """
-    fixes = spelling_corrections(df, column, dictionary)
+    columns = [columns] if isinstance(columns, str) else columns
+    texts = stacked_text(df, columns)
+    fixes = durable(spelling_corrections(texts, "value", dictionary))
+    salted = fixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = _words_to_fix(df, key, columns, fixes).join(salted, ["word", "salt"])
+    fix = F.struct("word", "correction")
+    per_row = found.groupBy("__key").agg(*[
+        F.map_from_entries(F.collect_list(F.when(F.col("at") == i, fix))).alias(f"__fix{i}") for i in range(len(columns))
+    ])
+    out = df.join(per_row, ref(key) == F.col("__key"), "left")
+    for i, c in enumerate(columns):
+        out = out.withColumn(
+            c, F.when(F.coalesce(F.size(f"__fix{i}"), F.lit(0)) < 1, ref(c)).otherwise(_replace_words(ref(c), F.col(f"__fix{i}")))
+        )
+    return out.select(*[ref(c) for c in df.columns])
+
+
+def _words_to_fix(df: DataFrame, key: str, columns: list[str], fixes: DataFrame) -> DataFrame:
+    """``(__key, at, word, salt)``: the distinct words of each row and column that may have a correction.
+
+    The filter is a bitmap of a fixed size over hashes of the words; it lets through every
+    word with a correction and few others.
+    """
+    place = F.pmod(F.xxhash64("word"), F.lit(FILTER_BITS))
+    bits = fixes.select((place / 64).cast("int").alias("at"), (place % 64).cast("int").alias("bit")).groupBy("at").agg(
+        F.expr("bit_or(shiftleft(1L, bit))").alias("bits")
+    )
+    words = [0] * (FILTER_BITS // 64)
+    for r in bits.collect():  # at most as many rows as the bitmap has numbers
+        words[r["at"]] = r["bits"]
+    bitmap = F.from_json(F.lit(str(words)), "array<bigint>")
     used = df.select(
         ref(key).alias("__key"),
-        F.explode(
-            F.array_distinct(F.split(F.lower(ref(column)), r"[^\p{L}\p{N}_]+"))
-        ).alias("word"),
-    )
-    per_row = (
-        used.where(F.length("word") > 2).join(fixes, "word")
-        .groupBy("__key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("__fix"))
-    )
+        F.posexplode(F.array(*[
+            F.array_distinct(F.split(F.lower(ref(c)), r"[^\p{L}\p{N}_]+")) for c in columns
+        ])).alias("at", "words"),
+    ).select("__key", "at", F.explode("words").alias("word"))
+    hit = F.expr("getbit(get(bitmap, int(place div 64)), int(place % 64)) = 1")
     return (
-        df.join(per_row, ref(key) == F.col("__key"), "left")
-        .withColumn(
-            column,
-            F.when(F.col("__fix").isNull(), ref(column)).otherwise(
-                _replace_words(ref(column), F.col("__fix"))
-            ),
-        )
-        .drop("__key", "__fix")
+        used.where(F.length("word") > 2).withColumn("place", place).withColumn("bitmap", bitmap).where(hit)
+        .select("__key", "at", "word", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int").alias("salt"))
     )
 
 

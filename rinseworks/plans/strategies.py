@@ -17,6 +17,7 @@ from rinseworks.operators.impute import (
     impute_mode,
 )
 from rinseworks.operators.quantiles import exact_quantiles
+from rinseworks.operators.spelling import basic_dictionary, correct_spelling
 from rinseworks.operators import repair
 from rinseworks.operators.duplicates import drop_duplicates
 from rinseworks.types import Issue, Strategy
@@ -56,6 +57,7 @@ POLICY: dict[str, list[Strategy]] = {
         Strategy("title_case", "capitalise words"),
     ],
     "leading_trailing_whitespace": [Strategy("strip_whitespace", "strip the text")],
+    "spelling_errors": [Strategy("correct_spelling", "replace misspelt words", {"columns": None, "dictionary": None})],
 }
 NO_ACTION = Strategy("no_action", "leave the data as it is")
 
@@ -186,6 +188,12 @@ def apply_strategy(df: DataFrame, issue: Issue, strategy: Strategy, key: str | N
             return repair.convert_case(df, column, strategy.name)
         case "strip_whitespace" if column:
             return repair.strip_whitespace(df, column)
+        case "correct_spelling" if not key:
+            raise ValueError("correct_spelling needs the name of a row id")
+        case "correct_spelling":
+            words = given.get("dictionary")
+            words = basic_dictionary(df.sparkSession) if words is None else words
+            return correct_spelling(df, key, given.get("columns") or [column], words)
         case _:
             return df
 
@@ -214,6 +222,8 @@ def rows_affected(df: DataFrame, issue: Issue, strategy: Strategy, after: DataFr
             test = (number(df, column) < F.lit(low)) | (number(df, column) > F.lit(high))
         case "remove_outliers" | "drop_duplicates" | "drop_rows":
             return df.count() - after.count()
+        case "correct_spelling":
+            return df.exceptAll(after).count()
         case _:
             return 0
     return df.agg(F.count_if(test)).first()[0]

@@ -554,6 +554,35 @@ def test_word_box_blocks_across_lines(spark):
     assert got[1].text.split()[0] == "w300" and got[1].text.split()[-1] == "w499"
 
 
+def test_spelling_of_several_columns_shuffles_few_words(spark):
+    """A misspelling in every row is spread by salt; words without a correction stay where they are."""
+    terms = spark.createDataFrame([("there", 5), ("house", 2), ("horse", 9)], "term string, freq bigint")
+    rows = [(i, f"Teh thare x{i} Hause " + "good words only " * 3, "thare" if i % 2 else None, "thare") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, `left alone` string").repartition(4)
+    out = {r.id: r for r in spelling.correct_spelling(df, "id", ["a", "b"], terms).collect()}
+    assert len(out) == 2_000 and out[3].a.startswith("Teh there x3 house good") and out[3].b == "there" and out[4].b is None
+    assert all(r["left alone"] == "thare" for r in out.values())
+    fixes = spelling.spelling_corrections(df, "a", terms)
+    asked = spelling._words_to_fix(df, "id", ["a", "b"], fixes)
+    share = asked.groupBy("word", "salt").count().agg(F.max("count"), F.sum("count")).first()
+    assert share[1] <= 1.01 * (2 * 2_000 + 1_000) and share[0] < 0.1 * share[1]
+    assert spelling.correct_spelling(df, "id", "a", terms).where("a like '%there x5 house%'").count() == 1
+
+
+def test_text_anomalies_of_all_columns(spark):
+    rows = [(i, "good zzzz qqqq", "plain good text", "caf\u00c3\u00a9 good" if i == 1 else "good") for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    terms = spark.createDataFrame([(w, 1) for w in ("good", "plain", "text", "caf")], "term string, freq bigint")
+    got = {(r.issue_type, r.column): (r.affected_rows, round(r.percentage, 2), r.severity) for r in spelling.detect_text_anomalies(df, None, terms).collect()}
+    assert got == {("spelling_errors", "a"): (20, 66.67, "medium"), ("encoding_issues", "c"): (1, 10.0, "low")}
+    assert {r.column for r in spelling.detect_text_anomalies(df, ["a", "id", "none"], terms).collect()} == {"a"}
+    issue = Issue("spelling_errors", "a", 20, 66.0, "medium", "")
+    (strategy,) = strategies.candidates("spelling_errors")
+    with pytest.raises(ValueError):
+        strategies.apply_strategy(df, issue, strategy)
+    assert strategies.apply_strategy(df, issue, strategy, key="id").count() == 10
+
+
 def test_order_table(spark):
     df = spark.createDataFrame(
         [("ORD-1", "CUST-7", "fry", "Rs 12.5", "2024-01-15", "wallet", "Soup"),

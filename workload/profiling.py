@@ -385,6 +385,27 @@ def detect_spelling_errors(t):
     return core(spelling.detect_spelling_errors(t.documents, "text", words))
 
 
+def column_tokens(table: str, columns: list[str]) -> str:
+    return "tok as (" + " union all ".join(
+        f"select '{c}' as c, w, count(*) as k from (select unnest(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+')) as w "
+        f"from {table}) x where regexp_matches(w, '^[a-z]+$') group by w" for c in columns
+    ) + ")"
+
+
+@query(
+    with_view("misdecoded_documents", pattern_cte("misdecoded_documents"), column_tokens("v", ["text", "code"]),
+              token_cte("benchmark", "dic"),
+              "s as (select c, sum(k) as n, sum(case when length(w) > 2 and w not in (select w from dic) then k else 0 end) as e from tok group by c)",
+              "m as (select c, n, marks + case when c = 'code' then wide else 0 end as e from t)")
+    + issue("spelling_errors", "c", "e", "100.0 * e / n", ladder("100.0 * e / n", None, 10), "from s where 100.0 * e / n > 5")
+    + " union all "
+    + issue("encoding_issues", "c", "e", "100.0 * e / n", ladder("e", None, 10), "from m where e > 0")
+)
+def detect_text_anomalies(t):
+    words = spelling.dictionary_from_text(t.benchmark, "text")
+    return core(spelling.detect_text_anomalies(t.misdecoded_documents, None, words))
+
+
 @query(
     with_view("misdecoded_documents", pattern_cte("misdecoded_documents"),
               "e as (select c, n, marks + case when c = 'code' then wide else 0 end as e from t)")

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rinseworks.frames import shared_folder, small_frame
+from rinseworks.frames import durable, shared_folder, small_frame
 from rinseworks.functions import constants as K
 from rinseworks.functions.expr import words
-from rinseworks.operators import audit, boxes, delimited, html, sections, spelling
+from rinseworks.operators import audit, boxes, delimited, html, repair, sections, spelling
+from rinseworks.plans import engine, strategies
 from rinseworks.sources import inventory, readers, writers
+from rinseworks.types import ISSUE_FIELDS, Issue
 from workload.catalog import COLUMNS, query, quote, rounded, strip_sql, with_view
 from workload.profiling import token_cte
 
@@ -495,6 +497,53 @@ def read_csv_permissive(t):
     return readers.read_csv_permissive(t.spark, folder, df.schema)
 
 
+@query(
+    with_view("dirty_customer")
+    + "select c_custkey, c_mktsegment, " + ", ".join(f"{strip_sql(c)} as {c}" for c in ("email", "phone", "balance_text")) + " from v"
+)
+def write_cleaned(t):
+    """Customers with stripped text, written in each format and read back as one of them."""
+    df = t.dirty_customer.select("c_custkey", "c_mktsegment", "email", "phone", "balance_text")
+    for c in ("email", "phone", "balance_text"):
+        df = repair.strip_whitespace(df, c)
+    df = durable(df)
+    back = []
+    for kind in ("json", "parquet"):
+        folder = _folder(t)
+        writers.write_cleaned(df, folder, kind)
+        back.append(readers.read_json(t.spark, folder, df.schema) if kind == "json" else t.spark.read.parquet(folder))
+    return back[0].intersectAll(back[1])
+
+
+@query(
+    "select s_suppkey, abs(s_acctbal) as s_acctbal, (select count(*) from supplier where s_acctbal < 0) as affected_rows, "
+    "'take_magnitude' as strategy from supplier"
+)
+def registered_repair(t):
+    """A detector and a strategy of the caller's own, registered, found, chosen and applied."""
+    df = t.supplier.select("s_suppkey", "s_acctbal")
+
+    def negative(frame):
+        below = F.count_if(F.col("s_acctbal") < 0)
+        return frame.agg(below.alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0").select(
+            F.lit("negative_balance").alias("issue_type"), F.lit("s_acctbal").alias("column"), F.col("n").alias("affected_rows"),
+            (100.0 * F.col("n") / F.col("rows")).alias("percentage"), F.lit("low").alias("severity"), F.lit("below zero").alias("description"),
+        )
+
+    strategies.register_detector("negative_balance", negative)
+    strategies.register_strategy("negative_balance", "take_magnitude", lambda frame, issue, _: frame.withColumn(issue.column, F.abs(issue.column)))
+    try:
+        found = engine.detect_issues(df).where("issue_type = 'negative_balance'")
+        (row,) = strategies.select_strategy(found, df).collect()
+        issue = Issue(**{k: row[k] for k in ISSUE_FIELDS})
+        chosen = next(s for s in strategies.candidates(issue.issue_type) if s.name == row["strategy"])
+        out = strategies.apply_strategy(df, issue, chosen)
+        return out.select("*", F.lit(issue.affected_rows).cast("bigint").alias("affected_rows"), F.lit(chosen.name).alias("strategy"))
+    finally:
+        strategies.unregister("negative_balance")
+        strategies.unregister("take_magnitude")
+
+
 @query(with_view("dirty_customer") + "select * from v")
 def read_json(t):
     folder = _folder(t)

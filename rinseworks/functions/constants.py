@@ -69,14 +69,17 @@ FILE_KINDS = {
 }
 
 # --- fixed values: words known without a dictionary table ---------------------
-BASIC_WORDS = (
-    "the be to of and a in that have i it for not on with he as you do at this but his "
-    "by from they she or an will my one all would there their what so up out if about "
-    "who get which go me when make can like time no just him know take people into year "
-    "your good some could them see other than then now look only come its over think "
-    "also back after use two how our work first well way even new want because any "
-    "these give day most us data value number text column row"
-).split()
+BASIC_WORDS = [
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on",
+    "with", "he", "as", "you", "do", "at", "this", "but", "his", "by", "from", "they", "she",
+    "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up",
+    "out", "if", "about", "who", "get", "which", "go", "me", "when", "make", "can", "like",
+    "time", "no", "just", "him", "know", "take", "people", "into", "year", "your", "good",
+    "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come",
+    "its", "over", "think", "also", "back", "after", "use", "two", "how", "our", "work",
+    "first", "well", "way", "even", "new", "want", "because", "any", "these", "give", "day",
+    "most", "us", "data", "value", "number", "text", "column", "row",
+]
 
 # --- fixed values: the order table read from word boxes -----------------------
 ORDER_COLUMNS = [

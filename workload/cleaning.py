@@ -8,7 +8,7 @@ from rinseworks.frames import small_frame
 from rinseworks.operators import duplicates, impute, quality, repair
 from rinseworks.plans import auto, engine, model_choice, strategies
 from rinseworks.types import ISSUE_SCHEMA, Issue
-from workload.catalog import COLUMNS, query, rounded, strip_sql, with_view
+from workload.catalog import COLUMNS, core, query, rounded, strip_sql, with_view
 from workload.profiling import (
     AUTO,
     COLUMN_DUPLICATES,
@@ -285,14 +285,23 @@ SELECT = """select issue_type, "column", affected_rows, case
   else 'no_action' end as strategy from i"""
 
 
-def engine_issues(view: str, repeated: list[str]) -> str:
+FOUND = 'select issue_type, "column", affected_rows, percentage, severity from i'
+
+
+def engine_issues(view: str, repeated: list[str], result: str = SELECT) -> str:
     parts = [missing_issue(), duplicate_issue(), COLUMN_DUPLICATES, outlier_issue(), MIXED_DATES,
              MIXED_DECIMALS, CURRENCY, WHITESPACE, WIDE, CASE]
     numbers = ", ".join(f"'{c}'" for c in cols(view, NUM))
     return with_view(
         view, f"m as ({_missing_sql(view)})", dup_cte(view), column_duplicate_cte(repeated),
         iqr_cte(cols(view, NUM)), pattern_cte(view), case_cte(view), f"i as ({' union all '.join(parts)})",
-    ) + SELECT.replace("{numbers}", numbers)
+    ) + result.replace("{numbers}", numbers)
+
+
+@query(engine_issues("dirty_customer", ["c_custkey", "c_nationkey", *cols("dirty_customer", TEXT)], FOUND))
+def detect_issues(t):
+    """Everything the detectors find, as the engine sees it."""
+    return core(engine.detect_issues(t.dirty_customer))
 
 
 @query(engine_issues("dirty_orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "sparse_num"]))

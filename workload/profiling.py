@@ -461,12 +461,6 @@ def cluster_similar(t):
     return similarity.cluster_similar(t.near_embeddings, "vec_id", "embedding", 0.4)
 
 
-@query()
-def detect_issues(t):
-    """Everything the detectors find, as the engine sees it."""
-    return engine.detect_issues(t.dirty_customer)
-
-
 # --- quality analysis --------------------------------------------------------
 
 

@@ -13,7 +13,8 @@ from rinseworks.operators import audit, boxes, delimited, html, repair, sections
 from rinseworks.plans import engine, strategies
 from rinseworks.sources import inventory, readers, writers
 from rinseworks.types import ISSUE_FIELDS, Issue
-from workload.catalog import COLUMNS, query, quote, rounded, strip_sql, with_view
+from workload.catalog import COLUMNS, core, query, quote, rounded, strip_sql, with_view
+from workload.cleaning import FOUND, engine_issues
 from workload.profiling import token_cte
 
 SPACES = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in K.WHITESPACE) + "]+"
@@ -136,7 +137,7 @@ def text_to_tabular(t):
 
 @query()
 def html_elements(t):
-    return html.html_elements(t.pages, "page_id", "html").drop("data")
+    return html.html_elements(t.pages, "page_id", "html").withColumn("data", F.to_json("data"))
 
 
 BARE = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g')"
@@ -567,13 +568,13 @@ def file_inventory(t):
     return found.select("name", "extension", "kind", "size", "accepted")
 
 
-def _stats_sql() -> str:
+def _sql_of(name: str) -> str:
     from workload.catalog import SQL
 
-    return SQL["dataset_stats"]
+    return SQL[name]
 
 
-@query(_stats_sql())
+@query(_sql_of("dataset_stats"))
 def write_profile(t):
     """The table part of a written profile, read back."""
     folder = _folder(t)
@@ -582,11 +583,29 @@ def write_profile(t):
     return t.spark.read.schema(", ".join(f"{n} bigint" for n in names)).json(f"{folder}/table")
 
 
+@query(_sql_of("column_profile"))
+def write_profile_columns(t):
+    """The columns part of a written profile, read back."""
+    folder = _folder(t)
+    writers.write_profile(t.lineitem, folder)
+    kinds = "position int, column string, data_type string, unique_values bigint, null_count bigint, null_percentage double, minimum double, maximum double, mean double, std double"
+    return rounded(t.spark.read.schema(kinds).json(f"{folder}/columns"), "null_percentage", "mean", "std")
+
+
+@query(engine_issues("dirty_orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "sparse_num"], FOUND))
+def write_report_issues(t):
+    """The issues of a written cleaning report, read back."""
+    folder = _folder(t)
+    _, report = engine.engine_clean(t.dirty_orders)
+    writers.write_report(t.spark, report, folder)
+    return core(t.spark.read.schema(
+        "issue_type string, column string, affected_rows bigint, percentage double, severity string, description string"
+    ).json(f"{folder}/issues"))
+
+
 @query()
 def write_report(t):
     """The actions of a written cleaning report, read back."""
-    from rinseworks.plans import engine
-
     folder = _folder(t)
     _, report = engine.engine_clean(t.dirty_orders)
     writers.write_report(t.spark, report, folder)

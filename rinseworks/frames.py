@@ -114,7 +114,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out when a scan has fewer tasks than there are cores.
 
     A small file of a single row group is one task; work that is heavy per row then uses
-    one core. Inputs with enough tasks are left alone, so large tables never shuffle.
+    one core. A table of fewer files than cores is shuffled once, one of more is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

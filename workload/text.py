@@ -517,8 +517,8 @@ def write_cleaned(t):
 
 
 @query(
-    "select s_suppkey, abs(s_acctbal) as s_acctbal, (select count(*) from supplier where s_acctbal < 0) as affected_rows, "
-    "'take_magnitude' as strategy from supplier"
+    "select s_suppkey, abs(s_acctbal) as s_acctbal, n as affected_rows, case when n > 0 then 'take_magnitude' else 'no_action' end as strategy "
+    "from supplier, (select count(*) as n from supplier where s_acctbal < 0) x"
 )
 def registered_repair(t):
     """A detector and a strategy of the caller's own, registered, found, chosen and applied."""
@@ -535,11 +535,12 @@ def registered_repair(t):
     strategies.register_strategy("negative_balance", "take_magnitude", lambda frame, issue, _: frame.withColumn(issue.column, F.abs(issue.column)))
     try:
         found = engine.detect_issues(df).where("issue_type = 'negative_balance'")
-        (row,) = strategies.select_strategy(found, df).collect()
-        issue = Issue(**{k: row[k] for k in ISSUE_FIELDS})
-        chosen = next(s for s in strategies.candidates(issue.issue_type) if s.name == row["strategy"])
-        out = strategies.apply_strategy(df, issue, chosen)
-        return out.select("*", F.lit(issue.affected_rows).cast("bigint").alias("affected_rows"), F.lit(chosen.name).alias("strategy"))
+        out, affected, name = df, 0, strategies.NO_ACTION.name
+        for row in strategies.select_strategy(found, df).collect():  # one issue at most
+            issue = Issue(**{k: row[k] for k in ISSUE_FIELDS})
+            chosen = next(s for s in strategies.candidates(issue.issue_type) if s.name == row["strategy"])
+            out, affected, name = strategies.apply_strategy(out, issue, chosen), issue.affected_rows, chosen.name
+        return out.select("*", F.lit(affected).cast("bigint").alias("affected_rows"), F.lit(name).alias("strategy"))
     finally:
         strategies.unregister("negative_balance")
         strategies.unregister("take_magnitude")

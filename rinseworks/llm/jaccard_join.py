@@ -40,6 +40,9 @@ from rinseworks.llm.words import pieces, signed, windows, word_numbers
 SKETCH_BITS = 22
 _CHUNK = 1 << 14
 BLOCK = 48
+#: Blocks that go together where the rest of a large cell is searched: each set is shipped that
+#: many times less often, and a task holds so many blocks of either side.
+TOGETHER = 8
 SHORT = 8
 BROADCAST_ROWS = 500_000
 
@@ -252,8 +255,11 @@ def _components(
                     [part.column("entry"), pa.array([s.tobytes() for s in sets], pa.binary())], ["entry", "grams"]
                 ).filter(pa.array(right, pa.bool_()))
 
-    # Rows equal in doc_id and text all give their set: one of them stays.
-    sets = durable(texts.mapInArrow(to_sets, "entry long, grams binary").dropDuplicates(["entry"]))
+    sets = texts.mapInArrow(to_sets, "entry long, grams binary")
+    found = marked.join(F.broadcast(wanted) if small else wanted, marked.doc_id.eqNullSafe(wanted.id) & (marked["_hash"] == wanted["hash"]))
+    if found.count() > wanted.count():  # rows equal in doc_id and text all give their set: one of them stays
+        sets = sets.dropDuplicates(["entry"])
+    sets = durable(sets)
 
     def within(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry")
@@ -277,15 +283,15 @@ def _components(
             known.join(heads.select("pivot", F.coalesce("root", "pivot").alias("head")), "pivot")
         )
         open_ = known.where("root <> head")
-        per_cell = open_.groupBy("pivot").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
+        per_cell = open_.groupBy("pivot").agg(F.ceil(F.count("*") / (TOGETHER * block)).alias("parts"))
         asking = open_.join(per_cell, "pivot").select(
             "pivot", F.expr("pmod(xxhash64(pivot, entry), parts)").alias("part"),
-            F.explode(F.expr("sequence(0L, int((blocks - 1) / 2))")).alias("block"),
+            F.explode(F.expr(f"sequence(0L, int((blocks - 1) / {TOGETHER}))")).alias("block"),
             "entry", F.lit(True).alias("asks"), "root",
         )
         answering = known.join(per_cell, "pivot").select(
             "pivot", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"),
-            F.expr("int(block / 2)").cast("long").alias("block"), "entry", F.lit(False).alias("asks"), "root",
+            F.expr(f"int(block / {TOGETHER})").cast("long").alias("block"), "entry", F.lit(False).alias("asks"), "root",
         )
 
         def across(table: pa.Table) -> pa.Table:

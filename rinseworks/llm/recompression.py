@@ -30,6 +30,8 @@ from rinseworks.llm.words import mix, pieces, powers, signed, split, word_number
 WINDOW = 35
 ROUNDS = 3
 BROADCAST_ROWS = 500_000
+#: Bytes of text that a task works on at a time; its arrays take about a hundred times as much.
+RUN = 1 << 20
 
 
 def recompressed(numbers: np.ndarray, first: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,7 +147,7 @@ def remove_repeats(
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=RUN):
                 numbers, first = word_numbers(part.column("text"))
                 starts, key, place = standing(numbers, first, window, rounds)
                 keys, counts, again = [], [], []
@@ -198,7 +200,7 @@ def remove_repeats(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=RUN):
                 numbers, first = word_numbers(part.column("text"))
                 starts, key, _ = standing(numbers, first, window, rounds)
                 cuts = np.searchsorted(starts, first)
@@ -247,7 +249,7 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=RUN):
                 rows = []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     entry = part.column("entry")[i].as_py()

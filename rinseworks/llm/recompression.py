@@ -179,17 +179,18 @@ def remove_repeats(
     marked = durable(docs.mapInArrow(
         mark, "doc_id long, hash long, n_words long, entry binary, whole string, keys array<long>, again int"
     ))
-    symbols = marked.select("entry", F.posexplode("keys").alias("at", "key"), "again").select(
-        "entry", "key", (F.col("at") < F.col("again")).alias("again")
+    # Half of a name is enough to ask whether two texts share a symbol, and there are many symbols.
+    symbols = marked.select(F.xxhash64("entry").alias("half"), F.posexplode("keys").alias("at", "key"), "again").select(
+        "half", "key", (F.col("at") < F.col("again")).alias("again")
     )
-    shared = symbols.groupBy("key").agg(F.min("entry").alias("a"), F.max("entry").alias("b"), F.max("again").alias("again"))
+    shared = symbols.groupBy("key").agg(F.min("half").alias("a"), F.max("half").alias("b"), F.max("again").alias("again"))
     shared = durable(shared.where("a <> b or again").select("key"))
     small = shared.count() <= broadcast_rows
-    hits = symbols.join(F.broadcast(shared) if small else shared, "key").select("entry", "key").distinct()
-    hits = hits.groupBy("entry").agg(F.collect_list("key").alias("keys"))  # at most a text's own symbols
+    hits = symbols.join(F.broadcast(shared) if small else shared, "key").select("half", "key").distinct()
+    hits = hits.groupBy("half").agg(F.collect_list("key").alias("keys"))  # at most a text's own symbols
     classes = marked.groupBy("entry").agg(F.min(F.struct("doc_id", "hash")).alias("k"), F.count("*").alias("copies"))
     classes = classes.select("entry", F.col("k.doc_id").alias("id"), F.col("k.hash").alias("of"), "copies")
-    suspects = durable(hits.join(classes, "entry"))
+    suspects = durable(hits.join(classes.withColumn("half", F.xxhash64("entry")), "half"))
     copies = classes.where("copies > 1")
 
     def with_texts(frame: DataFrame, load: str) -> DataFrame:

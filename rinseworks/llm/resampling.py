@@ -1,7 +1,7 @@
 """Importance resampling: a draw of documents whose n-grams resemble a target's.
 
 Words are found and joined into runs of one to three by Arrow kernels on batches of texts.
-``ascii_lower``, ``split_pattern_regex`` and ``list_flatten`` give the words of a batch and
+``split_pattern_regex``, ``list_flatten`` and ``ascii_lower`` give the words of a batch and
 ``dictionary_encode`` their distinct ones. The index of a run joined with that of the next
 word is a pair, dictionary-encoded again; only distinct pairs get a checksum, from the
 checksums of their parts, and ``take`` hands it to their places. Sums over stretches of
@@ -29,18 +29,19 @@ from rinseworks.llm.learning import summed
 from rinseworks.llm.words import pieces
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
-SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lowered
 _POLYNOMIAL = 0xEDB88320
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch of texts in order, and the word at which each text starts."""
-    split = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")), SEPARATOR)
+    split = pc.split_pattern_regex(texts.cast(pa.large_string()).fill_null(""), SEPARATOR)
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(split)
     real = pc.not_equal(pc.binary_length(flat), 0)
     before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return flat.filter(real), before[np.concatenate([[0], np.cumsum(lengths)])]
+    # The words are lowered, not the texts: ascii_lower misreads a slice that was cast.
+    return pc.ascii_lower(flat.filter(real)), before[np.concatenate([[0], np.cumsum(lengths)])]
 
 
 def _shift_tables(steps: int) -> np.ndarray:

@@ -80,6 +80,23 @@ def test_runs_do_not_cross_texts():
     assert [len(b) for b, _ in r.features(pa.array([None, ""], pa.string()))] == [0, 0, 0]
 
 
+def test_slices_of_a_batch_have_their_own_words():
+    texts = ["One, two", "ÄPFEL b2b", "", "C d-e", " ", "LAST"]
+    for start, size in [(s, n) for s in range(6) for n in (1, 2, 6)]:
+        found, first = r.words(pa.array(texts).slice(start, size))
+        want = [WORD.findall(lower(t)) for t in texts[start : start + size]]
+        assert found.to_pylist() == sum(want, [])
+        assert np.diff(first).tolist() == [len(w) for w in want]
+
+
+def test_texts_of_several_pieces(spark):
+    docs = [(i, f"Word{i} AND more " * 60_000) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x for x in r.resample(frame, spark.createDataFrame([(1, "word3 and")], "item_id long, text string")).collect()}
+    assert {x.n_features for x in got.values()} == {3 * 180_000 - 3}
+    assert max(got.values(), key=lambda x: x.weight).doc_id == 3
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert r.resample(empty, empty).collect() == []

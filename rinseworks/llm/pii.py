@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from rinseworks.frames import durable
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 PRECISION = 0.98
 
 #: Base patterns. Repetition is possessive and starts only where a run of characters does,
@@ -152,7 +151,7 @@ def _measured(text: str, kind: str) -> str:
         struct('{kind}' as kind, x.s as s, x.e as e, ({overlap}) as sure, {label} as label, {fields}))[0])"""
 
 
-def find_spans(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find_spans(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """The rows of ``docs`` without their text, with ``row``, a number of the row; ``base``,
     the base spans ``(kind, s, e)`` by kind and start; and ``spans``, all spans likewise.
 
@@ -174,7 +173,7 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISI
     ))
     # Row numbers are read back from the written table, so they stay the same.
     candidates = durable(found.select("row", F.inline("candidates")))
-    fresh = _accepted(candidates, sample, precision)
+    fresh = _accepted(candidates, precision)
     empty = F.expr("cast(array() as array<struct<kind:int,s:int,e:int>>)")
     if fresh is None:
         return found.drop("candidates").withColumn("spans", F.col("base"))
@@ -184,11 +183,13 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISI
     )
 
 
-def _accepted(candidates: DataFrame, sample: int, precision: float) -> DataFrame | None:
-    """Candidates beside the base spans whose score reaches the calibrated threshold."""
+def _accepted(candidates: DataFrame, precision: float) -> DataFrame | None:
+    """Candidates beside the base spans whose score reaches the calibrated threshold.
+
+    Every candidate with a label takes part: three of four parts train, one calibrates.
+    """
     part = F.pmod(F.xxhash64("row", "s", "e"), F.lit(4))
-    chosen = candidates.where("label is not null").orderBy(F.xxhash64("row", "s", "e", "kind")).limit(sample)
-    learning = durable(chosen.withColumn("part", part))
+    learning = durable(candidates.where("label is not null").withColumn("part", part))
     counts = {r.label: r["count"] for r in learning.where("part > 0").groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
         return None

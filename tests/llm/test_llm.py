@@ -279,6 +279,21 @@ def test_pii_trees_add_what_no_exact_pattern_finds(spark):
     assert not any(got[i].spans for i in range(0, 600, 3))
 
 
+def test_pii_trees_learn_from_every_labelled_candidate(spark, monkeypatch):
+    rows = [(i, " ; ".join([f"order 2024-03-{10 + i % 18}", f"call +1 (415) 555-{1000 + i}"] * 50)) for i in range(300)]
+    learnt = []
+
+    class Counted(pii.GBTClassifier):
+        def fit(self, learning):
+            learnt.append(learning.count())
+            return super().fit(learning)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Counted)
+    found = pii.find_spans(frame(spark, rows))
+    assert found.selectExpr("sum(size(base))").first()[0] == 15_000
+    assert abs(learnt[0] - 30_000 * 3 / 4) < 500
+
+
 def test_decontamination(spark):
     item = "Tom has 5 apples and gives 3 apples to Ann who then walks 12 km with Tom to buy 5 pears"
     other = item.replace("5", "9").replace("Tom", "Max").replace("Ann", "Eva").replace("12", "40")

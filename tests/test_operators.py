@@ -4,6 +4,7 @@ import csv
 import datetime
 import io
 import json
+import inspect
 import math
 import random
 
@@ -337,6 +338,22 @@ def test_similar_pairs_match_brute_force(spark):
         assert got == want and total == len(want)
 
 
+def test_vectors_visit_few_cells(spark):
+    """20,000 vectors that spread evenly: without pruning each still meets the others in few copies."""
+    units = np.random.default_rng(8).normal(size=(20_000, 16))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(20_000), "copies": 1, "unit": list(units)})).repartition(4)
+    block = inspect.signature(similarity.similar_pairs).parameters["block"].default
+    members, visitors = similarity._cells(df, math.acos(0.5), block, None)
+    assert members.count() == 20_000 and visitors.count() <= 40_000
+    likeness = units @ units.T
+    found = similarity._distinct_pairs(df, 0.8, block, None)
+    assert found.count() == int((np.triu(likeness, 1) > 0.8).sum()) > 0
+    rows = pd.DataFrame({"unit": list(units[:5_000])})
+    i, j, _ = similarity._likely(rows, rows, 0.8, math.acos(0.8))
+    assert set(zip(i, j)) == set(zip(*np.nonzero(np.triu(likeness[:5_000, :5_000], 1) > 0.8)))
+
+
 def test_pivot_cells_stay_small(spark):
     """10,000 vectors and at most four pivots a level: no cell is larger than a block."""
     rng = np.random.default_rng(4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,8 @@ from rinseworks.types import ISSUE_SCHEMA
 # Bits of the filter over corrections, and rows that a correction is copied to.
 FILTER_BITS = 1 << 20
 SALTS = 16
+# Rows of a batch whose words are replaced at a time.
+ROWS = 64
 
 _WORD = re.compile(r"\w+")
 
@@ -215,9 +217,12 @@ def _words_to_fix(df: DataFrame, key: str, columns: list[str], fixes: DataFrame)
     )
 
 
-@F.pandas_udf(T.StringType())
-def _replace_words(texts: pd.Series, fixes: pd.Series) -> pd.Series:
-    """Whole words looked up in the row's own fixes (a map has no hashed look-up in SQL)."""
+@F.arrow_udf(T.StringType())
+def _replace_words(texts: pa.Array, fixes: pa.Array) -> pa.Array:
+    """Whole words looked up in the row's own fixes (a map has no hashed look-up in SQL).
+
+    Few rows at a time are Python objects, whatever the size of the batch.
+    """
 
     def corrected(text, fix):
         if fix is None or text is None:
@@ -225,4 +230,8 @@ def _replace_words(texts: pd.Series, fixes: pd.Series) -> pd.Series:
         known = dict(fix)
         return _WORD.sub(lambda m: known.get(m[0].lower(), m[0]), text)
 
-    return pd.Series([corrected(t, f) for t, f in zip(texts, fixes)])
+    parts = [
+        pa.array(map(corrected, texts.slice(k, ROWS).to_pylist(), fixes.slice(k, ROWS).to_pylist()), pa.string())
+        for k in range(0, len(texts), ROWS)
+    ]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])

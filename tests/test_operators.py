@@ -7,9 +7,11 @@ import json
 import inspect
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +408,24 @@ def test_clusters_match_greedy(spark):
 # --- text --------------------------------------------------------------------
 
 
+def test_python_holds_few_pages_and_texts_at_a_time():
+    """Batches of 3,000 rows; all their elements or fixes as Python objects take over 100 MB."""
+    pages = ["<p>" + "</p><p>".join(f"text {i} of {k}" for i in range(200)) + "</p>" for k in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(pages)], ["key", "html"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in html._elements(iter([batch]))) == 600_000
+    most = tracemalloc.get_traced_memory()[1]
+    fixes = pa.array([[(f"w{i}{k}", f"v{i}{k}") for i in range(200)] for k in range(3_000)], pa.map_(pa.string(), pa.string()))
+    texts = pa.array([f"a w1{k} b" for k in range(3_000)])
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert spelling._replace_words.func(texts, fixes).to_pylist() == [f"a v1{k} b" for k in range(3_000)]
+    more = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert most < 20e6 and more < 20e6
+    assert spelling._replace_words.func(pa.array([], pa.string()), pa.array([], fixes.type)).to_pylist() == []
+
+
 def test_sections(spark):
     lines = ["Log", "====", ""] + [f"2024-01-15 09:23:{i:02d} - A: hello" for i in range(14)]
     many = "\n".join(f"l{i}" for i in range(23))

@@ -15,10 +15,13 @@ bounded blocks the same search then merges short lists and probes the long ones.
    needed(n, m) - ceil(m * percent / 100) + 1 lists, which drops most chance meetings.
 4. Of the other lists each names its smallest entry as pivot. Lists with mostly the same
    members name the same pivot, so the members of a cell (all lists with one pivot) hold
-   every pair that meets in such a list. Cells are cut into blocks of bounded size. Every block is searched with its pivot;
+   every pair that meets in such a list. Cells are cut into blocks of bounded size.
+5. In cells of one block a bitmap filter leaves out entries that can link with no other: a set
+   hashed to ``BITS`` bits differs from another in at most as many bits as the sets differ
+   in grams. Only the sets of the rest travel. Every block is searched with its pivot;
    where a cell has more blocks, only entries that are not yet connected to the pivot are
    searched in the other blocks.
-5. Links become components; see :mod:`rinseworks.llm.components`.
+6. Links become components; see :mod:`rinseworks.llm.components`.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ BLOCK = 48
 #: many times less often, and a task holds so many blocks of either side.
 TOGETHER = 8
 SHORT = 8
+#: Bits of a set's bitmap; sets of many more grams fill it and pass the filter.
+BITS = 2048
 BROADCAST_ROWS = 500_000
 
 
@@ -90,6 +95,30 @@ def set_digest(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else 0
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """The bits that the numbers of a set fall on."""
+    bits = np.zeros(BITS, bool)
+    bits[(grams & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(bits: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets can link with another one, by their bitmaps (rows of bytes) and sizes.
+
+    Sets that differ in d grams have bitmaps that differ in at most d bits, so a large
+    difference bounds the overlap; no set that links is left out.
+    """
+    words = np.ascontiguousarray(bits).view(np.uint64)
+    out = np.zeros(len(words), bool)
+    for i, n in enumerate(sizes):
+        differ = np.bitwise_count(words ^ words[i]).sum(axis=1, dtype=np.int64)
+        near = sizes + n - differ >= 2 * needed(n, sizes, percent)
+        near &= (100 * sizes >= percent * n) & (percent * sizes <= 100 * n)
+        near[i] = False
+        out[i] = near.any()
+    return out
+
+
 def needed(n: int | np.ndarray, m: int | np.ndarray, percent: int):
     """The least overlap of linked sets of n and m grams."""
     return -(-percent * (n + m) // (100 + percent))
@@ -197,22 +226,23 @@ def _components(
                         *(part.column(k) for k in [*keys, "_hash"]),
                         pa.array(n),
                         pa.array([set_digest(s) for s in sets], pa.int64()),
+                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(
                             np.concatenate([[0], np.cumsum(shortest)]).astype(np.int32),
                             signed(np.concatenate([s[:k] for s, k in zip(sets, shortest)] or [np.zeros(0, np.uint64)])),
                         ),
                     ],
-                    ["doc_id", *keys, "_hash", "n_shingles", "entry", "lists"],
+                    ["doc_id", *keys, "_hash", "n_shingles", "entry", "bits", "lists"],
                 )
 
     carried = "".join(f"{k} long, " for k in [*keys, "_hash"])
-    marked = durable(docs.mapInArrow(grams, f"doc_id long, {carried}n_shingles long, entry long, lists array<long>"))
+    marked = durable(docs.mapInArrow(grams, f"doc_id long, {carried}n_shingles long, entry long, bits binary, lists array<long>"))
     postings = marked.select("entry", F.col("n_shingles").alias("n"), F.explode("lists").alias("list"))
     shared = postings.groupBy("list").agg(
         F.min("entry").alias("pivot"), F.max("entry").alias("last"), F.count("*").alias("length")
     )
     shared = durable(shared.where("pivot <> last").select("list", "pivot", "length"))
-    met = postings.join(shared.hint("merge"), "list")  # the same way at every size
+    met = durable(postings.join(shared.hint("merge"), "list"))  # the same way at every size
 
     few = met.where(F.col("length") <= short).groupBy("list").agg(
         F.array_sort(F.collect_set(F.struct("entry", "n"))).alias("e")  # at most ``short``
@@ -236,12 +266,27 @@ def _components(
         cells.join(per_cell, "pivot").withColumn("block", F.expr("pmod(xxhash64(entry, pivot), blocks)"))
     )
 
-    # One text for each entry that is in a cell.
-    wanted = cells.select("entry").union(cells.select(F.col("pivot").alias("entry"))).distinct()
+    # One row for each entry that is in a cell.
+    wanted = durable(cells.select("entry").union(cells.select(F.col("pivot").alias("entry"))).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     wanted = durable(
-        marked.groupBy("entry").agg(F.min(F.struct("doc_id", "_hash")).alias("k")).join(wanted, "entry", "left_semi")
-        .select("entry", F.col("k.doc_id").alias("id"), F.col("k._hash").alias("hash"))
+        marked.join(wanted, "entry", "left_semi").groupBy("entry")
+        .agg(F.min(F.struct("doc_id", "_hash", "n_shingles", "bits")).alias("k"))
+        .select("entry", F.col("k.doc_id").alias("id"), F.col("k._hash").alias("hash"), "k.n_shingles", "k.bits")
     )
+
+    def filtered(table: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(table), -1)
+        kept = may_link(bits, table.column("n_shingles").to_numpy(), percent)
+        return table.select(["pivot", "block", "entry"]).filter(pa.array(kept, pa.bool_()))
+
+    placed = cells.select("pivot", "block", "entry", "blocks").union(
+        cells.select("pivot", "block", F.col("pivot").alias("entry"), "blocks").distinct()
+    )
+    alone = placed.where("blocks = 1").join(wanted.select("entry", "n_shingles", "bits"), "entry")
+    alone = alone.groupBy("pivot", "block").applyInArrow(filtered, "pivot long, block long, entry long")
+    placed = durable(alone.union(placed.where("blocks > 1").select("pivot", "block", "entry")))
+    wanted = durable(wanted.select("entry", "id", "hash").join(placed.select("entry").distinct(), "entry", "left_semi"))
     small = wanted.count() <= broadcast_rows
     same = docs.doc_id.eqNullSafe(wanted.id) & (docs["_hash"] == wanted["hash"])
     texts = docs.join(F.broadcast(wanted) if small else wanted, same).select("entry", "text")
@@ -266,9 +311,7 @@ def _components(
         found = _sets(table.column("grams"))
         return _spanning(table.column("entry").to_numpy(), search(found, found, percent))
 
-    placed = cells.select("pivot", "block", "entry").union(
-        cells.select("pivot", "block", F.col("pivot").alias("entry")).distinct()
-    )
+    placed = F.broadcast(placed) if placed.count() <= broadcast_rows else placed
     links = durable(placed.join(sets, "entry").groupBy("pivot", "block").applyInArrow(within, "a long, b long"))
 
     # Cells of several blocks: what is not yet connected to the pivot meets the other blocks.

@@ -78,6 +78,26 @@ def test_jaccard_components(spark, limits):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({top(i) for i in sets})
 
 
+def test_jaccard_bitmaps_leave_out_only_what_cannot_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 7, 300, 700, 6000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for changed in (0, n // 20, n // 10, n // 9, n // 3, n):
+            new = rng.integers(0, 1 << 63, changed, np.uint64)
+            sets.append(np.unique(np.concatenate([base[changed:], new, new[: n // 50]])))
+    links = np.zeros(len(sets), bool)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            common = len(np.intersect1d(x, y))
+            links[i] |= i != j and 100 * common >= 80 * (len(x) + len(y) - common)
+    bits = np.frombuffer(b"".join(map(jaccard_join.bitmap, sets)), np.uint8).reshape(len(sets), -1)
+    kept = jaccard_join.may_link(bits, np.array(list(map(len, sets))), 80)
+    assert (kept | ~links).all()
+    chance = np.array([len(x) in range(250, 800) for x in sets]) & ~links
+    assert chance.sum() >= 4 and not kept[chance].any()
+
+
 def test_jaccard_awkward_keys(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (7, "x"), (7, "x"), (7, "y z"), (None, None)]
     got = jaccard_join.jaccard_components(frame(spark, rows)).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,26 +62,26 @@ def word_boxes_to_blocks(
     return extract_patterns(out, "text") if patterns else out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _header_names(headers: pd.Series) -> pd.Series:
-    """Names close to an expected one take it; repeated names get a number."""
-    known: dict[str, str] = {}
+@lru_cache(1 << 14)
+def _closest(name: str, cutoff: float) -> str | None:
+    """The expected column with the most similar name, if one is similar enough."""
+    return next(iter(difflib.get_close_matches(name, K.ORDER_COLUMNS, n=1, cutoff=cutoff)), None)
 
-    def closest(name: str) -> str:
-        if name not in known:
-            near = difflib.get_close_matches(name, K.ORDER_COLUMNS, n=1, cutoff=0.6)
-            known[name] = near[0] if near else name
-        return known[name]
 
-    def unique(names) -> list[str]:
-        seen: dict[str, int] = {}
-        out = []
-        for name in map(closest, names):
-            seen[name] = seen.get(name, -1) + 1
-            out.append(f"{name}_{seen[name]}" if seen[name] else name)
-        return out
+@lru_cache(1 << 14)
+def _unique_names(names: tuple[str, ...]) -> list[str]:
+    seen: dict[str, int] = {}
+    out = []
+    for name in (_closest(x, 0.6) or x for x in names):
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}_{seen[name]}" if seen[name] else name)
+    return out
 
-    return headers.map(unique)
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _header_names(headers: pd.Series) -> pd.Series:
+    """Names close to an expected one take it; repeated names get a number."""
+    return headers.map(lambda names: _unique_names(tuple(names)))
 
 
 def _header_cells(words: Column) -> Column:
@@ -111,14 +112,15 @@ def word_boxes_to_table(df: DataFrame, doc: str) -> DataFrame:
     header is the line with most words among the five top-most; its words merge into one
     header cell when at most 18 apart. Words of lower lines go to the header cell that
     contains their centre, else to the nearest. Pages with fewer than eight confident
-    words or two header cells have no table. A line travels as one row, as it does in
-    the result; pages are never gathered.
+    words or two header cells have no table. A line is one row, as it is in the result, and
+    is shuffled twice, as words and by page; the lines of a page pass through one task in
+    order and are never held together.
     """
     return _table_cells(df, doc).where(F.col("value") != "").drop("position").withColumnRenamed("doc", doc)
 
 
-def _table_cells(df: DataFrame, doc: str) -> DataFrame:
-    """All cells of the tables, empty ones too, with the ``position`` of their column."""
+def _table_lines(df: DataFrame, doc: str) -> DataFrame:
+    """Lines of the tables with their ``cells (column, value, position)``, empty ones too."""
     line = ["doc", "block_num", "par_num", "line_num"]
     words = df.select(
         ref(doc).alias("doc"),
@@ -127,62 +129,59 @@ def _table_cells(df: DataFrame, doc: str) -> DataFrame:
         "line_num",
         *[F.coalesce(ref(c).cast("double"), F.lit(0.0)).alias(c) for c in ("left", "top", "width")],
         "text",
-    ).where((F.coalesce(ref("conf").cast("double"), F.lit(-1.0)) > 35) & (strip(ref("text")) != ""))
-    lines = durable(
-        words.groupBy(*line).agg(
-            F.array_sort(F.collect_list(F.struct("left", "text", "width"))).alias("words"),
-            F.percentile("top", 0.5).alias("line_top"),
-            F.count(F.lit(1)).alias("line_words"),
-        )
+    ).where(
+        F.col("doc").isNotNull()
+        & (F.coalesce(ref("conf").cast("double"), F.lit(-1.0)) > 35) & (strip(ref("text")) != "")
     )
-    enough = lines.groupBy("doc").agg(F.sum("line_words").alias("n")).where(F.col("n") >= 8)
+
+    def median(tops):
+        low, high = F.get(tops, F.floor((F.size(tops) - 1) / 2).cast("int")), F.get(tops, F.floor(F.size(tops) / 2).cast("int"))
+        return F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+
+    lines = words.groupBy(*line).agg(
+        F.array_sort(F.collect_list(F.struct("left", "text", "width"))).alias("words"),
+        F.sort_array(F.collect_list("top")).alias("tops"),
+    ).select(*line, "words", median(F.col("tops")).alias("line_top"), F.size("words").alias("line_words"))
     from_top = Window.partitionBy("doc").orderBy("line_top", "block_num", "par_num", "line_num")
-    header = (
-        lines.select(*line, "line_top", "line_words")
-        .withColumn("place", F.row_number().over(from_top))
-        .where(F.col("place") <= 5)
-        .groupBy("doc")
-        .agg(
-            F.min_by(
-                F.struct("block_num", "par_num", "line_num"),
-                F.struct((-F.col("line_words")).alias("w"), F.col("place")),
-            ).alias("h")
-        )
-        .select("doc", "h.*")
-        .join(enough, "doc", "left_semi")
-    )
-    layout = (
-        lines.join(header, line, "left_semi")
-        .select(
-            "doc", F.col("line_top").alias("header_top"), _header_cells(F.col("words")).alias("cells")
-        )
-        .where(F.size("cells") >= 2)
-        .withColumn("names", _header_names(F.transform("cells", lambda c: strip(c["name"]))))
+    page = from_top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    title = F.struct("block_num", "par_num", "line_num", "line_top", "words")
+    first = F.when(F.col("place") <= 5, F.struct((-F.col("line_words")).alias("w"), F.col("place")))
+    headed = (
+        lines.withColumn("place", F.row_number().over(from_top))
+        .withColumns({"h": F.min_by(title, first).over(page), "n": F.sum("line_words").over(page)})
+        .where((F.col("n") >= 8) & F.col("h.block_num").isNotNull() & F.col("h.par_num").isNotNull() & F.col("h.line_num").isNotNull())
+        .withColumn("header_top", F.col("h.line_top"))
+        .withColumn("found", F.when(F.col("place") == 1, _header_cells(F.col("h.words"))))
+        .drop("h", "n")
     )
+    # The first line of a page hands its header's cells on to the others.
+    so_far = from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid_out = headed.withColumn("found", F.first("found").over(so_far)).where(
+        (F.size("found") >= 2) & (F.col("line_top") > F.col("header_top") + 2)
+    ).withColumn("names", _header_names(F.transform("found", lambda c: strip(c["name"]))))
 
     def column_of(word):
         centre = word["left"] + word["width"] / 2
         gaps = F.transform(
-            "cells", lambda c: F.greatest(c["low"] - centre, centre - c["high"], F.lit(0.0))
+            "found", lambda c: F.greatest(c["low"] - centre, centre - c["high"], F.lit(0.0))
         )
-        return F.get("names", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
-
-    def cell(name, position):
-        here = F.filter("placed", lambda w: w["column"] == name)
-        text = F.array_join(F.transform(here, lambda w: w["text"]), " ")
-        return F.struct(name.alias("column"), text.alias("value"), position.alias("position"))
-
-    return (
-        lines.join(layout, "doc")
-        .where(F.col("line_top") > F.col("header_top") + 2)
-        .withColumn(
-            "placed",
-            F.transform(
-                "words", lambda w: F.struct(column_of(w).alias("column"), w["text"].alias("text"))
-            ),
-        )
-        .select(*line, F.inline(F.transform("names", cell)))
-    )
+        return let(gaps, lambda g: F.get("names", F.array_position(g, F.array_min(g)).cast("int") - 1))
+
+    def cells(placed):
+        def cell(name, position):
+            here = F.filter(placed, lambda w: w["column"] == name)
+            text = F.array_join(F.transform(here, lambda w: w["text"]), " ")
+            return F.struct(name.alias("column"), text.alias("value"), position.alias("position"))
+
+        return F.transform("names", cell)
+
+    placed = F.transform("words", lambda w: F.struct(column_of(w).alias("column"), w["text"].alias("text")))
+    return laid_out.select(*line, let(placed, cells).alias("cells"))
+
+
+def _table_cells(df: DataFrame, doc: str) -> DataFrame:
+    """All cells of the tables, empty ones too, with the ``position`` of their column."""
+    return _table_lines(df, doc).select("doc", "block_num", "par_num", "line_num", F.inline_outer("cells"))  # never empty; outer, as the cells are then computed once
 
 
 # --- roles of the columns of an order table ----------------------------------

@@ -8,6 +8,7 @@ import inspect
 import math
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -508,6 +509,36 @@ def test_word_box_table(spark):
     assert boxes.word_boxes_to_table(few, "doc").count() == 0
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_word_box_tables_shuffle_lines_once_by_page(spark):
+    """Pages with gaps in their keys, and one of many lines, against a loop; two shuffles in all."""
+    rng = random.Random(11)
+    rows = []
+    for d, block, lines in ((1, 1, 12), (2, None, 12), (None, 1, 12), (3, 1, 700), (4, 1, 2)):
+        for i in range(lines):
+            for j, name in enumerate(("Itm", "Price", "Price")):
+                text = name if i == 0 else rng.choice([f"w{i}", "x", " "])
+                rows.append((d, block, 1, i, 100.0 * j, 20.0 * i, 30.0, None if rng.random() < 0.1 and i else 90, text))
+    rows += [(4, 1, 1, 0, 300.0, 1.0, 30.0, 90, "Zz")] + [(2, 5, 1, 9, 0.0, 500.0, 30.0, 90, "late")]
+    df = spark.createDataFrame(
+        rows, "doc int, block_num int, par_num int, line_num int, left double, top double, width double, conf int, text string"
+    ).repartition(3)
+    want = Counter()
+    for d, block, _, i, left, _, _, conf, text in rows:
+        if d in (1, 3) and i and (conf or 0) > 35 and text.strip():  # 4 has too few words, 2 no block, None no page
+            want[d, block, 1, i, ("Item", "Price", "Price_1")[int(left // 100)], text] += 1
+    assert Counter(tuple(r) for r in boxes.word_boxes_to_table(df, "doc").collect()) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffles(boxes.word_boxes_to_table(df, "doc")) <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_word_box_blocks_of_one_line_over_many_tasks(spark):
     """A document of one line of 5,000 words, beside small ones, against a loop."""
     rng = random.Random(5)

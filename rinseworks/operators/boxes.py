@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rinseworks.frames import durable
 from rinseworks.functions import constants as K
-from rinseworks.functions.expr import let, ref, strip
+from rinseworks.functions.expr import contains_any, let, ref, strip
 from rinseworks.operators.sections import extract_patterns
 
 def _joined(order: list[str], word: str) -> Column:
@@ -192,7 +192,7 @@ def _as_number(v: Column) -> Column:
 
     A gap, which is the text ``nan`` here, is a number that is not finite.
     """
-    plain = F.regexp_replace(v, ",", "")
+    plain = F.replace(v, F.lit(","), F.lit(""))
     return F.when(F.lower(v) == "nan", F.lit(float("nan"))).when(
         plain.rlike(K.NUMERIC_LITERAL), plain.try_cast("double")
     )
@@ -253,18 +253,18 @@ def parsed_date(v: Column) -> Column:
             found.append(F.when(low.rlike(pattern), F.when(zone == "", plain).otherwise(instant)))
         return F.coalesce(*found)
 
-    return let(F.lower(v), read)
+    return F.when(F.length(v) >= 8, let(F.lower(v), read))  # the shortest date is 1/1/2024
 
 
 def _facts(v: Column) -> Column:
     """What the role tests need to know of a value, found once per value."""
     low = F.lower(v)
     return F.struct(
-        v.rlike(K.ORDER_ID).alias("order"),
-        v.rlike(K.CUSTOMER_ID).alias("customer"),
+        (F.contains(v, F.lit("ORD")) & v.rlike(K.ORDER_ID)).alias("order"),  # plain searches first, they are cheap
+        (F.contains(v, F.lit("CUST")) & v.rlike(K.CUSTOMER_ID)).alias("customer"),
         parsed_date(v).isNotNull().alias("date"),
-        low.rlike("|".join(K.PAYMENT_WORDS)).alias("payment"),
-        low.rlike("|".join(K.CATEGORY_WORDS)).alias("category"),
+        contains_any(low, K.PAYMENT_WORDS).alias("payment"),
+        contains_any(low, K.CATEGORY_WORDS).alias("category"),
         _as_number(v).alias("number"),
     )
 
@@ -314,9 +314,9 @@ def _named_roles(columns: list[str]) -> dict[str, str]:
     """Role -> column by similar names, the first column of a role."""
     roles: dict[str, str] = {}
     for c in columns:
-        near = difflib.get_close_matches(c, K.ORDER_COLUMNS, n=1, cutoff=0.72)
+        near = _closest(c, 0.72)
         if near:
-            roles.setdefault(near[0], c)
+            roles.setdefault(near, c)
     return roles
 
 
@@ -346,15 +346,18 @@ def infer_column_roles(df: DataFrame) -> dict[str, str]:
     return _shared_roles(roles, left, share)
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _page_roles(columns: pd.Series) -> pd.Series:
-    """Role -> column of each page, from its columns' names and shares in order."""
+    """The position of each role's column on each page, null without one, from the names and
+    shares of the page's columns in order."""
 
-    def choose(page) -> dict[str, str]:
+    def choose(page) -> list[int | None]:
+        place = {c["column"]: c["position"] for c in page}
         names = [c["column"] for c in page]
         roles = _named_roles(names)
         share = {(role, c["column"]): s for c in page for role, s in zip(K.ROLE_ORDER, c["shares"])}
-        return _shared_roles(roles, [n for n in names if n not in roles.values()], share)
+        roles = _shared_roles(roles, [n for n in names if n not in roles.values()], share)
+        return [place.get(roles.get(role)) for role in K.ORDER_COLUMNS]
 
     return columns.map(choose)
 
@@ -364,22 +367,21 @@ def page_order_tables(df: DataFrame, doc: str) -> DataFrame:
 
     Cells are those of :func:`word_boxes_to_table`. Each page infers the roles of its own
     columns, all pages in one plan: shares are aggregated by page and column, a page's few
-    columns choose their roles, and the cells are pivoted by role into one row for each
-    line, typed and cleaned as by :func:`normalize_order_table`. Columns without a role are
+    columns choose their roles, and each line, which is one row with all its cells, takes its
+    values by role, typed and cleaned as by :func:`normalize_order_table`. Columns without a role are
     left out; pages without a table have no rows.
     """
-    cells = durable(_table_cells(df, doc))
-    facts = cells.select("doc", "column", "position", _facts(strip(F.col("value"))).alias("f"))
+    line = ["doc", "block_num", "par_num", "line_num"]
+    lines = durable(_table_lines(df, doc))
+    facts = lines.select("doc", F.inline("cells")).select("doc", "column", "position", _facts(strip(F.col("value"))).alias("f"))
     tests = _role_tests(F.col("f"))
     shares = [F.avg(F.coalesce(tests[role], F.lit(False)).cast("double")) for role in K.ROLE_ORDER]
     columns = facts.groupBy("doc", "column").agg(F.min("position").alias("position"), F.array(*shares).alias("shares"))
     pages = columns.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("position", "column", "shares"))).alias("columns"))
-    roles = pages.select(F.col("doc").alias("d"), F.explode(_page_roles("columns")).alias("role", "of"))
-    named = cells.join(roles, F.col("doc").eqNullSafe(F.col("d")) & (F.col("column") == F.col("of")))
-    line = ["doc", "block_num", "par_num", "line_num"]
-    pivoted = named.groupBy(*line).agg(
-        *[F.coalesce(F.max(F.when(F.col("role") == role, F.col("value"))), F.lit("")).alias(role) for role in K.ORDER_COLUMNS]
-    )
+    named = lines.join(pages.select("doc", _page_roles("columns").alias("roles")), "doc")
+
+    value = [F.get("cells", F.get("roles", F.lit(i)))["value"] for i in range(len(K.ORDER_COLUMNS))]
+    pivoted = named.select(*line, *[F.coalesce(v, F.lit("")).alias(role) for v, role in zip(value, K.ORDER_COLUMNS)])
     table = normalize_order_table(pivoted, {role: role for role in K.ORDER_COLUMNS}, keep=tuple(line))
     return table.withColumnRenamed("doc", doc)
 

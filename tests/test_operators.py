@@ -514,7 +514,7 @@ def _shuffles(df):
 
 
 def test_word_box_tables_shuffle_lines_once_by_page(spark):
-    """Pages with gaps in their keys, and one of many lines, against a loop; two shuffles in all."""
+    """Pages with gaps in their keys, and one of many lines, against a loop; two shuffles in all, four for order tables."""
     rng = random.Random(11)
     rows = []
     for d, block, lines in ((1, 1, 12), (2, None, 12), (None, 1, 12), (3, 1, 700), (4, 1, 2)):
@@ -535,6 +535,7 @@ def test_word_box_tables_shuffle_lines_once_by_page(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert _shuffles(boxes.word_boxes_to_table(df, "doc")) <= 2
+        assert _shuffles(boxes.page_order_tables(df, "doc")) <= 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 

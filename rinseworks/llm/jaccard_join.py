@@ -16,11 +16,11 @@ bounded blocks the same search then merges short lists and probes the long ones.
 4. Of the other lists each names its smallest entry as pivot. Lists with mostly the same
    members name the same pivot, so the members of a cell (all lists with one pivot) hold
    every pair that meets in such a list. Cells are cut into blocks of bounded size.
-5. In cells of one block a bitmap filter leaves out entries that can link with no other: a set
-   hashed to ``BITS`` bits differs from another in at most as many bits as the sets differ
-   in grams. Only the sets of the rest travel. Every block is searched with its pivot;
-   where a cell has more blocks, only entries that are not yet connected to the pivot are
-   searched in the other blocks.
+5. In each block a bitmap filter leaves out entries that can link with no other: a set hashed
+   to bits, at least as many as it has grams, differs from another in at most as many bits as
+   the sets differ in grams. Only the sets of the rest travel. Every block is searched with its
+   pivot; where a cell has more blocks, only entries that are not yet connected to the pivot
+   meet the other blocks, again first by their bitmaps.
 6. Links become components; see :mod:`rinseworks.llm.components`.
 """
 
@@ -47,7 +47,7 @@ BLOCK = 48
 #: many times less often, and a task holds so many blocks of either side.
 TOGETHER = 8
 SHORT = 8
-#: Bits of a set's bitmap; sets of many more grams fill it and pass the filter.
+#: The least bits of a set's bitmap; a set of more grams has the next power of two.
 BITS = 2048
 BROADCAST_ROWS = 500_000
 
@@ -95,27 +95,61 @@ def set_digest(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else 0
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """The bits that the numbers of a set fall on."""
-    bits = np.zeros(BITS, bool)
-    bits[(grams & np.uint64(BITS - 1)).astype(np.int64)] = True
+def bitmap(grams: np.ndarray, width: int = BITS) -> bytes:
+    """The bits that the numbers of a set fall on; the halves of a wider bitmap, or-ed, are the narrower one."""
+    bits = np.zeros(width, bool)
+    bits[(grams & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def may_link(bits: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+def bits_for(n: int) -> int:
+    """The bits of the bitmap of a set of n grams, a power of two."""
+    return max(BITS, 1 << max(0, n - 1).bit_length())
+
+
+def may_link(
+    bits: np.ndarray, sizes: np.ndarray, percent: int, first: int | None = None,
+    asks: np.ndarray | None = None, roots: np.ndarray | None = None,
+) -> np.ndarray:
     """Which sets can link with another one, by their bitmaps (rows of bytes) and sizes.
 
     Sets that differ in d grams have bitmaps that differ in at most d bits, so a large
-    difference bounds the overlap; no set that links is left out.
+    difference bounds the overlap; no set that links is left out. Of two sets at least one is
+    among the ``first``; with ``asks`` and ``roots`` the two differ in both.
     """
     words = np.ascontiguousarray(bits).view(np.uint64)
     out = np.zeros(len(words), bool)
-    for i, n in enumerate(sizes):
-        differ = np.bitwise_count(words ^ words[i]).sum(axis=1, dtype=np.int64)
-        near = sizes + n - differ >= 2 * needed(n, sizes, percent)
-        near &= (100 * sizes >= percent * n) & (percent * sizes <= 100 * n)
+    for i, n in enumerate(sizes[:first]):
+        near = (100 * sizes >= percent * n) & (percent * sizes <= 100 * n)
+        if asks is not None:
+            near &= (asks != asks[i]) & (roots != roots[i])
         near[i] = False
-        out[i] = near.any()
+        near = np.flatnonzero(near)
+        differ = np.bitwise_count(words[near] ^ words[i]).sum(axis=1, dtype=np.int64)
+        near = near[sizes[near] + n - differ >= 2 * needed(n, sizes[near], percent)]
+        out[near] = True
+        out[i] |= len(near) > 0
+    return out
+
+
+def may_link_of(
+    bits: list[bytes], sizes: np.ndarray, percent: int,
+    asks: np.ndarray | None = None, roots: np.ndarray | None = None,
+) -> np.ndarray:
+    """``may_link`` of bitmaps of any width: two are compared at the width of the narrower."""
+    widths = np.array([len(b) for b in bits], np.int64)
+    out = np.zeros(len(bits), bool)
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        wider = np.flatnonzero((widths > width) & (percent * sizes <= 100 * sizes[own].max()))
+        at = np.concatenate([own, wider])
+        rows = np.empty((len(at), width), np.uint8)
+        for k, i in enumerate(at):
+            rows[k] = np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint8).reshape(-1, width))
+        out[at] |= may_link(
+            rows, sizes[at], percent, len(own),
+            None if asks is None else asks[at], None if roots is None else roots[at],
+        )
     return out
 
 
@@ -134,9 +168,14 @@ def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int) ->
     sizes = np.array([len(x) for x in index], np.int64)
     grams = np.concatenate(index) if index else np.zeros(0, np.uint64)
     order = np.argsort(grams, kind="stable")
-    entries = np.repeat(np.arange(len(index)), sizes)[order]
-    grams, starts = np.unique(grams[order], return_index=True)
+    entries = np.repeat(np.arange(len(index), dtype=np.int32), sizes)[order]
+    grams = grams[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(entries))
+    places = (np.cumsum(new) - 1) * len(index) + entries  # list and entry in one sorted number
+    grams = grams[starts]
     for q, query in enumerate(queries):
         n = len(query)
         if not n or not len(grams):
@@ -149,22 +188,31 @@ def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int) ->
         length = ends[at] - starts[at]
         at = at[np.argsort(length, kind="stable")]
         aside = min(least - 1, int(least / (0.1 * np.log2(1 + length.max()) + 1)))
-        short, long = at[: len(at) - aside], at[len(at) - aside :]
-        found, hits = np.unique(np.concatenate([entries[starts[k] : ends[k]] for k in short]), return_counts=True)
-        m = sizes[found]
-        keep = (hits >= least - aside) & (100 * m >= percent * n) & (percent * m <= 100 * n)
-        found, hits, m = found[keep], hits[keep], m[keep]
-        for k in long:
-            if not len(found):
-                break
-            members = entries[starts[k] : ends[k]]
-            place = np.minimum(np.searchsorted(members, found), len(members) - 1)
-            hits = hits + (members[place] == found)
+        short, long = at[: len(at) - aside], np.sort(at[len(at) - aside :])
+        hits = np.zeros(len(index), np.int64)
+        for some in _runs(short, len(index)):
+            size = ends[some] - starts[some]
+            first = np.repeat(starts[some] - (np.cumsum(size) - size), size)
+            hits += np.bincount(entries[first + np.arange(len(first))], minlength=len(index))
+        keep = (hits >= max(1, least - aside)) & (100 * sizes >= percent * n) & (percent * sizes <= 100 * n)
+        found = np.flatnonzero(keep)
+        hits, m = hits[found], sizes[found]
+        for some in _runs(long, len(found)) if len(found) else ():
+            wanted = (some[:, None] * len(index) + found).ravel()
+            at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+            hits = hits + (places[at] == wanted).reshape(len(some), -1).sum(axis=0)
         found = found[hits >= needed(n, m, percent)]
         if len(found):
             yield q, found
 
 
+def _runs(lists: np.ndarray, members: int) -> Iterator[np.ndarray]:
+    """The lists in runs that have at most about ``_CHUNK`` * 64 members together."""
+    step = max(1, (_CHUNK << 6) // members)
+    for k in range(0, len(lists), step):
+        yield lists[k : k + step]
+
+
 def _spanning(ids: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> pa.Table:
     """Each entry with the first entry of its component, for the found links."""
     parent = np.arange(len(ids))
@@ -226,7 +274,7 @@ def _components(
                         *(part.column(k) for k in [*keys, "_hash"]),
                         pa.array(n),
                         pa.array([set_digest(s) for s in sets], pa.int64()),
-                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([bitmap(s, bits_for(len(s))) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(
                             np.concatenate([[0], np.cumsum(shortest)]).astype(np.int32),
                             signed(np.concatenate([s[:k] for s, k in zip(sets, shortest)] or [np.zeros(0, np.uint64)])),
@@ -276,20 +324,15 @@ def _components(
     )
 
     def filtered(table: pa.Table) -> pa.Table:
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(table), -1)
-        kept = may_link(bits, table.column("n_shingles").to_numpy(), percent)
+        kept = may_link_of(table.column("bits").to_pylist(), table.column("n_shingles").to_numpy(), percent)
         return table.select(["pivot", "block", "entry"]).filter(pa.array(kept, pa.bool_()))
 
-    placed = cells.select("pivot", "block", "entry", "blocks").union(
-        cells.select("pivot", "block", F.col("pivot").alias("entry"), "blocks").distinct()
+    bitmaps = wanted.select("entry", "n_shingles", "bits")
+    placed = cells.select("pivot", "block", "entry").union(
+        cells.select("pivot", "block", F.col("pivot").alias("entry")).distinct()
     )
-    alone = placed.where("blocks = 1").join(wanted.select("entry", "n_shingles", "bits"), "entry")
-    alone = alone.groupBy("pivot", "block").applyInArrow(filtered, "pivot long, block long, entry long")
-    placed = durable(alone.union(placed.where("blocks > 1").select("pivot", "block", "entry")))
-    wanted = durable(wanted.select("entry", "id", "hash").join(placed.select("entry").distinct(), "entry", "left_semi"))
-    small = wanted.count() <= broadcast_rows
-    same = docs.doc_id.eqNullSafe(wanted.id) & (docs["_hash"] == wanted["hash"])
-    texts = docs.join(F.broadcast(wanted) if small else wanted, same).select("entry", "text")
+    placed = placed.join(bitmaps, "entry").groupBy("pivot", "block")
+    placed = durable(placed.applyInArrow(filtered, "pivot long, block long, entry long"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,11 +343,18 @@ def _components(
                     [part.column("entry"), pa.array([s.tobytes() for s in sets], pa.binary())], ["entry", "grams"]
                 ).filter(pa.array(right, pa.bool_()))
 
-    sets = texts.mapInArrow(to_sets, "entry long, grams binary")
-    found = marked.join(F.broadcast(wanted) if small else wanted, marked.doc_id.eqNullSafe(wanted.id) & (marked["_hash"] == wanted["hash"]))
-    if found.count() > wanted.count():  # rows equal in doc_id and text all give their set: one of them stays
-        sets = sets.dropDuplicates(["entry"])
-    sets = durable(sets)
+    def sets_of(entries: DataFrame) -> DataFrame:
+        chosen = durable(wanted.select("entry", "id", "hash").join(entries.select("entry").distinct(), "entry", "left_semi"))
+        small = chosen.count() <= broadcast_rows
+        sent = F.broadcast(chosen) if small else chosen
+        texts = docs.join(sent, docs.doc_id.eqNullSafe(chosen.id) & (docs["_hash"] == chosen["hash"])).select("entry", "text")
+        sets = texts.mapInArrow(to_sets, "entry long, grams binary")
+        found = marked.join(sent, marked.doc_id.eqNullSafe(chosen.id) & (marked["_hash"] == chosen["hash"]))
+        if found.count() > chosen.count():  # rows equal in doc_id and text all give their set: one of them stays
+            sets = sets.dropDuplicates(["entry"])
+        return durable(sets)
+
+    sets = sets_of(placed)
 
     def within(table: pa.Table) -> pa.Table:
         table = table.sort_by("entry")
@@ -352,7 +402,19 @@ def _components(
                 "b": pa.array([x for _, x in out.values()], pa.int64()),
             })
 
-        more = asking.unionByName(answering).join(sets, "entry")
+        def meeting(table: pa.Table) -> pa.Table:
+            kept = may_link_of(
+                table.column("bits").to_pylist(), table.column("n_shingles").to_numpy(), percent,
+                table.column("asks").to_numpy(), table.column("root").to_numpy(),
+            )
+            return table.drop_columns(["n_shingles", "bits"]).filter(pa.array(kept, pa.bool_()))
+
+        more = asking.unionByName(answering)
+        schema = "entry long, pivot long, part long, block long, asks boolean, root long"
+        more = more.join(bitmaps, "entry").select("entry", "pivot", "part", "block", "asks", "root", "n_shingles", "bits")
+        more = durable(more.groupBy("pivot", "part", "block").applyInArrow(meeting, schema))
+        late = more.join(placed.select("entry").distinct(), "entry", "left_anti")  # their sets have not travelled yet
+        more = more.join(sets if late.isEmpty() else sets.union(sets_of(late)), "entry")
         more = more.groupBy("pivot", "part", "block").applyInArrow(across, "a long, b long")
         links = links.union(durable(more))
 

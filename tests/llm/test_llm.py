@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rinseworks.frames import durable
 from rinseworks.llm import fingerprint, jaccard_join, language, packing, pii, quality, recompression, toxicity
 from rinseworks.llm.components import components
 from rinseworks.llm.decontaminate import find_contamination, remove_contaminated
@@ -98,6 +99,38 @@ def test_jaccard_bitmaps_leave_out_only_what_cannot_link():
     assert chance.sum() >= 4 and not kept[chance].any()
 
 
+def test_jaccard_bitmaps_of_long_sets_leave_out_what_cannot_link():
+    """Bitmaps grow with their sets, so that long ones are told apart too."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 9_000, np.uint64)
+    new = rng.integers(0, 1 << 63, 9_000, np.uint64)
+    # 8,192 and 8,500 grams have bitmaps of different widths.
+    sets = [base[:8_192], base[:8_500], np.concatenate([base[:5_000], new[:3_500]]), new, new[:400], base[:450]]
+    sizes = np.array(list(map(len, sets)))
+    bits = [jaccard_join.bitmap(x, jaccard_join.bits_for(len(x))) for x in sets]
+    assert len({len(b) for b in bits}) == 3
+    assert jaccard_join.may_link_of(bits, sizes, 80).tolist() == [True, True] + 4 * [False]
+    # Only pairs of different roots of which one asks count.
+    asks, roots = np.array([True, False, True, True, True, False]), np.arange(6)
+    assert jaccard_join.may_link_of(bits, sizes, 80, asks, roots).tolist() == [True, True] + 4 * [False]
+    assert not jaccard_join.may_link_of(bits, sizes, 80, asks, np.zeros(6, int)).any()
+    assert not jaccard_join.may_link_of(bits, sizes, 80, np.ones(6, bool), roots).any()
+
+
+@pytest.mark.parametrize("n_words", [60, 3_000])
+def test_jaccard_searches_only_sets_that_may_link(spark, monkeypatch, n_words):
+    """Texts that share a common line fill cells of many blocks; the sets of a few only are searched."""
+    rng = random.Random(5)
+    line = prose(rng, 30)
+    texts = [f"{line} {prose(rng, n_words)} {i}" for i in range(30)]
+    texts += [t + " end" for t in texts[:2]]
+    written = []
+    monkeypatch.setattr(jaccard_join, "durable", lambda df: written.append(durable(df)) or written[-1])
+    got = by_id(jaccard_join.jaccard_components(frame(spark, list(enumerate(texts))), block=4, sketch_bits=6))
+    assert {i: r.component_id for i, r in got.items()} == {**{i: i for i in range(30)}, 30: 0, 31: 1}
+    assert sum(df.count() for df in written if df.columns == ["entry", "grams"]) == 4
+
+
 def test_jaccard_awkward_keys(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (7, "x"), (7, "x"), (7, "y z"), (None, None)]
     got = jaccard_join.jaccard_components(frame(spark, rows)).collect()

@@ -49,6 +49,8 @@ TOGETHER = 8
 SHORT = 8
 #: The least bits of a set's bitmap; a set of more grams has the next power of two.
 BITS = 2048
+#: About the bytes of text that are numbers at a time; each takes some forty of a worker's memory.
+PIECE = 1 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -84,9 +86,9 @@ def list_lengths(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndar
     def count(rows: pa.RecordBatch, counters: np.ndarray) -> None:
         numbers, _ = word_numbers(rows.column("text"), lower=True)
         slots = (windows(numbers, size) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        counters += np.bincount(slots, minlength=1 << bits)
+        np.add.at(counters, slots, 1)
 
-    lengths = summed(docs.select("text"), 1 << bits, count, chunk=_CHUNK)
+    lengths = summed(docs.select("text"), 1 << bits, count, chunk=_CHUNK, limit=PIECE)
     usual = max(1.0, float(np.median(lengths)))
     return np.clip(np.floor(8 * np.log2(np.maximum(lengths, 1) / usual)), 0, 63).astype(np.uint8)
 
@@ -264,7 +266,7 @@ def _components(
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=PIECE):
                 sets = gram_sets(part.column("text"), size, lengths)
                 n = np.array([len(s) for s in sets], np.int64)
                 shortest = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
@@ -336,7 +338,7 @@ def _components(
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=PIECE):
                 sets = gram_sets(part.column("text"), size, lengths)
                 right = [set_digest(s) == e for s, e in zip(sets, part.column("entry").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
